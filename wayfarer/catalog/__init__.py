@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["olap"]
+MODULES = ["olap", "cleaning", "scalars", "relational", "statistics"]
 
 
 def queries() -> dict:

@@ -58,11 +58,15 @@ def hhmm_to_minutes(c: Column | str, fallback: str = "null") -> Column:
 
 
 def title_case(c: Column | str) -> Column:
-    """Trim, then upper-case each letter that follows a non-letter."""
+    """Trim, then title-case each letter that follows a non-letter (``ß`` gives ``Ss``)."""
     runs = F.regexp_extract_all(F.lower(F.btrim(as_col(c), F.lit(" \t\r\n\f"))), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(
-        F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), ""
-    )
+
+    def raise_first(word: Column) -> Column:
+        upper = F.upper(F.substring(word, 1, 1))
+        rest = F.lower(upper.substr(F.lit(2), F.length(upper)))
+        return F.concat(F.substring(upper, 1, 1), rest, word.substr(F.lit(2), F.length(word)))
+
+    return F.array_join(F.transform(runs, raise_first), "")
 
 
 def strip_char(c: Column | str, code: int = 13) -> Column:
