@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ class Dimension:
     def foreign_key(self) -> str:
         return self.via_key or self.key
 
-    @property
+    @cached_property
     def attributes(self) -> list[str]:
         return [c for c in self.frame.columns if c != self.key]
 
@@ -36,13 +37,19 @@ class Star:
     fact: DataFrame
     dimensions: dict[str, Dimension] = field(default_factory=dict)
 
-    def owner(self, column: str) -> str:
-        if column in self.fact.columns:
-            return "fact"
+    @cached_property
+    def owners(self) -> dict[str, str]:
+        """Which table holds a column; the fact comes first."""
+        held = {c: "fact" for c in self.fact.columns}
         for name, dim in self.dimensions.items():
-            if column in dim.attributes:
-                return name
-        raise KeyError(f"no table of the star has a column {column!r}")
+            for c in dim.attributes:
+                held.setdefault(c, name)
+        return held
+
+    def owner(self, column: str) -> str:
+        if column not in self.owners:
+            raise KeyError(f"no table of the star has a column {column!r}")
+        return self.owners[column]
 
     def _needed(self, columns: Iterable[str]) -> list[str]:
         """Dimensions that hold `columns`, parents of snowflaked ones first."""
@@ -70,10 +77,12 @@ class Star:
                 order += [n for n in self._needed([self.dimensions[name].attributes[0]]) if n not in order]
         wanted = set(columns)
         keys = {self.dimensions[n].foreign_key for n in order}
-        out = self.fact.select(*[c for c in self.fact.columns if c in wanted | keys])
+        held = [c for c in self.fact.columns if c in wanted | keys]
+        out = self.fact.select(*held)
         for name in order:
             dim = self.dimensions[name]
-            keep = [c for c in dim.attributes if (c in wanted or c in keys) and c not in out.columns]
+            keep = [c for c in dim.attributes if (c in wanted or c in keys) and c not in held]
+            held += keep
             side = dim.frame.select(F.col(dim.key).alias(dim.foreign_key), *keep)
             out = out.join(side, dim.foreign_key)
         return out.select(*columns)
