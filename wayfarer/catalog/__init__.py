@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["olap", "cleaning", "scalars", "relational", "statistics", "mining"]
+MODULES = ["olap", "cleaning", "scalars", "relational", "statistics", "mining", "learning"]
 
 
 def queries() -> dict:
