@@ -2,12 +2,13 @@
 
 A total order is cut into buckets by a deterministic expression on the sort key,
 each bucket is ordered by itself, and bucket totals (one row per bucket) supply
-the offsets. The bucket bounds are read through a scalar subquery, so both uses
-of the table see the same cut whatever is recomputed after a lost executor.
+the offsets. The bounds become constants of the plan, so every use of the table
+sees the same cut whatever is recomputed after a lost executor.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,28 +19,45 @@ from wayfarer.session import shuffle_width
 BUCKET, BEFORE = "__bucket", "__before"
 
 
+COARSE = 32
+
+
 def range_bucket(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
-    """Add ``__bucket``: 0..n-1 in the order of the numeric `key`.
+    """Add ``__bucket``, an integer that rises with the numeric `key`.
 
-    Bounds are approximate quantiles, so buckets are even unless one key value
-    is frequent; fold such tables by key first (`running_sum` does).
+    Runs one aggregate for about 30 approximate quantiles; between two of them
+    buckets are cut evenly by value, so about `buckets` even ones result unless
+    one key value is frequent (fold such tables by key first). Only how even the
+    buckets are depends on the bounds, never a result. The expression is a short
+    tree of comparisons with constants, inside generated code.
     """
-    n = buckets or shuffle_width(df.sparkSession, ceiling=1024)
-    fractions = [i / n for i in range(1, n)]
-    bounds = df.select(F.percentile_approx(F.col(key).cast("double"), fractions, max(1000, 10 * n)).alias("b")).scalar()
-    steps = []
-    width = 1
-    while width < n:
-        width *= 2
-    while width >= 1:
-        steps.append(F.lit(width))
-        width //= 2
-    # binary search for the number of bounds at or below the key
-    position = F.aggregate(
-        F.array(*steps), F.lit(0),
-        lambda at, step: F.when(F.get(F.col("__bounds"), at + step - 1) <= F.col(key), at + step).otherwise(at),
-    )
-    return df.withColumn("__bounds", bounds).withColumn(BUCKET, position).drop("__bounds")
+    n = buckets or shuffle_width(df.sparkSession)
+    fine = max(1, n // COARSE)
+    number = F.col(key).cast("double")
+    found = df.select(
+        F.percentile_approx(number, [i / COARSE for i in range(1, COARSE)], 1000).alias("cuts"),
+        F.min(number).alias("low"), F.max(number).alias("high"),
+    ).first()
+    bounds = sorted({float(b) for b in found["cuts"] or [] if math.isfinite(b)})
+    edges = [found["low"], *bounds, found["high"]]
+    starts, rates = [], []
+    for low, high in zip(edges, edges[1:]):
+        usable = low is not None and high is not None and math.isfinite(low) and math.isfinite(high) and high > low
+        starts.append(low if usable else 0.0)
+        rates.append(fine / (high - low) if usable and math.isfinite(fine / (high - low)) else 0.0)
+
+    def tree(low: int, high: int) -> str:
+        """Number of bounds at or below the key, given it lies in [low, high]."""
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"CASE WHEN `{key}` < {bounds[middle]!r}D THEN {tree(low, middle)} ELSE {tree(middle + 1, high)} END"
+
+    out = df.withColumn("__coarse", F.expr(tree(0, len(bounds))))
+    start = F.get(F.array(*[F.lit(v) for v in starts]), "__coarse")
+    rate = F.get(F.array(*[F.lit(v) for v in rates]), "__coarse")
+    step = F.least(F.lit(float(fine - 1)), F.greatest(F.lit(0.0), F.floor((number - start) * rate)))
+    return out.withColumn(BUCKET, F.col("__coarse") * fine + step.cast("int")).drop("__coarse")
 
 
 def hash_order(*cols: Column | str, seed: int = 42) -> Column:

@@ -16,12 +16,12 @@ from wayfarer.operators.quantiles import column_quantiles, modes
 
 def describe_numeric(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """``(column, count, mean, std, min, q25, q50, q75, max)``, exact quartiles."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.round(F.avg("value"), digits).alias("mean"),
-        F.round(F.stddev_samp("value"), digits).alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
+    moments = df.agg(*[
+        F.struct(
+            F.count(v).alias("count"), F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_samp(v), digits).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max"),
+        ).alias(c) for c, v in ((c, F.col(c).cast("double")) for c in columns)
+    ]).unpivot([], list(columns), "column", "m").select("column", "m.*")
     cuts = column_quantiles(df, columns, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
     # one row per column on both sides
     return moments.join(cuts, "column", "left").select(

@@ -4,36 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.operators.ordering import running_sum
+from wayfarer.operators.ordering import BEFORE, BUCKET, range_bucket
 
 
 def quantiles(
     df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str] = (), names: Sequence[str] | None = None,
+    few_groups: bool = False, buckets: int = 1024,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, nulls skipped.
 
-    Folds to distinct values with counts, turns counts into ranks by bucketed
-    running sums, then picks the two values around each wanted rank. Spark's own
-    ``percentile`` keeps every distinct value of a group in one buffer.
+    Values are cut into even buckets; bucket counts (folded per task) tell which
+    few buckets hold the wanted ranks, and only the rows of those are shuffled,
+    folded to distinct values and ranked. Spark's own ``percentile`` would keep
+    every distinct value of a group in one buffer.
+
+    `few_groups` says that `by` has few values by construction (column names,
+    say), so the list of wanted buckets may be broadcast; without `by` it has at
+    most two rows per probability and always is.
     """
     by = list(by)
     names = list(names or [f"q{p:g}" for p in probs])
-    counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*by, F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("__v"))
+    cut = range_bucket(rows, "__v", buckets)
+    counts = cut.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("__in"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(
+        *by, BUCKET, "__in", F.coalesce(F.sum("__in").over(before), F.lit(0)).alias(BEFORE), F.sum("__in").over(group).alias("__size")
+    )
+    wanted = F.lit(False)
+    for p in probs:
+        for rank in (_rank(p, F.floor), _rank(p, F.ceil)):
+            wanted = wanted | ((rank >= F.col(BEFORE)) & (rank < F.col(BEFORE) + F.col("__in")))
+    few = placed.where(wanted).select(*by, BUCKET, BEFORE, "__size")
+    hits = cut.join(F.broadcast(few) if few_groups or not by else few, [*by, BUCKET])
+    folded = hits.groupBy(*by, BUCKET, "__v").agg(
+        F.count(F.lit(1)).alias("__n"), F.first(BEFORE).alias(BEFORE), F.first("__size").alias("__size")
     )
-    ranked = running_sum(counts, "__v", ["__n"], by)
+    within = Window.partitionBy(*by, BUCKET).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = folded.withColumn("__upto", F.col(BEFORE) + F.sum("__n").over(within))
     picks: list[Column] = []
     for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("__n_total") - 1)
         picks += [
-            F.min(F.when(F.col("__n_cum") > F.floor(at), F.col("__v"))).alias(f"__lo{i}"),
-            F.min(F.when(F.col("__n_cum") > F.ceil(at), F.col("__v"))).alias(f"__hi{i}"),
+            F.min(F.when(F.col("__upto") > _rank(p, F.floor), F.col("__v"))).alias(f"__lo{i}"),
+            F.min(F.when(F.col("__upto") > _rank(p, F.ceil), F.col("__v"))).alias(f"__hi{i}"),
         ]
-    picked = ranked.groupBy(*by).agg(F.max("__n_total").alias("__size"), *picks)
+    picked = ranked.groupBy(*by).agg(F.max("__size").alias("__size"), *picks)
     out = []
     for i, (p, name) in enumerate(zip(probs, names)):
         at = F.lit(float(p)) * (F.col("__size") - 1)
@@ -42,6 +61,10 @@ def quantiles(
     return picked.select(*by, *out)
 
 
+def _rank(p: float, end) -> Column:
+    return end(F.lit(float(p)) * (F.col("__size") - 1))
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, median)`` of several numeric columns, in one pass over the rows."""
     return column_quantiles(df, columns, [0.5], ["median"])
@@ -50,7 +73,7 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Quantiles of several columns as rows ``(column, ...)``."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    return quantiles(long, "value", probs, ["column"], names)
+    return quantiles(long, "value", probs, ["column"], names, few_groups=True)
 
 
 def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
