@@ -12,6 +12,7 @@ from wayfarer.functions.columns import bin_fixed, bin_left_closed, hhmm_to_minut
 from wayfarer.operators import rules as r
 from wayfarer.operators import text
 from wayfarer.plans.binding import oracle, star, table
+from wayfarer.plans.star import Star
 from wayfarer.session import staging_dir
 from wayfarer.sources import writers
 
@@ -24,35 +25,48 @@ MINED_COLUMNS = [
 RULE_CUT = {k: vocab.KEYED_MINING[k] for k in ("min_confidence", "min_lift")}
 
 
-def _flights(spark, sf_dir, keep=()):
-    """The flat table with the derived categories that mining reads."""
-    derived = {"Service_Class", "Flight_Time_Cat", "Departure_Delay_Category", "Arrival_Delay_Category", "Flight_Duration_Category"}
-    wanted = [c for c in dict.fromkeys(vocab.KEYED_ITEM_COLUMNS + vocab.PREFIXED_ITEM_COLUMNS + vocab.FLAG_ITEM_COLUMNS) if c not in derived]
-    flat = star(spark, sf_dir).flat(list(dict.fromkeys(
-        [*ROW, *wanted, *vocab.SERVICE_COLUMNS, "Flight_Duration", "Departure_Delay", "Arrival_Delay"])))
-    # one projection per step, so that no expression is repeated in the next
+def _service_class(rows):
+    """Tertile label of the mean service score; one projection per step, so that
+    no expression is repeated in the next."""
     scores = {f"{c}_Score": scale(c, vocab.SCALES["rating_composite"]) for c in vocab.SERVICE_COLUMNS}
-    flat = flat.withColumns({**scores, "Flight_Minutes": hhmm_to_minutes("Flight_Duration")})
-    flat = flat.withColumns({"Service_Composite": row_mean(*scores), "Flight_Hours": F.col("Flight_Minutes") / 60})
-    return flat.withColumns({
+    scored = rows.withColumns(scores).withColumn("Service_Composite", row_mean(*scores))
+    return scored.withColumn("Service_Class", bin_fixed("Service_Composite", [0, 2, 2.5, 4], vocab.SERVICE_TERTILES))
+
+
+def _flight_times(rows):
+    timed = rows.withColumn("Flight_Minutes", hhmm_to_minutes("Flight_Duration"))
+    return timed.withColumns({
         "Flight_Time_Cat": bin_fixed("Flight_Minutes", *vocab.FLIGHT_TIME_BINS),
-        "Flight_Duration_Category": bin_left_closed("Flight_Hours", *vocab.DURATION_HOURS),
-        "Departure_Delay_Category": bin_fixed("Departure_Delay", *vocab.DELAY_BINS),
-        "Arrival_Delay_Category": bin_fixed("Arrival_Delay", *vocab.DELAY_BINS),
-        "Service_Class": bin_fixed("Service_Composite", [0, 2, 2.5, 4], vocab.SERVICE_TERTILES),
+        "Flight_Duration_Category": bin_left_closed(F.col("Flight_Minutes") / 60, *vocab.DURATION_HOURS),
     })
 
 
+def _flights(spark, sf_dir, columns):
+    """The flat table with the categories that mining reads, each derived on the
+    table it belongs to."""
+    s = star(spark, sf_dir)
+    delays = {f"{c}_Category": bin_fixed(c, *vocab.DELAY_BINS) for c in ("Departure_Delay", "Arrival_Delay")}
+    dims = {
+        **s.dimensions,
+        "service": s.dimensions["service"].derive("Service_Class", by=_service_class),
+        "flight": s.dimensions["flight"].derive("Flight_Time_Cat", "Flight_Duration_Category", by=_flight_times),
+    }
+    return Star(s.fact.withColumns(delays), dims).flat(list(columns))
+
+
 def keyed(spark, sf_dir, keep=()):
-    return r.transactions_keyed(_flights(spark, sf_dir), vocab.KEYED_ITEM_COLUMNS, keep, CITIES)
+    rows = _flights(spark, sf_dir, [*keep, *vocab.KEYED_ITEM_COLUMNS])
+    return r.transactions_keyed(rows, vocab.KEYED_ITEM_COLUMNS, keep, CITIES)
 
 
 def prefixed(spark, sf_dir):
-    return r.transactions_prefixed(_flights(spark, sf_dir), MINED_COLUMNS)
+    return r.transactions_prefixed(_flights(spark, sf_dir, MINED_COLUMNS), MINED_COLUMNS)
 
 
 def flags(spark, sf_dir, keep=()):
-    return r.transactions_flags(_flights(spark, sf_dir), vocab.FLAG_ITEM_COLUMNS, ["Class", "Booking_Channel"], keep)
+    dummies = ["Class", "Booking_Channel"]
+    rows = _flights(spark, sf_dir, [*keep, *vocab.FLAG_ITEM_COLUMNS, *dummies])
+    return r.transactions_flags(rows, vocab.FLAG_ITEM_COLUMNS, dummies, keep)
 
 
 def _mined_keyed(spark, sf_dir):
@@ -80,7 +94,8 @@ def _with_items(df):
 
 
 def transactions_prefix(spark, sf_dir):
-    return _with_items(r.transactions_prefixed(_flights(spark, sf_dir), vocab.PREFIXED_ITEM_COLUMNS, ROW))
+    rows = _flights(spark, sf_dir, [*ROW, *vocab.PREFIXED_ITEM_COLUMNS])
+    return _with_items(r.transactions_prefixed(rows, vocab.PREFIXED_ITEM_COLUMNS, ROW))
 
 
 def frequent_itemsets(spark, sf_dir):

@@ -26,7 +26,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # --- transactions ---------------------------------------------------------------
 
 def _items(parts: Sequence[Column]) -> Column:
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*parts)))).alias("items")
+    # array_except drops nulls and repeats, sort_array orders: all in generated code
+    nothing = F.array(F.lit(None).cast("string"))
+    return F.sort_array(F.array_except(F.array(*parts), nothing)).alias("items")
 
 
 def transactions_keyed(
@@ -264,7 +266,7 @@ def itemset_matrix(itemsets: DataFrame, k: int = 20) -> DataFrame:
     best = top_k(itemsets, k, F.desc("n"), "items")
     placed = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.col("items"))))
     # at most `k` short lists
-    names = best.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("names")).scalar()
+    names = best.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("names")).scalar()
     cells = placed.withColumn("names", names).select("place", "items", F.explode("names").alias("item"))
     return cells.select("place", unsnake("item").alias("item"), F.array_contains("items", F.col("item")).cast("int").alias("held"))
 

@@ -7,7 +7,6 @@ that only labels groups, so the fact is folded before it is joined.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,10 +115,10 @@ def age_service_preferences(s: Star) -> DataFrame:
         _satisfaction(), count("Passenger_Count"),
     ]
     tops, rest = vocab.AGE_CASE_SERVICE
-    passenger = s.dimensions["passenger"]
-    labelled = replace(passenger, frame=passenger.frame.withColumn("Age_Group", bin_case("Age", tops, rest)))
-    grouped = Star(s.fact, {**s.dimensions, "passenger": labelled})
-    return grouped.aggregate(["Age_Group"], measures, late="passenger").orderBy("Age_Group")
+    labelled = s.dimensions["passenger"].derive(
+        "Age_Group", by=lambda rows: rows.withColumn("Age_Group", bin_case("Age", tops, rest))
+    )
+    return s.with_dimension("passenger", labelled).aggregate(["Age_Group"], measures, late="passenger").orderBy("Age_Group")
 
 
 def route_performance(s: Star) -> DataFrame:
@@ -213,13 +212,12 @@ def loyalty_program_comparison(s: Star) -> DataFrame:
     """Groups by the stored program name and shows the cleaned one, so two
     spellings that differ by a carriage return stay two rows."""
     program = F.col("Airline_Loyalty_Program")
-    airline = s.dimensions["airline"]
-    kept = replace(airline, frame=airline.frame.where((program != "N/A") & program.isNotNull()))
+    kept = s.dimensions["airline"].where((program != "N/A") & program.isNotNull())
     measures = [
         count("Member_Count"), _yes_rate("Frequent_Flyer_Rate", "Frequent_Flyer"), _satisfaction(),
         _recommendation(), _yes_rate("Discount_Rate", "Discount_Received"),
     ]
-    out = Star(s.fact, {**s.dimensions, "airline": kept}).aggregate(["Airline_Loyalty_Program"], measures)
+    out = s.with_dimension("airline", kept).aggregate(["Airline_Loyalty_Program"], measures)
     return out.withColumn("Airline_Loyalty_Program", strip_char("Airline_Loyalty_Program")).orderBy(
         F.desc("Avg_Satisfaction"), "Airline_Loyalty_Program", "Member_Count"
     )
@@ -351,8 +349,12 @@ def frequent_flyers_by_airline(s: Star) -> DataFrame:
 
 def segment_age_purpose(s: Star) -> DataFrame:
     tops, rest = vocab.AGE_CASE_SEGMENT
-    base = s.flat(["Travel_Purpose", "Age", "Overall_Satisfaction"]).withColumn("Age_Group", bin_case("Age", tops, rest))
-    return base.groupBy("Travel_Purpose", "Age_Group").agg(count("Passenger_Count").whole(), _positive().whole())
+    labelled = s.dimensions["passenger"].derive(
+        "Age_Group", by=lambda rows: rows.withColumn("Age_Group", bin_case("Age", tops, rest))
+    )
+    return s.with_dimension("passenger", labelled).aggregate(
+        ["Travel_Purpose", "Age_Group"], [count("Passenger_Count"), _positive()], late="passenger"
+    )
 
 
 def on_time_by_route_type(s: Star) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -15,13 +15,20 @@ class Dimension:
     """A dimension, its key there, and the table and column that point at it.
 
     Every reference key must find exactly one dimension row: joins of
-    dimensions nobody reads are left out on that ground.
+    dimensions nobody reads are left out on that ground. `source` may be a
+    function, called when the dimension is first read; `columns` then names
+    what it will hold.
     """
 
-    frame: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     key: str
     via: str = "fact"
     via_key: str | None = None
+    columns: tuple[str, ...] | None = None
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
 
     @property
     def foreign_key(self) -> str:
@@ -29,7 +36,17 @@ class Dimension:
 
     @cached_property
     def attributes(self) -> list[str]:
-        return [c for c in self.frame.columns if c != self.key]
+        return [c for c in (self.columns or self.frame.columns) if c != self.key]
+
+    def where(self, condition: Column) -> "Dimension":
+        return replace(self, source=self.frame.where(condition))
+
+    def derive(self, *names: str, by: Callable[[DataFrame], DataFrame]) -> "Dimension":
+        """The dimension with the columns `names` that `by` adds. Derived here, a
+        value is computed once per dimension row and not once per fact row, and
+        what it is made of stays out of the joins."""
+        columns = self.columns and (*self.columns, *names)
+        return replace(self, source=by(self.frame), columns=columns)
 
 
 @dataclass(frozen=True)
@@ -37,6 +54,9 @@ class Star:
     fact: DataFrame
     dimensions: dict[str, Dimension] = field(default_factory=dict)
 
+    def with_dimension(self, name: str, dimension: Dimension) -> "Star":
+        return Star(self.fact, {**self.dimensions, name: dimension})
+
     @cached_property
     def owners(self) -> dict[str, str]:
         """Which table holds a column; the fact comes first."""
