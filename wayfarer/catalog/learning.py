@@ -116,7 +116,7 @@ def knn_classify(spark, sf_dir):
 
 def grid_search(spark, sf_dir):
     s = _study(spark, sf_dir)
-    found, _, _ = study.tune(s, "decision_tree", {"maxDepth": [5, 10], "impurity": ["gini", "entropy"]}, folds=3)
+    found, _, _ = study.tune(s, "decision_tree", {"maxDepth": [3, 6], "impurity": ["gini", "entropy"]}, folds=3)
     return found
 
 

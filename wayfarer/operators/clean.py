@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfarer.functions.columns import in_range, null_outside, scale, title_case
-from wayfarer.operators.quantiles import medians, mode_of
+from wayfarer.operators.quantiles import medians, mode_of, modes
 
 
 def present(df: DataFrame, columns: Iterable[str]) -> list[str]:
@@ -92,8 +92,15 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls to the most frequent value, ties to the smallest."""
-    return df.withColumns({c: F.coalesce(F.col(c), mode_of(df, c).scalar()) for c in columns})
+    """Nulls to the most frequent value, ties to the smallest. Text columns are
+    counted together in one pass; others keep their own order of values."""
+    text = [c for c in columns if dict(df.dtypes)[c] == "string"]
+    out = df
+    if text:
+        table = modes(df, text).agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(c) for c in text])
+        out = out.withColumn("__fill", table.select(F.struct(*text).alias("__fill")).scalar())
+        out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__fill.{c}")) for c in text}).drop("__fill")
+    return out.withColumns({c: F.coalesce(F.col(c), mode_of(df, c).scalar()) for c in columns if c not in text})
 
 
 def _fill_from(df: DataFrame, one_row: DataFrame, columns: Sequence[str]) -> DataFrame:
