@@ -29,7 +29,7 @@ def kde_curve(spark, sf_dir):
 def box_stats(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("value", F.pow(F.col("value"), 2))
     out = stats.box_stats(rows, "value", "event_type")
-    return out.select("event_type", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3", "low", "high")], "outliers")
+    return out.select("event_type", *[F.round(c, 8).alias(c) for c in ("q1", "median", "q3", "low", "high")], "outliers")
 
 
 def _scored(spark, sf_dir):
@@ -110,8 +110,8 @@ ORACLES = {name: oracle(sql) for name, sql in {
     "box_stats":
         "WITH v AS (SELECT event_type, pow(value, 2) AS v FROM events), q AS (SELECT event_type, quantile_cont(v, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY 1), "
         "j AS (SELECT event_type, v, q, v BETWEEN q[1] - 1.5 * (q[3] - q[1]) AND q[3] + 1.5 * (q[3] - q[1]) AS ok FROM v JOIN q USING (event_type)) "
-        "SELECT event_type, round(any_value(q)[1], 4) AS q1, round(any_value(q)[2], 4) AS median, round(any_value(q)[3], 4) AS q3, "
-        "round(min(v) FILTER (ok), 4) AS low, round(max(v) FILTER (ok), 4) AS high, count(*) FILTER (NOT ok) AS outliers FROM j GROUP BY 1",
+        "SELECT event_type, round(any_value(q)[1], 8) AS q1, round(any_value(q)[2], 8) AS median, round(any_value(q)[3], 8) AS q3, "
+        "round(min(v) FILTER (ok), 8) AS low, round(max(v) FILTER (ok), 8) AS high, count(*) FILTER (NOT ok) AS outliers FROM j GROUP BY 1",
     "corr_matrix": " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, " + ("1.0::DOUBLE" if a == b else f"round(corr({a}, {b}), 6)") + " AS r FROM " + ("(SELECT 1)" if a == b else "lineitem")
         for a in NUMBERS for b in NUMBERS),
