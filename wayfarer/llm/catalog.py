@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import bpe, licenses, neighbours, packing, secrets, topk, toxicity
+from wayfarer.llm import bpe, licenses, linededup, neardups, neighbours, packing, secrets, topk, toxicity
 from wayfarer.llm.base import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.dedup_lines(read(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+                       F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -38,6 +44,10 @@ def _of_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardups.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     spans = F.col("spans")
@@ -50,9 +60,49 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.sparse_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64.0), F.col("id") % 20 == 0, 20)
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_bpe, op4_neighbours, op5_toxicity, op6_packing, op9_secrets, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_bpe, op4_neighbours, op5_toxicity, op6_packing, op7_ngram_jaccard, op9_secrets, op10_topk)}
+
+_SHINGLES = """
+shingled AS (
+  SELECT *, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh
+  FROM parted
+)"""
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 ORACLES = {
+    "op1_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL
+), parted AS MATERIALIZED (SELECT doc_id, line, {_WORDS.format("l")} AS w FROM lines), {_SHINGLES},
+tokens AS MATERIALIZED (SELECT doc_id, line, len(sh) AS n, unnest(sh) AS s FROM shingled),
+classes AS MATERIALIZED (SELECT doc_id, line, n, row_number() OVER (PARTITION BY list_sort(sh) ORDER BY doc_id, line) AS place FROM (SELECT doc_id, line, len(sh) AS n, sh FROM shingled WHERE len(sh) > 0)),
+firsts AS MATERIALIZED (SELECT t.* FROM tokens t JOIN classes c USING (doc_id, line) WHERE c.place = 1),
+pairs AS (
+  SELECT b.doc_id, b.line FROM firsts a JOIN firsts b ON a.s = b.s AND (a.doc_id, a.line) < (b.doc_id, b.line) AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, a.line, a.n, b.doc_id, b.line, b.n HAVING 4 * count(*) >= 3 * (a.n + b.n - count(*))
+), classed AS (
+  SELECT doc_id, line, list_sort(sh) AS k FROM shingled WHERE len(sh) > 0
+), gone AS MATERIALIZED (
+  SELECT DISTINCT c.doc_id, c.line FROM classed c LEFT JOIN classes p ON c.doc_id = p.doc_id AND c.line = p.line
+  WHERE p.place > 1 OR (c.doc_id, c.line) IN (SELECT (doc_id, line) FROM pairs)
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.doc_id) AS n_removed, coalesce(string_agg(CAST(g.line AS VARCHAR), ',' ORDER BY l.line), '') AS removed,
+         coalesce(string_agg(CASE WHEN g.doc_id IS NULL THEN l.l END, chr(10) ORDER BY l.line), '') AS t
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_removed, removed, sha256(t) AS text_sha256 FROM kept
+UNION ALL SELECT doc_id, 0, 0, '', NULL FROM documents WHERE text IS NULL""",
+    "op7_ngram_jaccard": f"""
+WITH RECURSIVE parted AS MATERIALIZED (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), {_SHINGLES},
+tokens AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS s FROM shingled),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.s = b.s AND a.doc_id <> b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, a.n, b.doc_id, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id
+)
+SELECT d.doc_id, CAST(len(d.sh) AS BIGINT) AS n_shingles, min(r.r) AS component_id FROM shingled d JOIN reach r USING (doc_id) GROUP BY d.doc_id, len(d.sh)""",
     "op10_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings

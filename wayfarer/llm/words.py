@@ -142,7 +142,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[n
     short = np.flatnonzero((counts < width) & (counts > 0))
     for row in short.tolist():  # of at most `width` words each
         part = hashes[offsets[row] : offsets[row + 1]]
-        value[out[row]] = (part * _PLACE[: len(part)]).sum(dtype=U64) + _PLACE[width + len(part)]
+        value[out[row]] = np.append(part * _PLACE[: len(part)], _PLACE[width + len(part)]).sum(dtype=U64)
     return mix(value), out
 
 
