@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import bpe, licenses, linededup, neardups, neighbours, packing, secrets, topk, toxicity
+from wayfarer.llm import bpe, kneser_ney, licenses, linededup, neardups, neighbours, packing, secrets, topk, toxicity
 from wayfarer.llm.base import read
 
 
@@ -40,6 +40,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0)
+    model = kneser_ney.fit(docs.where(~F.col("held_out")))
+    rows = kneser_ney.score(docs, model, ["doc_id", "held_out"])
+    return rows.withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+
+
 def _of_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -60,7 +67,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.sparse_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64.0), F.col("id") % 20 == 0, 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_bpe, op4_neighbours, op5_toxicity, op6_packing, op7_ngram_jaccard, op9_secrets, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_bpe, op4_neighbours, op5_toxicity, op6_packing, op7_ngram_jaccard, op8_kneser_ney, op9_secrets, op10_topk)}
 
 _SHINGLES = """
 shingled AS (

@@ -8,7 +8,7 @@ A node is a distinct shingle set, named by its fingerprint, so copies fold where
    prefix tokens are shuffled in packed form; nodes that share one make a group. Equal groups fold, and
    members without a partner of fitting length go.
 3. Groups are worked off in rounds. The first tests each member against the group's first node;
-   later ones test members that may still change the result against 1, 2, 4, ... more members.
+   later ones test members that may still change the result against 1, 4, 16, ... more members.
    A large group of near copies is so settled by its first member, and no link that matters is lost.
 4. Pairs are verified on whole sets, gathered by first node in slices of `SLICE` partners.
 """
@@ -243,7 +243,7 @@ def rounds(groups: DataFrame, order: DataFrame, sets: DataFrame, job) -> DataFra
     `order` (node, first, second) ranks the nodes. `job` keeps the state between rounds:
     ``absorb(links)`` takes new links in, ``hungry(members)`` gives the members (gid, gid2, node, n) whose
     tests may still change the result, ``open(pairs)`` keeps the pairs worth a test.
-    A hungry member is tested against 1, 2, 4, ... more members of its group until it is none or all are done.
+    A hungry member is tested against 1, 4, 16, ... more members of its group until it is none or all are done.
     """
     key = ["gid", "gid2"]
     members = stage(groups.join(order, "node"), "members")
@@ -260,15 +260,16 @@ def rounds(groups: DataFrame, order: DataFrame, sets: DataFrame, job) -> DataFra
             new = stage(verified(pairs, sets), "links")
             links = new if links is None else links.unionByName(new)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            job.absorb(new)
+            if not new.isEmpty():
+                job.absorb(new)
         if last is None or low > last:
             return links if links is not None else pairs
         hungry = job.hungry(members)
         if hungry.isEmpty():
             return links if links is not None else pairs
-        window = members.where((F.col("position") >= low) & (F.col("position") <= 2 * low)).select(*key, F.col("node").alias("a"), F.col("n").alias("an"))
+        window = members.where((F.col("position") >= low) & (F.col("position") <= 4 * low)).select(*key, F.col("node").alias("a"), F.col("n").alias("an"))
         pairs = hungry.select(*key, F.col("node").alias("b"), F.col("n").alias("bn")).join(window, key)
-        low = 2 * low + 1
+        low = 4 * low + 1
 
 
 def overlap_search(leader: np.ndarray, partners: list[np.ndarray]) -> np.ndarray:
@@ -364,7 +365,7 @@ def components(state: DataFrame | None, links: DataFrame) -> DataFrame:
     edges = stage(renamed(links, labels), "edges")
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        up = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "up")
+        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
         jump = stage(up.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "jump")
         labels = stage(labels.join(jump.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
         edges = stage(renamed(edges, jump), "edges")
