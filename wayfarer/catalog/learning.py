@@ -282,15 +282,15 @@ _DIMS = "(SELECT vec_id, label, unnest(range(64)) AS i, unnest(embedding)::DOUBL
 _CENTRES = f"centres AS (SELECT label AS c, list(m ORDER BY i) AS x FROM (SELECT label, i, avg(v) AS m FROM {_DIMS} GROUP BY 1, 2) GROUP BY 1)"
 _ASSIGNED = (
     "(SELECT vec_id, label, arg_min(c, struct_pack(d := d, c := c)) AS cluster FROM (SELECT vec_id, label, c, "
-    "round(pow(list_distance(embedding::DOUBLE[], x), 2), 12) AS d FROM embeddings, centres) GROUP BY 1, 2)"
+    "list_distance(embedding::DOUBLE[], x) AS d FROM embeddings, centres) GROUP BY 1, 2)"
 )
 
 
 def _neighbours_sql() -> str:
     base = (
         f"WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, r <= round(n * 0.8) AS is_train FROM {_ranked('embeddings', 'vec_id', 'label')}), "
-        "d AS (SELECT q.vec_id, p.vec_id AS pid, p.label, round(list_distance(q.e, p.e), 9) AS d2, "
-        "round(list_sum([abs(a - b) for a, b in list_zip_(q.e, p.e)]), 9) AS d1 FROM s q, s p WHERE NOT q.is_train AND p.is_train), "
+        "d AS (SELECT q.vec_id, p.vec_id AS pid, p.label, list_distance(q.e, p.e) AS d2, "
+        "list_sum([abs(a - b) for a, b in list_zip_(q.e, p.e)]) AS d1 FROM s q, s p WHERE NOT q.is_train AND p.is_train), "
         "n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, pid) AS p2, row_number() OVER (PARTITION BY vec_id ORDER BY d1, pid) AS p1 FROM d), "
     )
     base = base.replace("list_sum([abs(a - b) for a, b in list_zip_(q.e, p.e)])", "list_sum([abs(t[1] - t[2]) for t in list_zip(q.e, p.e)])")

@@ -9,28 +9,23 @@ from pyspark.sql import functions as F
 
 from wayfarer import vocabulary as vocab
 from wayfarer.functions.columns import bin_fixed, bin_left_closed, hhmm_to_minutes, row_mean, scale
+from wayfarer.operators import clean, text
 from wayfarer.operators import rules as r
-from wayfarer.operators import text
+from wayfarer.operators.bins import bin_quantile
 from wayfarer.plans.binding import oracle, star, table
 from wayfarer.plans.star import Star
-from wayfarer.session import staging_dir
+from wayfarer.session import stage, staging_dir
 from wayfarer.sources import writers
 
 CITIES = ["Departure_City", "Arrival_City"]
 ROW = ["Service_Key", "Leg", "Flight_Key", "Airline_Key"]
-MINED_COLUMNS = [
-    "Gender", "Travel_Purpose", "Class", "Flight_Route_Type", "Departure_Delay_Category", "Flight_Duration_Category",
-    "Seat_Comfort", "Food_Quality", "Overall_Satisfaction", "Recommendation",
-]
 RULE_CUT = {k: vocab.KEYED_MINING[k] for k in ("min_confidence", "min_lift")}
 
 
-def _service_class(rows):
-    """Tertile label of the mean service score; one projection per step, so that
-    no expression is repeated in the next."""
+def _service_composite(rows):
+    """Mean service score; one projection per step, so that no expression is repeated in the next."""
     scores = {f"{c}_Score": scale(c, vocab.SCALES["rating_composite"]) for c in vocab.SERVICE_COLUMNS}
-    scored = rows.withColumns(scores).withColumn("Service_Composite", row_mean(*scores))
-    return scored.withColumn("Service_Class", bin_fixed("Service_Composite", [0, 2, 2.5, 4], vocab.SERVICE_TERTILES))
+    return rows.withColumns(scores).withColumn("Service_Composite", row_mean(*scores))
 
 
 def _flight_times(rows):
@@ -48,19 +43,23 @@ def _flights(spark, sf_dir, columns):
     delays = {f"{c}_Category": bin_fixed(c, *vocab.DELAY_BINS) for c in ("Departure_Delay", "Arrival_Delay")}
     dims = {
         **s.dimensions,
-        "service": s.dimensions["service"].derive("Service_Class", by=_service_class),
+        "service": s.dimensions["service"].derive("Service_Composite", by=_service_composite),
         "flight": s.dimensions["flight"].derive("Flight_Time_Cat", "Flight_Duration_Category", by=_flight_times),
     }
     return Star(s.fact.withColumns(delays), dims).flat(list(columns))
 
 
 def keyed(spark, sf_dir, keep=()):
-    rows = _flights(spark, sf_dir, [*keep, *vocab.KEYED_ITEM_COLUMNS])
+    """Service class by terciles of all flights, cities tidied and rare ones named so."""
+    columns = [c if c != "Service_Class" else "Service_Composite" for c in vocab.KEYED_ITEM_COLUMNS]
+    rows = stage(_flights(spark, sf_dir, [*keep, *columns]), "keyed")
+    rows = bin_quantile(rows, "Service_Composite", vocab.SERVICE_TERTILES, "Service_Class")
+    rows = clean.rare_to_other(clean.clean_names(rows, CITIES), CITIES, vocab.MIN_CITY_COUNT, vocab.RARE_LABEL)
     return r.transactions_keyed(rows, vocab.KEYED_ITEM_COLUMNS, keep, CITIES)
 
 
 def prefixed(spark, sf_dir):
-    return r.transactions_prefixed(_flights(spark, sf_dir, MINED_COLUMNS), MINED_COLUMNS)
+    return r.transactions_prefixed(_flights(spark, sf_dir, vocab.PREFIXED_ITEM_COLUMNS), vocab.PREFIXED_ITEM_COLUMNS)
 
 
 def flags(spark, sf_dir, keep=()):
@@ -184,11 +183,13 @@ def _delay(c: str) -> str:
 _RATE = " + ".join(
     f"(CASE {c} WHEN 'Poor' THEN 1 WHEN 'Fair' THEN 2 WHEN 'Good' THEN 3 WHEN 'Excellent' THEN 4 ELSE 2 END)" for c in vocab.SERVICE_COLUMNS)
 _FLIGHTS = (
-    "flights AS (SELECT *, row_number() OVER () AS id, "
+    "scored AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY Service_Key, Leg, Flight_Key, Airline_Key) - 1 AS id, "
     f"CASE WHEN {_MIN} <= 0 THEN NULL WHEN {_MIN} <= 90 THEN 'Short' WHEN {_MIN} <= 180 THEN 'Medium' WHEN {_MIN} <= 300 THEN 'Long' ELSE 'Extended' END AS Flight_Time_Cat, "
     f"CASE WHEN {_MIN} < 60 THEN 'Short' WHEN {_MIN} < 120 THEN 'Medium' ELSE 'Long' END AS Flight_Duration_Category, "
-    f"{_delay('Departure_Delay')}, {_delay('Arrival_Delay')}, "
-    f"CASE WHEN ({_RATE}) / 9.0::DOUBLE <= 2 THEN 'Basic' WHEN ({_RATE}) / 9.0::DOUBLE <= 2.5 THEN 'Standard' ELSE 'Premium' END AS Service_Class FROM staging)"
+    f"{_delay('Departure_Delay')}, {_delay('Arrival_Delay')}, ({_RATE}) / 9.0::DOUBLE AS Service_Composite FROM staging), "
+    "cities AS MATERIALIZED (SELECT c FROM (SELECT Departure_City AS c FROM scored UNION ALL SELECT Arrival_City FROM scored) GROUP BY c HAVING count(*) >= 15), "
+    "edges AS (SELECT quantile_cont(Service_Composite, 1.0::DOUBLE / 3) AS low, quantile_cont(Service_Composite, 2.0::DOUBLE / 3) AS high FROM scored), "
+    "flights AS MATERIALIZED (SELECT *, CASE WHEN Service_Composite <= low THEN 'Basic' WHEN Service_Composite <= high THEN 'Standard' ELSE 'Premium' END AS Service_Class FROM scored, edges)"
 )
 
 
@@ -196,7 +197,7 @@ def _kv_items() -> str:
     parts = []
     for c in vocab.KEYED_ITEM_COLUMNS:
         if c in CITIES:
-            parts.append(f"CASE WHEN {c} <> 'Rare_City' THEN '{c.split('_')[0]}=' || {c} END")
+            parts.append(f"CASE WHEN {c} IN (SELECT c FROM cities) THEN '{c.split('_')[0]}=' || {c} END")
         else:
             parts.append(f"'{c}=' || replace({c}, ' ', '_')")
     return _list(parts)
@@ -207,26 +208,32 @@ def _list(parts: list[str]) -> str:
 
 
 _PREFIX_ALL = _list([f"'{c}_' || {c}" for c in vocab.PREFIXED_ITEM_COLUMNS])
-_PREFIX_MINED = _list([f"'{c}_' || {c}" for c in MINED_COLUMNS])
 _FLAGS = _list([f"CASE WHEN {c} = 'Yes' THEN '{c}' END" for c in vocab.FLAG_ITEM_COLUMNS] + ["'Class_' || Class", "'Booking_Channel_' || Booking_Channel"])
 
 
 def _mine(items: str, support: float, max_len: int = 3) -> str:
-    """CTEs up to ``sets (items VARCHAR[], n, size)`` and ``tx_n``."""
+    """CTEs up to ``sets (items VARCHAR[], n)`` and ``tx_n``. Rows are numbered by their own columns and cut into
+    chunks of 60; an itemset is a bit mask per chunk, and a longer one grows from frequent pairs."""
+    need = f">= {support} * (SELECT total FROM tx_n)"
     steps = [
-        _FLIGHTS, f"tx AS (SELECT id, {items} AS items FROM flights)", "tx_n AS (SELECT count(*)::DOUBLE AS total FROM tx)",
-        "u AS (SELECT id, unnest(items) AS x FROM tx)",
-        f"f1 AS (SELECT x, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= {support} * (SELECT total FROM tx_n))",
-        "r AS (SELECT id, x FROM u JOIN f1 USING (x))",
+        _FLIGHTS, f"tx AS MATERIALIZED (SELECT id, {items} AS items FROM flights)", "tx_n AS MATERIALIZED (SELECT count(*)::DOUBLE AS total FROM tx)",
+        "u AS MATERIALIZED (SELECT id, unnest(items) AS x FROM tx)",
+        f"f1 AS MATERIALIZED (SELECT x, count(*) AS n FROM u GROUP BY 1 HAVING count(*) {need})",
+        "m AS MATERIALIZED (SELECT x, id // 60 AS chunk, bit_or(1::BIGINT << CAST(id % 60 AS INT)) AS mask FROM u JOIN f1 USING (x) GROUP BY ALL)",
         "s1 AS (SELECT [x] AS items, n FROM f1)",
+        "m2 AS MATERIALIZED (SELECT a.x AS x, b.x AS y, [a.x, b.x] AS items, chunk, a.mask & b.mask AS mask FROM m a JOIN m b USING (chunk) WHERE a.x < b.x AND a.mask & b.mask <> 0)",
+        f"p2 AS MATERIALIZED (SELECT x, y, sum(bit_count(mask)) AS n FROM m2 GROUP BY 1, 2 HAVING sum(bit_count(mask)) {need})",
+        "s2 AS (SELECT [x, y] AS items, n FROM p2)",
     ]
-    unions = ["SELECT * FROM s1"]
-    for k in range(2, max_len + 1):
-        cols = ", ".join(f"r{i}.x" for i in range(1, k + 1))
-        joins = "r r1 " + " ".join(f"JOIN r r{i} ON r{i}.id = r1.id AND r{i - 1}.x < r{i}.x" for i in range(2, k + 1))
-        steps.append(f"s{k} AS (SELECT [{cols}] AS items, count(*) AS n FROM {joins} GROUP BY ALL HAVING count(*) >= {support} * (SELECT total FROM tx_n))")
-        unions.append(f"SELECT * FROM s{k}")
-    steps.append(f"sets AS ({' UNION ALL '.join(unions)})")
+    unions = ["SELECT items, CAST(n AS BIGINT) AS n FROM s1", "SELECT items, CAST(n AS BIGINT) AS n FROM s2"]
+    for k in range(3, max_len + 1):
+        last = f"(SELECT * FROM m{k - 1} WHERE items IN (SELECT items FROM s{k - 1}))"
+        steps.append(
+            f"m{k} AS MATERIALIZED (SELECT list_append(l.items, p.y) AS items, l.chunk, l.mask & b.mask AS mask FROM {last} l "
+            f"JOIN p2 p ON p.x = l.items[{k - 1}] JOIN p2 q ON q.x = l.items[1] AND q.y = p.y JOIN m b ON b.x = p.y AND b.chunk = l.chunk WHERE l.mask & b.mask <> 0)")
+        steps.append(f"s{k} AS MATERIALIZED (SELECT items, sum(bit_count(mask)) AS n FROM m{k} GROUP BY 1 HAVING sum(bit_count(mask)) {need})")
+        unions.append(f"SELECT items, CAST(n AS BIGINT) AS n FROM s{k}")
+    steps.append(f"sets AS MATERIALIZED ({' UNION ALL '.join(unions)})")
     return "WITH " + ", ".join(steps)
 
 
@@ -245,7 +252,7 @@ _SHOWN = f"array_to_string(antecedent, ' + ') AS antecedent, array_to_string(con
 _ITEMSETS = "SELECT array_to_string(items, ' + ') AS items, n, round(n / total, 6) AS support FROM sets, tx_n"
 _BY_LIFT = "ORDER BY round(lift, 9) DESC, antecedent, consequent"
 _KEYED = _mine(_kv_items(), vocab.KEYED_MINING["min_support"])
-_PREFIXED = _mine(_PREFIX_MINED, vocab.PREFIXED_MINING["min_support"])
+_PREFIXED = _mine(_PREFIX_ALL, vocab.PREFIXED_MINING["min_support"])
 
 
 def _has(items: str, words: list[str]) -> str:
@@ -264,7 +271,7 @@ ORACLES = {name: oracle(sql) for name, sql in {
     "transactions_prefix": _row_items(_PREFIX_ALL),
     "transactions_flags": _row_items(_FLAGS),
     "frequent_itemsets": f"{_KEYED} {_ITEMSETS}",
-    "frequent_itemsets_flags": f"{_mine(_FLAGS, 0.05, 6)} {_ITEMSETS}",
+    "frequent_itemsets_flags": f"{_mine(_FLAGS, 0.05, len(vocab.FLAG_ITEM_COLUMNS) + 2)} {_ITEMSETS}",
     "support_fallback": f"{_mine(_FLAGS, 0.2)}{_RULES} SELECT {_SHOWN} FROM rules WHERE confidence >= 0.3",
     "association_rules": f"{_KEYED}{_RULES} SELECT {_SHOWN} FROM rules",
     "rules_filtered": f"{_KEYED}{_RULES} SELECT {_SHOWN} FROM rules WHERE confidence >= 0.65 AND lift >= 1.7 AND len(consequent) = 1",

@@ -63,7 +63,9 @@ def silhouettes(df: DataFrame, key: str, features: str, cluster: str = "cluster"
     is_array = df.schema[features].dataType.typeName() == "array"
     array = F.col(features).cast("array<double>") if is_array else vector_to_array(features)
     rows = df.select(F.col(key).alias("__k"), F.col(cluster).cast("int").alias("__c"), array.alias("__x"))
-    sums = _squared_means(rows) if metric == "squared" else _distance_sums(rows)
+    if metric == "squared":
+        return _squared_silhouettes(rows, key, cluster)
+    sums = _distance_sums(rows)
     own = F.col("__other") == F.col("__c")
     # sums: total distance of the row to each cluster, and that cluster's size
     scored = sums.groupBy("__k", "__c").agg(
@@ -77,25 +79,31 @@ def silhouettes(df: DataFrame, key: str, features: str, cluster: str = "cluster"
     return scored.select(F.col("__k").alias(key), F.col("__c").alias(cluster), value.alias("silhouette"))
 
 
-def _squared_means(rows: DataFrame) -> DataFrame:
-    """Distance totals per row and cluster from cluster moments (k rows of d
-    numbers, read to the driver)."""
+def _squared_silhouettes(rows: DataFrame, key: str, cluster: str) -> DataFrame:
+    """Row by row from cluster moments (k rows of d numbers, read to the driver):
+    all a row needs is in the row, so nothing is shuffled."""
     long = rows.select("__c", F.posexplode("__x").alias("at", "v"))
     moments = long.groupBy("__c", "at").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
     clusters: dict = {}
     for r in moments.collect():
         clusters.setdefault(r["__c"], {})[r["at"]] = (r["n"], r["s"], r["q"])
-    parts = []
+    norm = F.aggregate("__x", F.lit(0.0), lambda acc, v: acc + v * v)
+    rows = rows.withColumn("__norm", norm)
+    gaps = []
     for c, dims in sorted(clusters.items()):
         n = dims[0][0]
         total = F.lit(sum(q for _, _, q in dims.values()))
         s = F.array(*[F.lit(dims[i][1]) for i in range(len(dims))])
-        norm = F.aggregate("__x", F.lit(0.0), lambda acc, v: acc + v * v)
         dot = F.aggregate(F.zip_with("__x", s, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
         # sum over y of |x - y|^2 = n |x|^2 - 2 x.S + Q
-        gap = F.greatest(F.lit(0.0), float(n) * norm - 2.0 * dot + total)
-        parts.append(F.struct(F.lit(c).alias("__other"), F.lit(float(n)).alias("size"), gap.alias("total")))
-    return rows.select("__k", "__c", F.inline(F.array(*parts)))
+        gap = F.greatest(F.lit(0.0), float(n) * F.col("__norm") - 2.0 * dot + total)
+        gaps.append(F.struct((F.col("__c") == c).alias("own"), F.lit(float(n)).alias("size"), gap.alias("total")))
+    placed = rows.select("__k", "__c", F.array(*gaps).alias("__gaps"))
+    mine = F.filter("__gaps", lambda g: g["own"])[0]
+    others = F.array_min(F.transform(F.filter("__gaps", lambda g: ~g["own"]), lambda g: g["total"] / g["size"]))
+    placed = placed.select("__k", "__c", mine["size"].alias("size"), (mine["total"] / F.greatest(mine["size"] - 1, F.lit(1))).alias("a"), others.alias("b"))
+    value = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return placed.select(F.col("__k").alias(key), F.col("__c").alias(cluster), value.alias("silhouette"))
 
 
 def _distance_sums(rows: DataFrame, block_rows: int = 2048) -> DataFrame:
@@ -137,7 +145,7 @@ def assign_nearest(df: DataFrame, features: str, centres: Mapping[int, Sequence[
     x = F.col(features).cast("array<double>")
     gaps = F.array(*[
         F.struct(
-            F.round(F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v), 12).alias("d"),
+            F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"),
             F.lit(int(label)).alias("c"),
         ) for label, c in sorted(centres.items())
     ])

@@ -152,7 +152,7 @@ def nearest_neighbours(
         found = []
         for start in range(0, len(left), QUERY_CHUNK):
             chunk = left.iloc[start:start + QUERY_CHUNK]
-            d = np.round(pairwise(_matrix(chunk["__x"]), points_, metric), 9)
+            d = pairwise(_matrix(chunk["__x"]), points_, metric)
             if exclude_self:
                 d[chunk["__qid"].to_numpy()[:, None] == right["__pid"].to_numpy()[None, :]] = np.inf
             take = np.argsort(d, axis=1, kind="stable")[:, :k]

@@ -1,17 +1,18 @@
 """Frequent itemsets and association rules.
 
 Mining is level-wise (Apriori): items, pairs, then itemsets grown only from
-frequent ones. Rows are cut to their frequent items and folded to distinct
-transactions first. What is shuffled are candidate counts, folded per task; no
-step pairs rows with rows.
+frequent ones. What is shuffled are candidate counts, folded per task; no step
+pairs rows with rows or blows a row up to its combinations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from wayfarer.functions.columns import snake, unsnake
 from wayfarer.operators.ordering import top_k, top_k_per_group
 from wayfarer.session import stage
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+WIDEST_RULE = 24  #: items of a set that is split into rules: 2^24 splits
 
 
 # --- transactions ---------------------------------------------------------------
@@ -74,53 +75,75 @@ class Mined:
 def frequent_itemsets(transactions: DataFrame, min_support: float, max_len: int | None = None) -> Mined:
     """Itemsets ``(items, n, support)`` held by at least `min_support` of the rows.
 
-    Runs one job per level. Only the frequent single items come to the driver:
-    at support s and L items per row there are at most L / s of them.
+    One pass over the rows per level. A task turns its rows into one bit row per
+    frequent item and counts every candidate by joint bits, so no row is blown up to
+    its combinations and only counts are shuffled. Frequent itemsets come to the driver to
+    name the next candidates: at support s and L items per row there are at most L / s
+    items and (L / s)^k sets of k, whatever the number of rows.
     """
-    # read four times below; staged so that the joins behind it run once
     transactions = stage(transactions.select("items"), "baskets")
     total = transactions.count()
     need = _needed(total, min_support)
     singles = (
         transactions.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= need)
+        .where(F.col("n") >= need).collect()
     )
-    singles = stage(singles.select(F.array("item").alias("items"), "n"), "itemsets-1")
-    levels = [singles]
-    names = sorted(r["items"][0] for r in singles.collect())
+    names = sorted(r["item"] for r in singles)
+    counts = {r["item"]: r["n"] for r in singles}
+    found = [([name], counts[name]) for name in names]
+    level = [(i,) for i in range(len(names))]
     size = 1
-    if len(names) > 1 and max_len != 1:
-        rows = _cut(transactions, names)
-        pairs = (
-            rows.select("items", "w", F.posexplode("items").alias("at", "a"))
-            .select("w", "a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("b"))
-            .groupBy(F.array("a", "b").alias("items")).agg(F.sum("w").alias("n")).where(F.col("n") >= need)
-        )
-        levels.append(stage(pairs, "itemsets-2"))
-        size = 2
-        grown = rows.select("items", "w", F.posexplode("items").alias("at", "a")).select(
-            "items", "w", F.explode(F.transform(
-                F.slice("items", F.col("at") + 2, F.size("items")), lambda b: F.array(F.col("a"), b)
-            )).alias("held"),
-        )
-        while max_len is None or size < max_len:
-            extensions = _extensions(levels[-1], size)
-            if extensions is None:
-                break
-            grown = (
-                grown.join(extensions, "held")
-                .withColumn("next", F.explode(F.array_intersect("more", "items")))
-                .select("items", "w", F.concat("held", F.array("next")).alias("held"))
-            )
-            level = grown.groupBy(F.col("held").alias("items")).agg(F.sum("w").alias("n")).where(F.col("n") >= need)
-            level = stage(level, f"itemsets-{size + 1}")
-            if level.isEmpty():
-                break
-            levels.append(level)
-            size += 1
-    found = reduce(DataFrame.unionByName, levels)
+    while len(level) > 1 and (max_len is None or size < max_len):
+        candidates = _candidates(level)
+        if not candidates:
+            break
+        kept = [(candidates[r["at"]], r["n"]) for r in _count(transactions, names, candidates).where(F.col("n") >= need).collect()]
+        level = sorted(c for c, _ in kept)
+        found += [([names[i] for i in c], n) for c, n in kept]
+        size += 1
+    rows = transactions.sparkSession.createDataFrame(found, "items array<string>, n bigint")
     support = F.try_divide(F.col("n").cast("double"), F.lit(float(total)))
-    return Mined(found.select("items", "n", support.alias("support")), total)
+    return Mined(rows.select("items", "n", support.alias("support")), total)
+
+
+def _candidates(level: Sequence[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Sets one larger, all of whose subsets are in the sorted `level`."""
+    known, out = set(level), []
+    for at, left in enumerate(level):
+        for right in level[at + 1:]:
+            if left[:-1] != right[:-1]:
+                break
+            wider = (*left, right[-1])
+            if all(wider[:k] + wider[k + 1:] in known for k in range(len(wider) - 2)):
+                out.append(wider)
+    return out
+
+
+def _count(transactions: DataFrame, names: Sequence[str], candidates: Sequence[tuple[int, ...]]) -> DataFrame:
+    """``(at, n)``: rows that hold each candidate, by its place in `candidates`."""
+    place = {name: i for i, name in enumerate(names)}
+    sets = np.array(candidates, dtype=np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(len(sets), dtype=np.int64)
+        for batch in batches:
+            items = batch.column("items")
+            codes = np.array([place.get(x, -1) for x in items.flatten().to_pylist()], dtype=np.int64)
+            rows = np.repeat(np.arange(len(items)), items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            held = np.zeros((len(names), len(items)), dtype=bool)
+            held[codes[codes >= 0], rows[codes >= 0]] = True
+            bits = np.packbits(held, axis=1)
+            for start in range(0, len(sets), 2048):
+                part = sets[start:start + 2048]
+                joint = bits[part[:, 0]]
+                for k in range(1, part.shape[1]):
+                    joint = joint & bits[part[:, k]]
+                totals[start:start + 2048] += np.bitwise_count(joint).sum(axis=1, dtype=np.int64)
+        at = np.flatnonzero(totals)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["at", "n"])
+
+    return transactions.select("items").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
 
 
 def _needed(total: int, min_support: float) -> int:
@@ -131,38 +154,6 @@ def _needed(total: int, min_support: float) -> int:
     return need
 
 
-def _cut(transactions: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Transactions cut to the frequent items and folded, with their weight."""
-    kept = transactions.select(F.filter("items", lambda x: x.isin(*names)).alias("items"))
-    folded = kept.where(F.size("items") > 1).groupBy("items").agg(F.count(F.lit(1)).alias("w"))
-    return stage(folded, "transactions")
-
-
-def _extensions(level: DataFrame, size: int) -> DataFrame | None:
-    """``(held, more)``: for each frequent itemset the later items that may extend
-    it, i.e. those whose every subset of the next size is frequent."""
-    prefix, last = F.slice("items", 1, size - 1), F.element_at("items", -1)
-    left = level.select(prefix.alias("prefix"), last.alias("a"))
-    right = level.select(prefix.alias("prefix"), last.alias("b"))
-    wanted = left.join(right, "prefix").where(F.col("a") < F.col("b"))
-    wanted = wanted.select(F.concat("prefix", F.array("a")).alias("held"), F.col("b"))
-    for drop in range(size - 1):
-        # the subset without item `drop`: the two that drop one of the last are given
-        subset = F.concat(F.slice("held", 1, drop), F.slice("held", drop + 2, size), F.array("b"))
-        wanted = wanted.withColumn("subset", subset).join(
-            level.select(F.col("items").alias("subset")), "subset", "left_semi"
-        ).drop("subset")
-    table = stage(wanted.groupBy("held").agg(F.array_sort(F.collect_set("b")).alias("more")), f"candidates-{size + 1}")
-    width = table.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.length(F.concat_ws("", F.concat("held", "more")))), F.lit(0)).alias("chars"),
-    ).first()
-    if not width["rows"]:
-        return None
-    # measured, not assumed: one task gets the candidates only if they are small
-    return F.broadcast(table) if 4 * width["chars"] + 64 * width["rows"] <= BROADCAST_BYTES else table
-
-
 # --- rules ----------------------------------------------------------------------------
 
 def association_rules(
@@ -172,6 +163,9 @@ def association_rules(
     confidence, lift, leverage and conviction (infinite at confidence 1)."""
     sets = mined.itemsets
     total = F.lit(float(mined.transactions))
+    widest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    if widest > WIDEST_RULE:
+        raise ValueError(f"an itemset of {widest} items has 2^{widest} splits; mine with max_len <= {WIDEST_RULE}")
     whole = sets.where(F.size("items") > 1).select("items", F.col("n").alias("n_both"))
     masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 2)
     split = whole.withColumn("mask", F.explode(masks))

@@ -170,7 +170,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
     def dimension(name: str, key: str, via: str = "fact") -> Dimension:
-        return Dimension(lambda: view(spark, sf_dir, name), key, via, columns=tuple(VIEWS[name][1]))
+        # the tables come with whole foreign keys
+        return Dimension(lambda: view(spark, sf_dir, name), key, via, columns=tuple(VIEWS[name][1]), total=True)
 
     return Star(
         view(spark, sf_dir, "fact"),

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 class Dimension:
     """A dimension, its key there, and the table and column that point at it.
 
-    Every reference key must find exactly one dimension row: joins of
-    dimensions nobody reads are left out on that ground. `source` may be a
+    A key finds one dimension row at most. `total` declares that it always
+    finds one: the join may then be left out where nobody reads the dimension.
+    Without that, rows whose key finds none drop out of every plan. `source` may be a
     function, called when the dimension is first read; `columns` then names
     what it will hold.
     """
@@ -25,6 +26,7 @@ class Dimension:
     via: str = "fact"
     via_key: str | None = None
     columns: tuple[str, ...] | None = None
+    total: bool = False
 
     @cached_property
     def frame(self) -> DataFrame:
@@ -39,7 +41,7 @@ class Dimension:
         return [c for c in (self.columns or self.frame.columns) if c != self.key]
 
     def where(self, condition: Column) -> "Dimension":
-        return replace(self, source=self.frame.where(condition))
+        return replace(self, source=self.frame.where(condition), total=False)
 
     def derive(self, *names: str, by: Callable[[DataFrame], DataFrame]) -> "Dimension":
         """The dimension with the columns `names` that `by` adds. Derived here, a
@@ -71,7 +73,7 @@ class Star:
             raise KeyError(f"no table of the star has a column {column!r}")
         return self.owners[column]
 
-    def _needed(self, columns: Iterable[str]) -> list[str]:
+    def _needed(self, columns: Iterable[str], without: str | None = None) -> list[str]:
         """Dimensions that hold `columns`, parents of snowflaked ones first."""
         chosen: list[str] = []
 
@@ -83,15 +85,19 @@ class Star:
 
         for column in columns:
             visit(self.owner(column))
+        for name, dim in self.dimensions.items():
+            if not dim.total and name != without:
+                visit(name)
         return chosen
 
-    def flat(self, columns: list[str], dims: Iterable[str] = ()) -> DataFrame:
+    def flat(self, columns: list[str], dims: Iterable[str] = (), without: str | None = None) -> DataFrame:
         """The denormalised table cut to `columns`, joining only what they need.
 
+        `without` names a dimension the caller joins itself.
         No broadcast hints: a dimension may be larger than memory, so the choice
         between broadcast and sort-merge is left to the size known at run time.
         """
-        order = self._needed(columns)
+        order = self._needed(columns, without)
         for name in dims:
             if name not in order:
                 order += [n for n in self._needed([self.dimensions[name].attributes[0]]) if n not in order]
@@ -133,7 +139,7 @@ class Star:
 
         dim = self.dimensions[late]
         early = [k for k in keys if k not in dim.attributes]
-        base = self.flat(list(dict.fromkeys([dim.foreign_key] + early + reads)))
+        base = self.flat(list(dict.fromkeys([dim.foreign_key] + early + reads)), without=late)
         if where is not None:
             base = base.where(where)
         partial = base.groupBy(dim.foreign_key, *early).agg(*[p for m in measures for p in m.partial()])

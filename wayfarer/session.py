@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,26 +28,48 @@ def build_session(app: str = "wayfarer", master: str | None = None, **conf: obje
     return builder.getOrCreate()
 
 
+_STAGED: list[str] = []
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the
-    session. Only where the session names none (tests) is a local one made."""
+    session. Where none is named a local master gets a folder of this machine,
+    removed when the process ends; any other master raises, because its
+    executors would not see such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="wayfarer-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    folder = tempfile.mkdtemp(prefix="wayfarer-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Remove all tables this process has staged; returns how many. For the end
+    of a run: frames that still read a staged table fail afterwards."""
+    done = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once as parquet in the shared folder and read it back.
 
-    Cuts lineage for loops (level-wise mining, model sweeps). Unlike a cache or
+    Cuts lineage for loops (level-wise mining, model sweeps); `drop_staged`
+    removes the tables. Unlike a cache or
     a local checkpoint the table outlives lost executors, and unlike
     ``checkpoint()`` the plan behind it runs once, and the result stays
     columnar, so later steps still prune columns.
     """
     spark = df.sparkSession
     path = os.path.join(staging_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
