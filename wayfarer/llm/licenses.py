@@ -85,7 +85,7 @@ class Scanner:
                 if saved < SAVED:
                     continue
                 have = [m[0].lower() for m in words]
-                parts = difflib.SequenceMatcher(None, wanted, have, autojunk=False).get_matching_blocks()
+                parts = [p for p in difflib.SequenceMatcher(None, wanted, have, autojunk=False).get_matching_blocks() if p.size]
                 matched = sum(p.size for p in parts)
                 if matched < MATCHED * len(wanted):
                     continue

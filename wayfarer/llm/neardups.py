@@ -69,9 +69,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text = docs.select("text")
     groups = stage(S.groups_of(text, S.frequent_tokens(text), entries), "groups")
     firsts = some.groupBy("node").agg(F.min("doc_id").alias("first"))
-    sets = stage(S.sets_of(text, groups.select("node").distinct()), "tokens")
     job = Components()
-    S.rounds(groups, firsts.select("node", "first", F.lit(0).alias("second")), sets, job)
+    S.rounds(groups, firsts.select("node", "first", F.lit(0).alias("second")), lambda wanted: S.sets_of(text, wanted), S.overlap_search, job)
     labels = firsts.withColumn("label", F.col("node")) if job.labels is None else firsts.join(job.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labels = stage(labels, "named")
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))

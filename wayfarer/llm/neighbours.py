@@ -60,9 +60,10 @@ def _round(links: int, offers: int, last: bool):
     """One round over a partition that holds all rows of its nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # about NODES nodes and what is offered to them
-        if not table.num_rows:
+        parts = [b for b in batches if b.num_rows]  # about NODES nodes and what is offered to them
+        if not parts:
             return
+        table = pa.Table.from_batches(parts)
         other = table["other"].to_numpy()
         own = np.flatnonzero(np.isnan(table["distance"].to_numpy()))
         node, shard = table["node"].to_numpy()[own], table["shard"].to_numpy()[own]

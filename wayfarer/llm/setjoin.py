@@ -5,8 +5,8 @@ A node is a distinct shingle set, named by its fingerprint, so copies fold where
 1. Tokens that are frequent are counted over all data; a set's tokens are ordered by rarity: those
    counted as frequent come last by count, the rest first by fingerprint. Any total order keeps the join exact.
 2. Two sets of Jaccard >= t share a token among the first |x| - ceil(t|x|) + 1 of each. Those
-   prefix tokens are shuffled in packed form; nodes that share one make a group. Equal groups fold, and
-   members without a partner of fitting length go.
+   prefix tokens are shuffled in packed form; nodes that share one make a group. Members without a
+   partner that passes the length and the positional filter go, and equal groups fold.
 3. Groups are worked off in rounds. The first tests each member against the group's first node;
    later ones test members that may still change the result against 1, 4, 16, ... more members.
    A large group of near copies is so settled by its first member, and no link that matters is lost.
@@ -30,6 +30,7 @@ THRESHOLD = (3, 4)  #: Jaccard as numerator and denominator, so tests stay in in
 FREQUENT = 1 << 17  #: tokens whose counts order the sets; all others count as rare
 LOCAL = 1 << 14  #: tokens one task reports as frequent, those it saw most
 ENTRIES = 1 << 20  #: prefix tokens of a bucket
+CLOSE = 1024  #: entries of a token up to which each is held against each by size and place
 SLICE = 256  #: partners of one node verified in one group
 FILTER_BITS = 1 << 27  #: bound of the bit map that keeps unneeded sets from being shuffled
 I64 = np.int64
@@ -52,6 +53,36 @@ def fits(a, b):
     return (q * F.least(a, b) >= p * F.greatest(a, b))
 
 
+def with_partner(tokens: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which entries, sorted by token, have another of their token that passes the length and the positional filter.
+
+    At the first token two sets share they can still overlap by 1 + the smaller number of tokens behind it. Tokens
+    of more than `CLOSE` entries keep all of them.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, I64)
+    counts = np.diff(np.append(starts, len(tokens)))
+    behind = sizes - places
+    p, q = THRESHOLD
+
+    def passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = sizes[a], sizes[b]
+        return (q * np.minimum(x, y) >= p * np.maximum(x, y)) & (np.minimum(behind[a], behind[b]) >= need(x, y))
+
+    out = np.zeros(len(tokens), bool)
+    two = starts[counts == 2]
+    good = passes(two, two + 1)
+    out[two[good]] = out[two[good] + 1] = True
+    for a, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist()):
+        if n > CLOSE:
+            out[a : a + n] = True
+            continue
+        at = np.arange(a, a + n)
+        grid = passes(at[:, None], at[None, :])
+        np.fill_diagonal(grid, False)
+        out[at] = grid.any(axis=1)
+    return out
+
+
 def set_nodes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A fingerprint of each row's set (as signed 64-bit), 0 for empty ones."""
     n = np.diff(offsets)
@@ -107,7 +138,7 @@ def groups_of(docs: DataFrame, frequent: np.ndarray, entries: int, sets: Callabl
     buckets = max(1, -(-entries // ENTRIES))
     order = np.argsort(frequent)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[order], (order + 1).astype(np.int32)))  # FREQUENT tokens at most
-    blob = "bucket int, tokens binary, nodes binary, sizes binary"
+    blob = "bucket int, tokens binary, nodes binary, sizes binary, places binary"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank_of = sent.value
@@ -115,13 +146,13 @@ def groups_of(docs: DataFrame, frequent: np.ndarray, entries: int, sets: Callabl
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            tokens, nodes, sizes = (np.concatenate(x) for x in zip(*waiting))
+            tokens, nodes, sizes, places = (np.concatenate(x) for x in zip(*waiting))
             bucket = (tokens % W.U64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
-            tokens, nodes, sizes, bucket = tokens[by], nodes[by], sizes[by], bucket[by]
+            tokens, nodes, sizes, places, bucket = tokens[by], nodes[by], sizes[by], places[by], bucket[by]
             used, begins = np.unique(bucket, return_index=True)
             cuts = list(zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)]))
-            yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (tokens, nodes, sizes)]], ["bucket", "tokens", "nodes", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (tokens, nodes, sizes, places)]], ["bucket", "tokens", "nodes", "sizes", "places"])
 
         for batch in batches:
             for part in W.slices(batch, "text"):
@@ -146,8 +177,9 @@ def groups_of(docs: DataFrame, frequent: np.ndarray, entries: int, sets: Callabl
                     by = np.argsort(rows * (len(known) + 1) + rank, kind="stable")
                     values = values[by]
                 starts = np.concatenate(([0], np.cumsum(np.where(mine, n, 0))))[rows]
-                inside = np.arange(len(values)) - starts < prefix_length(n)[rows]
-                waiting.append((values[inside], nodes[rows[inside]], n[rows[inside]].astype(np.int32)))
+                place = np.arange(len(values)) - starts
+                inside = place < prefix_length(n)[rows]
+                waiting.append((values[inside], nodes[rows[inside]], n[rows[inside]].astype(np.int32), place[inside].astype(np.int32)))
                 held += int(inside.sum())
                 if held > ENTRIES:
                     yield from flush()
@@ -156,23 +188,13 @@ def groups_of(docs: DataFrame, frequent: np.ndarray, entries: int, sets: Callabl
             yield from flush()
 
     def grouped(frame: pd.DataFrame) -> pd.DataFrame:
-        tokens, nodes, sizes = (np.concatenate([np.frombuffer(b, kind) for b in frame[c]]) for c, kind in (("tokens", W.U64), ("nodes", I64), ("sizes", np.int32)))
+        tokens, nodes, sizes, places = (np.concatenate([np.frombuffer(b, kind) for b in frame[c]]) for c, kind in (("tokens", W.U64), ("nodes", I64), ("sizes", np.int32), ("places", np.int32)))
         by = np.lexsort((nodes, tokens))
-        tokens, nodes, sizes = tokens[by], nodes[by], sizes[by].astype(I64)
+        tokens, nodes, sizes, places = tokens[by], nodes[by], sizes[by].astype(I64), places[by].astype(I64)
         keep = np.ones(len(tokens), bool)
         keep[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-        tokens, nodes, sizes = tokens[keep], nodes[keep], sizes[keep]
-        shared = np.zeros(len(tokens), bool)
-        shared[1:] = tokens[1:] == tokens[:-1]
-        shared[:-1] |= shared[1:]
-        tokens, nodes, sizes = tokens[shared], nodes[shared], sizes[shared]
-        by = np.lexsort((sizes, tokens))  # members need a neighbour in size within the group
-        t, s = tokens[by], sizes[by]
-        p, q = THRESHOLD
-        close = np.zeros(len(t), bool)
-        close[1:] = (t[1:] == t[:-1]) & (q * s[:-1] >= p * s[1:])
-        close[:-1] |= close[1:]
-        left = np.sort(by[close])
+        tokens, nodes, sizes, places = tokens[keep], nodes[keep], sizes[keep], places[keep]
+        left = with_partner(tokens, sizes, places)
         tokens, nodes, sizes = tokens[left], nodes[left], sizes[left]
         starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, I64)
         if not len(starts):
@@ -209,10 +231,10 @@ def groups_of(docs: DataFrame, frequent: np.ndarray, entries: int, sets: Callabl
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, sets: Callable = text_sets) -> DataFrame:
-    """(node, tokens binary) of the nodes in `wanted`, one row each. A bit map of bounded size keeps
-    most other sets from the shuffle; the join behind it is exact."""
+    """(node, tokens binary) of all nodes in `wanted` and of few others, one row each. A bit map of bounded
+    size keeps most unwanted sets from the shuffle; where it fills up, more of them pass."""
     count = wanted.count()
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(15, (16 * count).bit_length()))
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(15, (32 * count).bit_length()))
     # the functions number bits from 1
     mapped = wanted.select((F.pmod("node", F.lit(bits)) + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("map")).collect()
     flags = np.zeros(max(4096, bits // 8), np.uint8)
@@ -234,13 +256,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, sets: Callable = text_sets) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array([values[offsets[k] : offsets[k + 1]].tobytes() for k in rows], pa.binary())], ["node", "tokens"])
 
     found = docs.select("text").mapInArrow(gather, "node long, tokens binary")
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def rounds(groups: DataFrame, order: DataFrame, sets: DataFrame, job) -> DataFrame:
+def rounds(groups: DataFrame, order: DataFrame, gather: Callable[[DataFrame], DataFrame], test: Callable, job) -> DataFrame:
     """Work off `groups`; returns all links (a, b) found.
 
-    `order` (node, first, second) ranks the nodes. `job` keeps the state between rounds:
+    `order` (node, first, second) ranks the nodes, `gather` gets the sets of nodes, `test` verifies
+    a leader's partners. `job` keeps the state between rounds:
     ``absorb(links)`` takes new links in, ``hungry(members)`` gives the members (gid, gid2, node, n) whose
     tests may still change the result, ``open(pairs)`` keeps the pairs worth a test.
     A hungry member is tested against 1, 4, 16, ... more members of its group until it is none or all are done.
@@ -257,7 +280,7 @@ def rounds(groups: DataFrame, order: DataFrame, sets: DataFrame, job) -> DataFra
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(job.open(pairs).select("a", "b"), "pairs")
         if not pairs.isEmpty():
-            new = stage(verified(pairs, sets), "links")
+            new = stage(verified(pairs, gather, test), "links")
             links = new if links is None else links.unionByName(new)
             tested = pairs if tested is None else tested.unionByName(pairs)
             if not new.isEmpty():
@@ -272,6 +295,20 @@ def rounds(groups: DataFrame, order: DataFrame, sets: DataFrame, job) -> DataFra
         low = 4 * low + 1
 
 
+def count_shared(leader: np.ndarray, partners: list[np.ndarray]) -> np.ndarray:
+    """Tokens each partner shares with `leader`; sets are sorted and not empty."""
+    flat = np.concatenate(partners)
+    at = np.searchsorted(leader, flat)
+    at[at == len(leader)] = 0
+    ends = np.cumsum([len(p) for p in partners])
+    return np.add.reduceat(leader[at] == flat, np.concatenate(([0], ends[:-1])), dtype=I64)
+
+
+def jaccard_reached(leader: np.ndarray, partners: list[np.ndarray]) -> np.ndarray:
+    """Which partners reach the threshold, by counting shared tokens."""
+    return count_shared(leader, partners) >= need(len(leader), np.array([len(p) for p in partners], I64))
+
+
 def overlap_search(leader: np.ndarray, partners: list[np.ndarray]) -> np.ndarray:
     """Which partners reach the overlap they need with `leader`, by DivideSkip.
 
@@ -285,6 +322,8 @@ def overlap_search(leader: np.ndarray, partners: list[np.ndarray]) -> np.ndarray
     sizes = np.array([len(p) for p in partners], I64)
     wanted = need(len(leader), sizes)
     least = int(wanted.min())
+    if len(partners) == 1:  # every list is this partner alone, so lists are all there is to count
+        return np.array([count_shared(leader, partners)[0] >= least])
     where, who = [], []
     for k, p in enumerate(partners):
         at = np.searchsorted(leader, p)
@@ -327,27 +366,57 @@ def overlap_search(leader: np.ndarray, partners: list[np.ndarray]) -> np.ndarray
     return found
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold."""
+def verified(pairs: DataFrame, gather: Callable[[DataFrame], DataFrame], test: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """Those of the pairs (a, b) that `test(leader, partners)` finds to reach the threshold."""
     # the node with more pairs leads, so its set travels once for each slice of partners
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     d = pairs.join(degree.select(F.col("node").alias("a"), F.col("count").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("count").alias("db")), "b")
     swap = F.col("db") > F.col("da")
     led = d.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("lead"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("node"), F.greatest("da", "db").alias("d"))
-    led = stage(led.withColumn("slice", F.pmod(F.xxhash64("node"), F.ceil(F.col("d") / SLICE)).cast("int")).drop("d"), "led")
-    partner = led.join(sets, "node").select("lead", "slice", "node", "tokens")
-    leader = led.select("lead", "slice").distinct().join(sets.withColumnRenamed("node", "lead"), "lead").select("lead", "slice", F.col("lead").alias("node"), "tokens")
-
-    def check(frame: pd.DataFrame) -> pd.DataFrame:
-        lead = frame["lead"].iloc[0]
-        own = frame["node"] == lead
-        leader, rest = np.frombuffer(frame.loc[own, "tokens"].iloc[0], W.U64), frame[~own].sort_values("node")
-        good = overlap_search(leader, [np.frombuffer(t, W.U64) for t in rest["tokens"]])
-        nodes = rest["node"].to_numpy()[good]
-        return pd.DataFrame({"a": np.minimum(nodes, lead), "b": np.maximum(nodes, lead)})
+    led = led.withColumn("slice", F.pmod(F.xxhash64("node"), F.ceil(F.col("d") / SLICE)).cast("int")).drop("d")
+    leads = led.select("lead", "slice").distinct().withColumn("node", F.col("lead"))
+    roles = stage(led.unionByName(leads), "roles")
+    sets = roles.join(gather(roles.select("node").distinct()), "node").select("lead", "slice", "node", "tokens")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted, so a leader and its slice of partners stand together."""
+        kept: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.column_stack([batch.column(c).to_numpy() for c in ("lead", "slice")])
+            tail = tuple(key[-1])
+            if last is not None and tail == last and tuple(key[0]) == last:
+                kept.append(batch)
+                continue
+            begin = int(np.flatnonzero((key == key[-1]).all(axis=1))[0])  # the last group may go on in the next batch
+            kept.append(batch.slice(0, begin))
+            yield decide(kept)
+            kept, last = [batch.slice(begin)], tail
+        if kept:
+            yield decide(kept)
+
+    def decide(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        lead, cut, node = (table[c].to_numpy() for c in ("lead", "slice", "node"))
+        tokens = table["tokens"].to_pylist()
+        starts = np.flatnonzero(np.concatenate(([True], (lead[1:] != lead[:-1]) | (cut[1:] != cut[:-1])))) if len(lead) else np.zeros(0, I64)
+        a, b = [np.zeros(0, I64)], [np.zeros(0, I64)]
+        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(lead)]):
+            own = np.flatnonzero(node[begin:end] == lead[begin])
+            rest = np.flatnonzero(node[begin:end] != lead[begin]) + begin
+            if not len(own) or not len(rest):
+                continue
+            good = test(np.frombuffer(tokens[begin + own[0]], W.U64), [np.frombuffer(tokens[k], W.U64) for k in rest.tolist()])
+            found = node[rest[good]]
+            a.append(np.minimum(found, lead[begin]))
+            b.append(np.maximum(found, lead[begin]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     # one group is one leader and about SLICE partners
-    return partner.unionByName(leader).groupBy("lead", "slice").applyInPandas(check, "a long, b long")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.repartition(parts, "lead", "slice").sortWithinPartitions("lead", "slice").mapInArrow(check, "a long, b long").distinct()
 
 
 def components(state: DataFrame | None, links: DataFrame) -> DataFrame:
