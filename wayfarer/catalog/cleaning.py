@@ -22,7 +22,7 @@ STAR_COLUMNS = [
     "Baggage_Lost", "Loyalty_Membership", "Booking_Channel", "Seat_Upgrade", "Compensation_Received",
     "Discount_Received", "Payment_Method",
 ]
-CSV_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+CSV_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 CSV_COLUMNS = [c.strip().split()[0] for c in CSV_SCHEMA.split(",")]
 RATINGS = ["Seat_Comfort", "Food_Quality", "WiFi_Service", "Overall_Satisfaction", "Recommendation"]
 # one scale of every kind, applied to the column it is made for

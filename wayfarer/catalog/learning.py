@@ -9,19 +9,23 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from wayfarer import vocabulary as vocab
-from wayfarer.functions.columns import scale
+from wayfarer.functions.columns import hhmm_to_minutes, row_mean, scale
 from wayfarer.operators import clusters, evaluation, features, models, neighbours, splits
 from wayfarer.plans import study
-from wayfarer.plans.binding import oracle, table, view
+from wayfarer.plans.binding import oracle, star, table, view
 from wayfarer.plans.star import Dimension, Star
-from wayfarer.session import staging_dir
+from wayfarer.session import stage, staging_dir
 from wayfarer.sources import writers
 
 KEY, TARGET = "Service_Key", "Overall_Satisfaction"
 NUMERIC = ["Age"]
-TEXT = ["Seat_Comfort", "Food_Quality", "Cleanliness", "WiFi_Service", "Complaint_Submitted", "Gender"]
-FOREST = {"numTrees": 100, "maxDepth": 6}
-CODED = ["Seat_Comfort", "InFlight_Entertainment", "Food_Quality", "Cleanliness", "Legroom", "Baggage_Handling"]
+#: every attribute of a rated trip and its passenger but keys and the targets
+TEXT = [
+    *vocab.RATING_COLUMNS, "Complaint_Submitted", "Complaint_Type", "Gender", "Travel_Purpose", "Nationality", "Seat_Type",
+    "Preferred_Airline", "Special_Assistance", "Frequent_Route",
+]
+FOREST = {"numTrees": 100, "maxDepth": 30}
+CODED = vocab.RATING_COLUMNS
 
 
 def _experience(spark, sf_dir):
@@ -115,32 +119,35 @@ def knn_classify(spark, sf_dir):
 
 
 def grid_search(spark, sf_dir):
+    """The grids of all four models over three folds."""
     s = _study(spark, sf_dir)
-    found, _, _ = study.tune(s, "decision_tree", {"maxDepth": [3, 6], "impurity": ["gini", "entropy"]}, folds=3)
-    return found
+    out = None
+    for name, settings in vocab.ENCODED_GRIDS.items():
+        found = study.tune(s, name, settings, folds=3)[0].select(F.lit(name).alias("model"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def model_bakeoff(spark, sf_dir):
     s = _study(spark, sf_dir)
     board, _ = models.bake_off(s.train, s.test, {
-        "logistic_regression": {"maxIter": 30}, "decision_tree": {"maxDepth": 8}, "random_forest": {"numTrees": 20, "maxDepth": 6},
-        "linear_svm": {"maxIter": 10}, "gaussian_nb": {}, "mlp": {"hidden": (50,), "maxIter": 30}, "knn": {"k": 5},
+        "logistic_regression": {}, "decision_tree": {}, "random_forest": FOREST, "linear_svm": {}, "gaussian_nb": {}, "mlp": {}, "knn": {"k": 5},
     }, KEY)
     return board
 
 
 def multi_output(spark, sf_dir):
-    return study.multi_output(_experience(spark, sf_dir), KEY, [TARGET, "Recommendation"], NUMERIC, TEXT, params={"numTrees": 20, "maxDepth": 6})
+    return study.multi_output(_experience(spark, sf_dir), KEY, [TARGET, "Recommendation"], NUMERIC, TEXT, params=FOREST)
 
 
 def feature_importance(spark, sf_dir):
     s = _study(spark, sf_dir)
-    model = models.make_model("random_forest", {"numTrees": 20, "maxDepth": 6}).fit(s.train)
+    model = models.make_model("random_forest", FOREST).fit(s.train)
     return models.feature_importance(model, s.names, spark, 10)
 
 
 def fold_scores(spark, sf_dir):
-    return study.time_validation(_experience(spark, sf_dir), KEY, TARGET, NUMERIC, TEXT, 5, params={"numTrees": 10, "maxDepth": 5})
+    return study.time_validation(_experience(spark, sf_dir), KEY, TARGET, NUMERIC, TEXT, 5, params=FOREST)
 
 
 def _predicted(spark, sf_dir):
@@ -168,13 +175,21 @@ def roc_auc(spark, sf_dir):
 
 
 def kmeans_fixed(spark, sf_dir):
-    rows = features.standardize(_coded(spark, sf_dir), CODED).withColumn("features", array_to_vector(F.array(*CODED)))
-    model = clusters.kmeans(rows, 4)
-    return clusters.cluster_profile(model.transform(rows), "cluster", CODED, [])
+    """Four clusters of flights by service score, total delay, age, distance and WiFi, over complete rows."""
+    s = star(spark, sf_dir)
+    rows = s.flat(["Departure_Delay", "Arrival_Delay", "Age", "Flight_Distance", *vocab.SERVICE_COLUMNS, "WiFi_Service"])
+    scores = {c: scale(c, vocab.SCALES["rating_prepared"]).cast("double") for c in [*vocab.SERVICE_COLUMNS, "WiFi_Service"]}
+    rows = rows.withColumns(scores).select(
+        row_mean(*vocab.SERVICE_COLUMNS).alias("Service_Score"), (F.col("Departure_Delay") + F.col("Arrival_Delay")).cast("double").alias("Total_Delay"),
+        F.col("Age").cast("double").alias("Age"), "Flight_Distance", "WiFi_Service").dropna()
+    names = rows.columns
+    rows = stage(features.standardize(rows, names).withColumn("features", F.array(*names)), "trips")
+    model = clusters.kmeans(rows, 4, restarts=10)
+    return clusters.cluster_profile(model.transform(rows), "cluster", names, [])
 
 
 def kmeans_sweep(spark, sf_dir):
-    found, _, _ = clusters.kmeans_sweep(_vectors(spark, sf_dir), "vec_id", restarts=1)
+    found, _, _ = clusters.kmeans_sweep(_vectors(spark, sf_dir), "vec_id")
     return found
 
 
@@ -205,11 +220,16 @@ LEG_NUMBERS, LEG_TEXT = ["Departure_Delay", "Arrival_Delay"], ["Payment_Method",
 
 
 def feature_set_ranking(spark, sf_dir):
-    rows = _experience(spark, sf_dir)
-    return study.rank_feature_sets(
-        rows, KEY, {"ratings": ([], TEXT[:3]), "person": (["Age"], ["Gender"]), "complaint": ([], ["Complaint_Submitted", TARGET])},
-        ks=range(2, 5), restarts=1,
-    )
+    """Five feature sets over whole flights, k from 2 to 10, ten starts each."""
+    numbers = {"Age", "Flight_Distance", "Departure_Delay", "Arrival_Delay", "Flight_Minutes"}
+    sets = {name: [c if c != "Flight_Duration" else "Flight_Minutes" for c in columns] for name, columns in vocab.FEATURE_SETS.items()}
+    s = star(spark, sf_dir)
+    timed = s.dimensions["flight"].derive("Flight_Minutes", by=lambda f: f.withColumn("Flight_Minutes", hhmm_to_minutes("Flight_Duration")))
+    s = s.with_dimension("flight", timed)
+    wanted = list(dict.fromkeys(c for columns in sets.values() for c in columns))
+    rows = stage(s.flat(["Service_Key", "Leg", "Flight_Key", *wanted]).withColumn("Trip_Key", F.concat_ws("-", "Service_Key", "Leg", "Flight_Key")), "flights")
+    parts = {name: ([c for c in columns if c in numbers], [c for c in columns if c not in numbers]) for name, columns in sets.items()}
+    return study.rank_feature_sets(rows, "Trip_Key", parts)
 
 
 QUERIES = {
@@ -224,12 +244,12 @@ QUERIES = {
     "smote": smote,
     "pca": pca,
     "random_forest": _report("random_forest", FOREST),
-    "decision_tree": _report("decision_tree", {"maxDepth": 10, "impurity": "entropy"}),
+    "decision_tree": _report("decision_tree", {"maxDepth": 30}),
     "logistic_regression": _report("logistic_regression", {"C": 1.0, "penalty": "l2"}),
     "gaussian_nb": gaussian_nb,
     "knn_classify": knn_classify,
-    "linear_svm": _report("linear_svm", {"C": 1.0, "maxIter": 20}),
-    "mlp": _report("mlp", {"hidden": (50,), "maxIter": 50}),
+    "linear_svm": _report("linear_svm", {"C": 1.0}),
+    "mlp": _report("mlp"),
     "grid_search": grid_search,
     "model_bakeoff": model_bakeoff,
     "multi_output": multi_output,

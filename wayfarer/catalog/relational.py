@@ -15,6 +15,12 @@ SATISFACTION = ["Dissatisfied", "Happy", "Neutral", "Satisfied"]
 RATED = ["Seat_Comfort", "Food_Quality", "Cleanliness"]
 
 
+RAW_NUMBERS = ["Passenger_ID", "Age", "Flight_Distance"]
+RAW_TEXTS = ["Gender", "Nationality", "Seat_Comfort", "Food_Quality", "Travel_Purpose", "Flight_Duration", "Complaint_Type", "Preferred_Airline"]
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_COLUMNS = [*LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 def _lineitem(spark, sf_dir):
     return table(spark, sf_dir, "lineitem")
 
@@ -100,13 +106,12 @@ def kpi_row(spark, sf_dir):
 
 
 def describe_all(spark, sf_dir):
-    return profile.describe_all(
-        _raw(spark, sf_dir), ["Age", "Flight_Distance"], ["Gender", "Nationality", "Travel_Purpose"]
-    )
+    """Every column of the table."""
+    return profile.describe_all(_raw(spark, sf_dir), RAW_NUMBERS, RAW_TEXTS)
 
 
 def schema_profile(spark, sf_dir):
-    return profile.schema_profile(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    return profile.schema_profile(table(spark, sf_dir, "orders"))
 
 
 def time_order_index(spark, sf_dir):
@@ -130,11 +135,11 @@ QUERIES = {
     "value_shares": lambda s, d: agg.value_shares(_raw(s, d), "Gender"),
     "group_value_shares": group_value_shares,
     "describe_numeric": lambda s, d: profile.describe_numeric(
-        _lineitem(s, d), ["l_quantity", "l_extendedprice", "l_tax"], 4),
+        _lineitem(s, d), LINE_NUMBERS, 4),
     "describe_all": describe_all,
     "null_profile": lambda s, d: profile.null_profile(_raw(s, d)),
-    "null_pattern": lambda s, d: profile.null_pattern(_raw(s, d), ["Age", "Gender", "Flight_Distance", "Travel_Purpose"]),
-    "distinct_profile": lambda s, d: profile.distinct_profile(_lineitem(s, d), ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"]),
+    "null_pattern": lambda s, d: profile.null_pattern(_raw(s, d), [*RAW_NUMBERS, *RAW_TEXTS]),
+    "distinct_profile": lambda s, d: profile.distinct_profile(_lineitem(s, d), LINE_COLUMNS),
     "schema_profile": schema_profile,
     "scalar_stats": lambda s, d: agg.scalar_stats(_raw(s, d), "Age"),
     "group_mean_multi": lambda s, d: agg.group_means(_raw(s, d), "Travel_Purpose", ["Age", "Flight_Distance"]),
@@ -185,10 +190,10 @@ def _top(source: str, c: str, what: str) -> str:
 
 
 def _describe_all() -> str:
-    numeric = f"SELECT *, CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq FROM ({_describe('raw', ['Age', 'Flight_Distance'], 6)})"
+    numeric = f"SELECT *, CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq FROM ({_describe('raw', RAW_NUMBERS, 6)})"
     text = " UNION ALL ".join(
         f"SELECT '{c}', count({c}), NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(DISTINCT {c}), {_top('raw', c, 'v')}, {_top('raw', c, 'n')} FROM raw"
-        for c in ("Gender", "Nationality", "Travel_Purpose")
+        for c in RAW_TEXTS
     )
     return f"{numeric} UNION ALL {text}"
 
@@ -240,21 +245,21 @@ ORACLES = {name: oracle(sql) for name, sql in {
         "SELECT Complaint_Submitted, " + ", ".join(
             f"round(nullif(count(*) FILTER (Overall_Satisfaction = '{v}'), 0)::DOUBLE / count(*), 6) AS \"{v}\"" for v in SATISFACTION)
         + " FROM service WHERE Overall_Satisfaction IS NOT NULL GROUP BY 1",
-    "describe_numeric": _describe("lineitem", ["l_quantity", "l_extendedprice", "l_tax"], 4),
+    "describe_numeric": _describe("lineitem", LINE_NUMBERS, 4),
     "describe_all": _describe_all(),
     "null_profile": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, round(100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*), 6) AS percent FROM raw"
         for c in _RAW_COLUMNS),
     "null_pattern":
-        "SELECT " + " || ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in ("Age", "Gender", "Flight_Distance", "Travel_Purpose"))
+        "SELECT " + " || ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in (*RAW_NUMBERS, *RAW_TEXTS))
         + " AS pattern, count(*) AS count FROM raw GROUP BY 1",
     "distinct_profile": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"distinct\", CASE WHEN count(DISTINCT {c}) < 10 THEN "
         f"array_to_string(list_sort(list(DISTINCT CAST({c} AS VARCHAR))), ',') END AS \"values\" FROM lineitem"
-        for c in ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")),
+        for c in LINE_COLUMNS),
     "schema_profile":
-        "SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double')) "
-        "AS v(position, \"column\", type), (SELECT count(*) AS rows, 4 AS columns FROM orders)",
+        "SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), "
+        "(4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string')) AS v(position, \"column\", type), (SELECT count(*) AS rows, 6 AS columns FROM orders)",
     "scalar_stats": "SELECT round(avg(Age), 6) AS mean, min(Age) AS min, max(Age) AS max, round(median(Age), 6) AS median FROM raw",
     "group_mean_multi":
         "SELECT Travel_Purpose, round(avg(Age), 6) AS Age, round(avg(Flight_Distance), 6) AS Flight_Distance FROM raw WHERE Travel_Purpose IS NOT NULL GROUP BY 1",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfarer.functions.columns import in_range, null_outside, scale, title_case
 from wayfarer.operators.quantiles import medians, mode_of, modes
+from wayfarer.session import stage
 
 
 def present(df: DataFrame, columns: Iterable[str]) -> list[str]:
@@ -124,13 +125,16 @@ def clean_names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: title_case(c) for c in columns})
 
 
+SENT_VALUES = 100_000  #: distinct values that may be broadcast
+
+
 def rare_to_other(df: DataFrame, columns: Sequence[str], min_count: int, label: str) -> DataFrame:
     """Replace values seen fewer than `min_count` times over all `columns` together.
 
     Counts each distinct tuple once before the columns are stacked, so the
     stacked table is as small as the number of tuples. The frequent values are
-    joined back once per column, by size: they are few when values repeat, but
-    no bound on them is assumed. Null counts as rare.
+    counted; up to `SENT_VALUES` of them are sent to every task, so rows with a hot value
+    stay where they are, and beyond that they are joined by shuffle. Null counts as rare.
     """
     tuples = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
     stacked = tuples.unpivot("__n", list(columns), "__col", "__value")
@@ -138,6 +142,9 @@ def rare_to_other(df: DataFrame, columns: Sequence[str], min_count: int, label:
         stacked.where(F.col("__value").isNotNull()).groupBy("__value").agg(F.sum("__n").alias("__n"))
         .where(F.col("__n") >= min_count).select("__value")
     )
+    frequent = stage(frequent, "frequent")
+    if frequent.count() <= SENT_VALUES:
+        frequent = F.broadcast(frequent)
     out = df
     for c in columns:
         keep = frequent.select(F.col("__value").alias(f"__keep_{c}"))
@@ -160,12 +167,22 @@ def bounded_values(df: DataFrame, column: str, limit: int = 1000) -> list:
     return sorted(r[0] for r in rows)
 
 
-def label_encode(df: DataFrame, column: str, name: str | None = None, limit: int = 10_000) -> DataFrame:
-    """Classes to 0..k-1 in sorted order. Class sets are bounded by `limit`."""
-    values = bounded_values(df, column, limit)
-    codes = F.array(*[F.lit(v) for v in values])
-    code = F.when(F.col(column).isNotNull(), F.array_position(codes, F.col(column)).cast("int") - 1)
-    return df.withColumn(name or column, code)
+def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """Classes to 0..k-1 in sorted order, null for null, any number of classes.
+
+    The distinct values are sorted by range over all tasks and numbered by
+    their place in the partition and the sizes of those before; the codes are joined back.
+    """
+    values = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+    # the number holds the partition in its upper bits and the place there in the lower 33
+    numbered = stage(values.select(F.col(column).alias("__value"), F.monotonically_increasing_id().alias("__id")), "labels")
+    part = F.shiftright("__id", 33)
+    sizes = numbered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row per partition
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    codes = numbered.withColumn("__part", part).join(starts, "__part").select(
+        "__value", (F.col("__before") + F.col("__id") - F.shiftleft("__part", 33)).cast("int").alias("__code"))
+    return df.join(codes, df[column] == codes["__value"], "left").drop("__value").withColumn(name or column, F.col("__code")).drop("__code")
 
 
 def one_hot(

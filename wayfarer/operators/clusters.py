@@ -2,46 +2,136 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.operators.aggregates import value_counts
 from wayfarer.operators.neighbours import _matrix, pairwise
 from wayfarer.operators.quantiles import modes
+from wayfarer.session import stage
 
 
-def kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, restarts: int = 1) -> KMeansModel:
+@dataclass(frozen=True)
+class Centres:
+    """A fitted k-means: centres, total squared distance, and the column it reads."""
+
+    centres: np.ndarray
+    cost: float
+    features: str
+
+    def transform(self, df: DataFrame, name: str = "cluster") -> DataFrame:
+        array = _as_array(df, self.features)
+        return assign_nearest(df.withColumn("__x", array), "__x", dict(enumerate(self.centres.tolist())), name).drop("__x")
+
+
+def _as_array(df: DataFrame, features: str) -> Column:
+    is_array = df.schema[features].dataType.typeName() == "array"
+    return F.col(features).cast("array<double>") if is_array else vector_to_array(features)
+
+
+def kmeans_runs(
+    df: DataFrame, ks: Sequence[int], features: str = "features", seed: int = 42, restarts: int = 10,
+    max_iter: int = 300, tol: float = 1e-4, sample: int = 10_000,
+) -> dict[int, Centres]:
+    """The cheapest of `restarts` runs for each k.
+
+    All runs of all k go on side by side: one pass over the rows per step assigns
+    them for every run that still moves, and a row per centre comes back. Starts are
+    drawn by squared distance from at most `sample` rows in hash order; fewer distinct
+    rows than k give fewer centres.
+    """
+    rows = stage(df.select(_as_array(df, features).alias("x")).where("x is not null"), "points")
+    drawn = rows.orderBy(F.xxhash64("x")).limit(sample).collect()
+    pool = np.array([r["x"] for r in drawn], dtype=float)
+    if not len(pool):
+        return {k: Centres(np.zeros((0, 0)), 0.0, features) for k in ks}
+    still = tol * pool.var(axis=0).mean()
+    runs = [(k, r) for k in ks for r in range(restarts)]
+    centres = [_spread(pool, k, np.random.Generator(np.random.PCG64([seed, k, r]))) for k, r in runs]
+    costs, moving = [np.inf] * len(runs), set(range(len(runs)))
+    for _ in range(max_iter):
+        if not moving:
+            break
+        for run, found in _step(rows, {i: centres[i] for i in sorted(moving)}).items():
+            new = centres[run].copy()
+            for c, n, mean in found["centres"]:
+                new[c] = mean
+            costs[run] = found["cost"]
+            if ((new - centres[run]) ** 2).sum() <= still:
+                moving.discard(run)
+            centres[run] = new
+    best: dict[int, Centres] = {}
+    for i, (k, _) in enumerate(runs):
+        if k not in best or costs[i] < best[k].cost:
+            best[k] = Centres(centres[i], float(costs[i]), features)
+    return best
+
+
+def _spread(pool: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of `pool`, each drawn in proportion to its squared distance from those before."""
+    chosen = [pool[rng.integers(len(pool))]]
+    gap = ((pool - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and gap.sum() > 0:
+        chosen.append(pool[rng.choice(len(pool), p=gap / gap.sum())])
+        gap = np.minimum(gap, ((pool - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, dict]:
+    """One assignment of all rows for each run: its cost, and (centre, size, mean) of the centres with rows."""
+    width = next(iter(centres.values())).shape[1]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {run: (np.zeros(len(c)), np.zeros(c.shape), np.zeros(len(c))) for run, c in centres.items()}
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            norm = (x**2).sum(axis=1)
+            for run, c in centres.items():
+                gaps = norm[:, None] + (c**2).sum(axis=1) - 2 * (x @ c.T)
+                at = gaps.argmin(axis=1)
+                n, total, cost = sums[run]
+                n += np.bincount(at, minlength=len(c))
+                cost += np.bincount(at, np.maximum(gaps[np.arange(len(x)), at], 0), len(c))
+                for d in range(width):
+                    total[:, d] += np.bincount(at, x[:, d], len(c))
+        for run, (n, total, cost) in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([run] * len(n), pa.int32()), pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array(cost), pa.array(total.tolist(), pa.list_(pa.float64()))],
+                ["run", "centre", "n", "cost", "total"])
+
+    parts = rows.mapInArrow(assign, "run int, centre int, n double, cost double, total array<double>")
+    merged = parts.groupBy("run", "centre").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("total")[d]) for d in range(width)]).alias("total")
+    ).collect()  # a row per centre
+    out: dict[int, dict] = {}
+    for r in merged:
+        one = out.setdefault(r["run"], {"cost": 0.0, "centres": []})
+        one["cost"] += r["cost"]
+        if r["n"]:
+            one["centres"].append((r["centre"], r["n"], np.array(r["total"]) / r["n"]))
+    return out
+
+
+def kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, restarts: int = 1) -> Centres:
     """The cheapest of `restarts` runs."""
-    runs = [
-        KMeans(k=k, featuresCol=features, predictionCol="cluster", seed=seed + i, maxIter=300, tol=1e-4).fit(df)
-        for i in range(restarts)
-    ]
-    return min(runs, key=lambda m: m.summary.trainingCost)
+    return kmeans_runs(df, [k], features, seed, restarts)[k]
 
 
 def kmeans_sweep(
     df: DataFrame, key: str, ks: Sequence[int] = range(2, 11), features: str = "features", seed: int = 42,
-    restarts: int = 10, metric: str = "squared", parallelism: int = 3,
-) -> tuple[DataFrame, int, KMeansModel]:
+    restarts: int = 10, metric: str = "squared",
+) -> tuple[DataFrame, int, Centres]:
     """``(k, inertia, silhouette)`` per k, the k with the best silhouette, its model."""
-    spark = df.sparkSession
-
-    def run(k: int):
-        model = kmeans(df, k, features, seed, restarts)
-        labelled = model.transform(df)
-        return k, float(model.summary.trainingCost), silhouette_score(labelled, key, features, metric=metric), model
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        done = list(pool.map(inheritable_thread_target(spark)(run), list(ks)))
-    table = spark.createDataFrame([r[:3] for r in done], "k int, inertia double, silhouette double")
+    runs = kmeans_runs(df, list(ks), features, seed, restarts)
+    done = [(k, m.cost, silhouette_score(m.transform(df), key, features, metric=metric), m) for k, m in runs.items()]
+    table = df.sparkSession.createDataFrame([r[:3] for r in done], "k int, inertia double, silhouette double")
     best = max(done, key=lambda r: (r[2], -r[0]))
     return table, best[0], best[3]
 
@@ -60,8 +150,7 @@ def silhouettes(df: DataFrame, key: str, features: str, cluster: str = "cluster"
     off in blocks of rows (see `_distance_sums`) and is meant for tables where a
     quadratic number of distances is affordable.
     """
-    is_array = df.schema[features].dataType.typeName() == "array"
-    array = F.col(features).cast("array<double>") if is_array else vector_to_array(features)
+    array = _as_array(df, features)
     rows = df.select(F.col(key).alias("__k"), F.col(cluster).cast("int").alias("__c"), array.alias("__x"))
     if metric == "squared":
         return _squared_silhouettes(rows, key, cluster)

@@ -115,14 +115,14 @@ def make_model(
         strength, penalty = p.pop("C", 1.0), p.pop("penalty", "l2")
         return LogisticRegression(
             regParam=1.0 / (strength * rows), elasticNetParam=1.0 if penalty == "l1" else 0.0,
-            **{"maxIter": 100, **p}, **columns,
+            **{"maxIter": 1000, **p}, **columns,
         )
     if name == "linear_svm":
         strength = p.pop("C", 1.0)
         return OneVsRest(classifier=LinearSVC(regParam=1.0 / (strength * rows), **{"maxIter": 100, **p}), **columns)
     if name == "mlp":
         hidden = list(p.pop("hidden", (100,)))
-        return MultilayerPerceptronClassifier(layers=[width, *hidden, classes], seed=SEED, **{"maxIter": 200, **p}, **columns)
+        return MultilayerPerceptronClassifier(layers=[width, *hidden, classes], seed=SEED, **{"maxIter": 1000, **p}, **columns)
     if name == "gaussian_nb":
         return GaussianBayes(**p)
     if name == "knn":

@@ -20,24 +20,26 @@ BUCKET, BEFORE = "__bucket", "__before"
 
 
 COARSE = 32
+BUCKET_ROWS = 50_000  #: rows a bucket should hold: their number follows the table
 
 
 def range_bucket(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Add ``__bucket``, an integer that rises with the numeric `key`.
 
     Runs one aggregate for about 30 approximate quantiles; between two of them
-    buckets are cut evenly by value, so about `buckets` even ones result unless
-    one key value is frequent (fold such tables by key first). Only how even the
+    buckets are cut evenly by value, so about `buckets` even ones result (more where
+    they would hold over `BUCKET_ROWS` rows) unless one key value is frequent (fold such tables by key first). Only how even the
     buckets are depends on the bounds, never a result. The expression is a short
     tree of comparisons with constants, inside generated code.
     """
-    n = buckets or shuffle_width(df.sparkSession)
-    fine = max(1, n // COARSE)
     number = F.col(key).cast("double")
     found = df.select(
+        F.count(F.lit(1)).alias("rows"),
         F.percentile_approx(number, [i / COARSE for i in range(1, COARSE)], 1000).alias("cuts"),
         F.min(number).alias("low"), F.max(number).alias("high"),
     ).first()
+    n = max(buckets or shuffle_width(df.sparkSession), -(-found["rows"] // BUCKET_ROWS))
+    fine = max(1, -(-n // COARSE))
     bounds = sorted({float(b) for b in found["cuts"] or [] if math.isfinite(b)})
     edges = [found["low"], *bounds, found["high"]]
     starts, rates = [], []
@@ -123,7 +125,7 @@ def shuffled_rank(
     A group of any size is spread over all buckets, so a class that holds most
     of the rows is not ranked by one task.
     """
-    n = buckets or shuffle_width(df.sparkSession)
+    n = buckets or max(shuffle_width(df.sparkSession), -(-df.count() // BUCKET_ROWS))
     out = df.withColumns({"__order": hash_order(*id_cols, seed=seed), "__one": F.lit(1).cast("bigint")})
     out = out.withColumn(BUCKET, hash_bucket(F.col("__order"), n))
     out = _accumulate(out, F.col("__order"), ["__one"], by, False)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.session import stage
+
 # fixed value: runs of two or more letters, digits or underscores
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 
@@ -25,18 +27,17 @@ def tfidf_terms(df: DataFrame, key: str, text: str, max_terms: int = 50) -> Data
     """``(key, term, weight)``: term counts times ``ln((1+N)/(1+df)) + 1``, each
     text scaled to length 1, over the `max_terms` most frequent terms.
 
-    Only tokens of that vocabulary are grouped by text, so the shuffle carries at
-    most `max_terms` rows per text; the vocabulary is broadcast because its size
-    is the argument.
+    Texts are split once, into one row of terms and counts each; vocabulary and
+    hits are read from that. The vocabulary is at most `max_terms` rows, which is why
+    it may travel as constants.
     """
     texts = df.where(F.col(text).isNotNull())
-    vocab = vocabulary(df, text, max_terms).select("term")
-    hits = texts.select(key, F.explode(tokens(text)).alias("term")).join(F.broadcast(vocab), "term")
-    counts = hits.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    pairs = texts.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    pairs = stage(pairs, "terms")
+    known = pairs.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("n"), "term").limit(max_terms)
     rows = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    document_counts = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = document_counts.select("term", (F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    raw = counts.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    idf = known.select("term", (F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    raw = pairs.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 

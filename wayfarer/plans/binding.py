@@ -8,6 +8,7 @@ the same text defines the Spark view and the oracle's CTE; everything computed
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfarer.plans.star import Dimension, Star
 
@@ -157,12 +158,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns = VIEWS[name]
     if " JOIN nation ON " in source:
         base, condition = source.split(" JOIN nation ON ")
-        left, right = condition.split(" = ")
         # nation is a fixed table of 25 rows; broadcasting follows from its size
-        frame = table(spark, sf_dir, base).join(
-            table(spark, sf_dir, "nation").withColumnRenamed(right, left), left
-        )
-        columns = {k: v.replace(right, left) for k, v in columns.items()}
+        frame = table(spark, sf_dir, base).join(table(spark, sf_dir, "nation"), F.expr(condition))
     else:
         frame = table(spark, sf_dir, source)
     return frame.selectExpr(*[f"{text} AS {name_}" for name_, text in columns.items()])

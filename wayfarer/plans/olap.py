@@ -391,6 +391,6 @@ PACK: dict[str, Callable[[Star], DataFrame]] = {
 }
 
 
-def perform_olap_analysis(star: Star, names: list[str] | None = None) -> dict[str, DataFrame]:
+def run_pack(star: Star, names: list[str] | None = None) -> dict[str, DataFrame]:
     """All (or the named) results of the pack, lazily, by query name."""
     return {name: PACK[name](star) for name in (names or PACK)}

@@ -74,6 +74,6 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession, floor: int = 16, ceiling: int = 4096) -> int:
-    """How many ordered buckets a distributed sort or rank should use."""
-    return max(floor, min(ceiling, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def shuffle_width(spark: SparkSession, floor: int = 16) -> int:
+    """How many ordered buckets a distributed sort or rank should use at least."""
+    return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
