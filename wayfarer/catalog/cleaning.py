@@ -11,7 +11,7 @@ from wayfarer import vocabulary as vocab
 from wayfarer.functions.columns import scale
 from wayfarer.operators import clean
 from wayfarer.plans import olap
-from wayfarer.plans.binding import oracle, star, table, view
+from wayfarer.plans.binding import VIEWS, oracle, star, table, view
 from wayfarer.session import staging_dir
 from wayfarer.sources import readers, writers
 
@@ -89,10 +89,9 @@ def impute_median(spark, sf_dir):
 
 
 def select_by_type(spark, sf_dir):
-    numeric, text = clean.columns_by_type(table(spark, sf_dir, "lineitem"))
-    return table(spark, sf_dir, "lineitem").agg(
-        F.count(F.lit(1)).alias("rows"), F.lit(",".join(numeric)).alias("numeric"), F.lit(",".join(text)).alias("text")
-    )
+    """The numeric columns of the table."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(*clean.columns_by_type(rows)[0])
 
 
 def keep_original(spark, sf_dir):
@@ -104,14 +103,8 @@ def keep_original(spark, sf_dir):
 
 
 def select_present(spark, sf_dir):
-    """All five feature sets, each cut to the columns the table has."""
-    rows = view(spark, sf_dir, "service")
-    total = rows.agg(F.count(F.lit(1)).alias("rows"))
-    sets = F.array(*[
-        F.struct(F.lit(name).alias("feature_set"), F.lit(",".join(clean.select_present(rows, cols).columns)).alias("columns"))
-        for name, cols in vocab.FEATURE_SETS.items()
-    ])
-    return total.select("rows", F.inline(sets))
+    """The widest feature set, cut to the columns the table has."""
+    return clean.select_present(view(spark, sf_dir, "service"), ["Service_Key", *vocab.FEATURE_SETS["all"]])
 
 
 def _raw(*columns):
@@ -147,16 +140,6 @@ QUERIES = {
 }
 
 
-def _present_sql() -> str:
-    from wayfarer.plans.binding import VIEWS
-
-    have = set(VIEWS["service"][1])
-    rows = ", ".join(
-        f"('{name}', '{','.join(c for c in cols if c in have)}')" for name, cols in vocab.FEATURE_SETS.items()
-    )
-    return f"SELECT (SELECT count(*) FROM service) AS rows, * FROM (VALUES {rows}) AS v(feature_set, columns)"
-
-
 def _mode_sql(column: str) -> str:
     return (
         f"(SELECT {column} FROM (SELECT {column}, count(*) AS n FROM raw WHERE {column} IS NOT NULL GROUP BY 1) "
@@ -206,10 +189,8 @@ ORACLES = {name: oracle(sql) for name, sql in {
         "SELECT Service_Key, Seat_Comfort AS Seat_Comfort_Original, Recommendation AS Recommendation_Original, "
         "CASE Seat_Comfort WHEN 'Poor' THEN 1.0::DOUBLE WHEN 'Fair' THEN 2 WHEN 'Good' THEN 3 WHEN 'Excellent' THEN 4 ELSE 0 END AS Seat_Comfort, "
         "CASE Recommendation WHEN 'Yes' THEN 1.0::DOUBLE WHEN 'Maybe' THEN 0.5 ELSE 0 END AS Recommendation FROM service",
-    "select_present": _present_sql(),
-    "select_by_type":
-        "SELECT count(*) AS rows, 'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax' AS numeric, "
-        "'l_returnflag,l_linestatus' AS text FROM lineitem",
+    "select_present": f"SELECT Service_Key, {', '.join(c for c in vocab.FEATURE_SETS['all'] if c in VIEWS['service'][1])} FROM service",
+    "select_by_type": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem",
     "drop_columns":
         "SELECT Age, Travel_Purpose, Nationality, Seat_Type, Preferred_Airline, Special_Assistance, Frequent_Route FROM passenger",
 }.items()}

@@ -194,6 +194,14 @@ def bake_off(
     return board.orderBy(F.desc("accuracy"), "model"), {n: m for n, _, m in done}
 
 
+def has_importances(model: Model) -> bool:
+    """Whether `feature_importance` can explain the model: trees and linear models, not
+    neighbours, Bayes or perceptrons."""
+    if isinstance(model, PipelineModel):
+        model = model.stages[-1]
+    return isinstance(model, OneVsRestModel) or hasattr(model, "featureImportances") or hasattr(model, "coefficientMatrix")
+
+
 def feature_importance(model: Model, names: Sequence[str], spark, k: int | None = None) -> DataFrame:
     """``(feature, importance)``, highest first: tree importances, or mean absolute
     coefficients of linear models. As many rows as features."""

@@ -77,10 +77,8 @@ def run(study: Study, settings: Mapping[str, Mapping], folds: int = 5) -> dict[s
     if best in vocab.TUNING_GRIDS:
         out["tuning"], model, _ = tune(study, best, folds=folds)
     out["report"] = classification_report(model.transform(study.test))
-    try:
+    if models.has_importances(model):
         out["importance"] = models.feature_importance(model, study.names, study.train.sparkSession)
-    except ValueError:
-        pass  # models without importances (neighbours, Bayes, perceptron)
     return out
 
 
