@@ -207,6 +207,18 @@ def test_packing_places_every_id_once(spark, clashing):
     assert packing.pack(clashing, path).where("start = 0").count() == len(corpus())
 
 
+def test_word_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encoder, rng = Tokenizer.from_file(path), packing.WordEncoder(path), random.Random(6)
+    texts = ["<|ENDOFTEXT|> <|endoftext|>x <|startoftext|>", "It's THE end, É Ünd ß. e\u0301\u0085x", ""]
+    texts += ["".join(rng.choice("aB é.,'12\n\tΣİ世") for _ in range(rng.randrange(60))) for _ in range(200)]
+    ids, offsets = encoder.encode(pa.array(texts))
+    for text, a, b in zip(texts, offsets, offsets[1:]):
+        assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_kneser_ney_against_plain_counts(spark, clashing):
     train = [tokens(r[1]) + ["</s>"] for r in corpus()]
     model = kneser_ney.fit(clashing)

@@ -86,7 +86,8 @@ def later_lines(docs: DataFrame) -> DataFrame:
     nodes = groups.select("node").distinct()
     order = stage(classes.join(nodes, "node").select("node", F.col("at.doc_id").alias("first"), F.col("at.line").alias("second")), "order")
     job = Earlier(order)
-    S.rounds(groups, order, lambda wanted: S.sets_of(text, wanted, line_sets), S.jaccard_reached, job)
+    sets = stage(S.sets_of(text, nodes, line_sets), "tokens")  # lines are short: once for all rounds
+    S.rounds(groups, order, lambda wanted: sets, S.jaccard_reached, job)
     marked = classes.withColumn("settled", F.lit(False)) if job.settled is None else classes.join(job.settled.withColumn("settled", F.lit(True)), "node", "left")
     marked = marked.where("settled or at <> end").select("node", "at", F.coalesce("settled", F.lit(False)).alias("settled"))
     return rows.join(marked, "node").where(F.col("settled") | (F.struct("doc_id", "line") > F.col("at"))).select("doc_id", "line")

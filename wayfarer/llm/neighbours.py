@@ -8,7 +8,7 @@ visits all shards and the shards' results merge by exact distance.
 Every row of the descent is a node with its vector, its K nearest so far and their vectors, or an
 offer to a node. A round shuffles offers to the nodes they are for, joins them with the node's list,
 compares the list's members with each other (neighbours of neighbours, at least one of them new)
-and offers the closer ones to one another. Distances in the descent use half-precision copies;
+and offers the closer ones to one another. Distances in the descent use copies of one byte a component;
 the search ranks by distances of the original vectors in double precision.
 """
 
@@ -28,8 +28,8 @@ from wayfarer.llm.topk import finite_of
 SHARD = 16_384  #: nodes of a graph
 NODES = 2_048  #: nodes of a descent task
 LINKS = 16  #: K
-ROUNDS = 7
-OFFERS = 3  #: best offers a node makes to each of its neighbours in a round
+ROUNDS = 6
+OFFERS = 2  #: best offers a node makes to each of its neighbours in a round
 BEAM = 500  #: candidates a search keeps
 EXPAND = 4  #: candidates a search expands at a time
 ENTRIES = 64  #: nodes a search starts from
@@ -52,6 +52,19 @@ def _pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
+def squeeze(x: np.ndarray) -> np.ndarray:
+    """Rows as bytes: components in 1/127 of the row's largest, and that scale."""
+    scale = np.abs(x).max(axis=1, keepdims=True).astype(np.float32) / 127
+    scale[scale == 0] = 1
+    return np.concatenate((np.rint(x / scale).astype(np.int8).view(np.uint8), scale.view(np.uint8)), axis=1)
+
+
+def spread(raw: np.ndarray) -> np.ndarray:
+    """The rows that `squeeze` made bytes of, about."""
+    scale = np.ascontiguousarray(raw[..., -4:]).view(np.float32)
+    return np.ascontiguousarray(raw[..., :-4]).view(np.int8).astype(np.float32) * scale
+
+
 SCHEMA = "shard int, node long, other long, distance float, worst float, vector binary, ids binary, distances binary, fresh binary, worsts binary, vectors binary"
 _EMPTY = (None,) * 5
 
@@ -73,16 +86,16 @@ def _round(links: int, offers: int, last: bool):
         if not m:
             return
         take = lambda c, kind, rows: np.frombuffer(b"".join(table[c].take(pa.array(rows)).to_pylist()), kind)
-        vector = take("vector", np.float16, own).reshape(m, -1)
+        vector = take("vector", np.uint8, own).reshape(m, -1)
         d = vector.shape[1]
         # what is on each list, then what is offered, as one flat table of (node, candidate)
         listed = take("ids", np.int64, own).reshape(m, links)
         flat_node = np.repeat(np.arange(m), links)
-        parts = [(flat_node, listed.ravel(), take("distances", np.float32, own), take("fresh", np.uint8, own), take("worsts", np.float32, own), take("vectors", np.float16, own).reshape(-1, d))]
+        parts = [(flat_node, listed.ravel(), take("distances", np.float32, own), take("fresh", np.uint8, own), take("worsts", np.float32, own), take("vectors", np.uint8, own).reshape(-1, d))]
         new = np.flatnonzero(~np.isnan(table["distance"].to_numpy()))
         at = np.searchsorted(node, table["node"].to_numpy()[new])
         new, at = new[at < m], at[at < m]
-        parts.append((at, other[new], table["distance"].to_numpy()[new], np.ones(len(new), np.uint8), table["worst"].to_numpy()[new], take("vector", np.float16, new).reshape(-1, d) if len(new) else np.zeros((0, d), np.float16)))
+        parts.append((at, other[new], table["distance"].to_numpy()[new], np.ones(len(new), np.uint8), table["worst"].to_numpy()[new], take("vector", np.uint8, new).reshape(-1, d) if len(new) else np.zeros((0, d), np.uint8)))
         to, who, far, fresh, worst, vectors = (np.concatenate(x) for x in zip(*parts))
         real = (who >= 0) & (who != node[to])
         order = np.lexsort((fresh, who, to))  # the listed one before the same one offered again
@@ -96,13 +109,13 @@ def _round(links: int, offers: int, last: bool):
         order, rank = order[rank < links], rank[rank < links]
         cell = (to[order], rank)
         ids, distance = np.full((m, links), -1, np.int64), np.full((m, links), FAR, np.float32)
-        is_new, worsts, near = np.zeros((m, links), np.uint8), np.zeros((m, links), np.float32), np.zeros((m, links, d), np.float16)
+        is_new, worsts, near = np.zeros((m, links), np.uint8), np.zeros((m, links), np.float32), np.zeros((m, links, d), np.uint8)
         ids[cell], distance[cell], is_new[cell], worsts[cell], near[cell] = who[order], far[order], fresh[order], worst[order], vectors[order]
         limit = distance[:, -1]
         out: list[tuple] = []
         for a in range(0, m if not last else 0, 256):
             b = min(m, a + 256)
-            v = near[a:b].astype(np.float32)
+            v = spread(near[a:b])
             pair = np.sqrt(_pairwise(v, v)).astype(np.float32)
             wanted = (is_new[a:b, :, None] | is_new[a:b, None, :]).astype(bool) & (ids[a:b, :, None] >= 0) & (ids[a:b, None, :] >= 0)
             wanted &= (pair < worsts[a:b, :, None]) & (ids[a:b, :, None] != ids[a:b, None, :])
@@ -137,13 +150,13 @@ def _start(links: int, lists: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, shard = batch.column("node").to_numpy(), batch.column("shard").to_numpy()
-            vec = np.stack(batch.column("vector").to_numpy(zero_copy_only=False)).astype(np.float16)
+            vec = squeeze(np.stack(batch.column("vector").to_numpy(zero_copy_only=False)).astype(np.float32))
             n, d = vec.shape
             nil = lambda x: pa.array([x.tobytes()] * n, pa.binary())
             blobs = pa.array([r.tobytes() for r in vec], pa.binary())
             if lists:
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(node), pa.array(np.full(n, -1)), pa.array(np.full(n, np.nan, np.float32)), pa.array(np.full(n, FAR, np.float32)), blobs,
-                                                  nil(np.full(links, -1, np.int64)), nil(np.full(links, FAR, np.float32)), nil(np.zeros(links, np.uint8)), nil(np.zeros(links, np.float32)), nil(np.zeros((links, d), np.float16))], [f.split()[0] for f in SCHEMA.split(", ")])
+                                                  nil(np.full(links, -1, np.int64)), nil(np.full(links, FAR, np.float32)), nil(np.zeros(links, np.uint8)), nil(np.zeros(links, np.float32)), nil(np.zeros((links, d), np.uint8))], [f.split()[0] for f in SCHEMA.split(", ")])
             for s in np.unique(shard):
                 rows = np.flatnonzero(shard == s)
                 rng = np.random.Generator(np.random.PCG64(int(s) + int(node[rows].min() & 0x7FFFFFFF)))
@@ -152,7 +165,7 @@ def _start(links: int, lists: bool):
                     mate = np.roll(turn, 1)
                     keep = turn != mate
                     turn, mate = turn[keep], mate[keep]
-                    gap = np.sqrt(((vec[turn].astype(np.float32) - vec[mate].astype(np.float32)) ** 2).sum(1)).astype(np.float32)
+                    gap = np.sqrt(((spread(vec[turn]) - spread(vec[mate])) ** 2).sum(1)).astype(np.float32)
                     for x, y in ((turn, mate), (mate, turn)):
                         k = len(x)
                         if k:

@@ -81,8 +81,7 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each row and the row offsets."""
-        w = W.words(column)
-        # upper case matters to nothing here but the fingerprint, which folds A-Z as the vocabulary does
+        w = W.words(column, fold=False)  # case tells special tokens' strings from others
         distinct, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHED:
             self._forget()

@@ -17,6 +17,7 @@ U64 = np.uint64
 BLOCK = 1 << 17
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
+_EXACT = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -74,7 +75,7 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def _block(data: np.ndarray, row_starts: np.ndarray, alphabet: np.ndarray, prefixes: tuple) -> tuple:
+def _block(data: np.ndarray, row_starts: np.ndarray, alphabet: np.ndarray, prefixes: tuple, values: np.ndarray) -> tuple:
     inside = alphabet[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -87,14 +88,14 @@ def _block(data: np.ndarray, row_starts: np.ndarray, alphabet: np.ndarray, prefi
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(values[data] * up[: len(data)], out=total[1:])
     scale = down[starts]
     heads = [mix((total[np.minimum(starts + k, ends)] - total[starts]) * scale + U64(0x9D3F17 + k)) for k in prefixes]
     return mix((total[ends] - total[starts]) * scale + U64(0x51ED27)), starts, ends, heads
 
 
-def words(column: pa.Array | pa.ChunkedArray, alphabet: np.ndarray = _IN_WORD, prefixes: tuple = ()) -> Words:
-    """The words of each row; `alphabet` marks the bytes a word is made of."""
+def words(column: pa.Array | pa.ChunkedArray, alphabet: np.ndarray = _IN_WORD, prefixes: tuple = (), fold: bool = True) -> Words:
+    """The words of each row; `alphabet` marks the bytes a word is made of, and without `fold` A-Z stay apart from a-z."""
     data, bounds = bytes_of(column)
     hashes, starts, ends, heads = [], [], [], []
     at = 0
@@ -107,7 +108,7 @@ def words(column: pa.Array | pa.ChunkedArray, alphabet: np.ndarray = _IN_WORD, p
                 break
             stop = min(len(data), stop + BLOCK)
         low, high = np.searchsorted(bounds, (at, stop))
-        h, s, e, p = _block(data[at:stop], np.unique(bounds[low:high]) - at, alphabet, prefixes)
+        h, s, e, p = _block(data[at:stop], np.unique(bounds[low:high]) - at, alphabet, prefixes, _BYTE if fold else _EXACT)
         hashes.append(h), starts.append(s + at), ends.append(e + at), heads.append(p)
         at = stop
     if not hashes:
