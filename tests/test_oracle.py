@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from wayfarer import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracles()  # tests/llm has its own
 # model queries whose fits take long; tests/test_learning.py covers them on small fixtures
-SLOW = {"model_bakeoff", "grid_search", "fold_scores", "multi_output", "feature_set_ranking", "kmeans_sweep", "mlp", "linear_svm"}
+SLOW = {"model_bakeoff", "grid_search", "fold_scores", "multi_output", "feature_set_ranking", "kmeans_sweep", "mlp", "linear_svm", "random_forest", "feature_importance"}
 
 
 @pytest.fixture(scope="module")
