@@ -213,27 +213,31 @@ _FLAGS = _list([f"CASE WHEN {c} = 'Yes' THEN '{c}' END" for c in vocab.FLAG_ITEM
 
 def _mine(items: str, support: float, max_len: int = 3) -> str:
     """CTEs up to ``sets (items VARCHAR[], n)`` and ``tx_n``. Rows are numbered by their own columns and cut into
-    chunks of 60; an itemset is a bit mask per chunk, and a longer one grows from frequent pairs."""
+    chunks of 60; a frequent item is a number and a bit mask per chunk. An itemset is the number its items make in base
+    4096; it grows from frequent pairs, and its rows are the joint bits."""
     need = f">= {support} * (SELECT total FROM tx_n)"
+    key = "BIGINT" if max_len <= 5 else "HUGEINT"
     steps = [
         _FLIGHTS, f"tx AS MATERIALIZED (SELECT id, {items} AS items FROM flights)", "tx_n AS MATERIALIZED (SELECT count(*)::DOUBLE AS total FROM tx)",
         "u AS MATERIALIZED (SELECT id, unnest(items) AS x FROM tx)",
-        f"f1 AS MATERIALIZED (SELECT x, count(*) AS n FROM u GROUP BY 1 HAVING count(*) {need})",
-        "m AS MATERIALIZED (SELECT x, id // 60 AS chunk, bit_or(1::BIGINT << CAST(id % 60 AS INT)) AS mask FROM u JOIN f1 USING (x) GROUP BY ALL)",
-        "s1 AS (SELECT [x] AS items, n FROM f1)",
-        "m2 AS MATERIALIZED (SELECT a.x AS x, b.x AS y, [a.x, b.x] AS items, chunk, a.mask & b.mask AS mask FROM m a JOIN m b USING (chunk) WHERE a.x < b.x AND a.mask & b.mask <> 0)",
-        f"p2 AS MATERIALIZED (SELECT x, y, sum(bit_count(mask)) AS n FROM m2 GROUP BY 1, 2 HAVING sum(bit_count(mask)) {need})",
-        "s2 AS (SELECT [x, y] AS items, n FROM p2)",
+        f"f1 AS MATERIALIZED (SELECT x, n, row_number() OVER (ORDER BY x) AS i FROM (SELECT x, count(*) AS n FROM u GROUP BY 1 HAVING count(*) {need}))",
+        "names AS MATERIALIZED (SELECT list(x ORDER BY i) AS all_names FROM f1)",
+        f"m1 AS MATERIALIZED (SELECT CAST(i AS {key}) AS k, i, id // 60 AS chunk, bit_or(1::BIGINT << CAST(id % 60 AS INT)) AS mask FROM u JOIN f1 USING (x) GROUP BY ALL)",
+        f"s1 AS (SELECT CAST(i AS {key}) AS k, n FROM f1)",
+        f"s2 AS MATERIALIZED (SELECT a.k * 4096 + b.i AS k, a.i AS x, b.i AS y, sum(bit_count(a.mask & b.mask)) AS n FROM m1 a JOIN m1 b USING (chunk) WHERE a.i < b.i GROUP BY ALL HAVING sum(bit_count(a.mask & b.mask)) {need})",
     ]
-    unions = ["SELECT items, CAST(n AS BIGINT) AS n FROM s1", "SELECT items, CAST(n AS BIGINT) AS n FROM s2"]
-    for k in range(3, max_len + 1):
-        last = f"(SELECT * FROM m{k - 1} WHERE items IN (SELECT items FROM s{k - 1}))"
-        steps.append(
-            f"m{k} AS MATERIALIZED (SELECT list_append(l.items, p.y) AS items, l.chunk, l.mask & b.mask AS mask FROM {last} l "
-            f"JOIN p2 p ON p.x = l.items[{k - 1}] JOIN p2 q ON q.x = l.items[1] AND q.y = p.y JOIN m b ON b.x = p.y AND b.chunk = l.chunk WHERE l.mask & b.mask <> 0)")
-        steps.append(f"s{k} AS MATERIALIZED (SELECT items, sum(bit_count(mask)) AS n FROM m{k} GROUP BY 1 HAVING sum(bit_count(mask)) {need})")
-        unions.append(f"SELECT items, CAST(n AS BIGINT) AS n FROM s{k}")
-    steps.append(f"sets AS MATERIALIZED ({' UNION ALL '.join(unions)})")
+    shown = []
+    for size in range(1, max_len + 1):
+        if size > 2:
+            steps.append(
+                f"m{size - 1} AS MATERIALIZED (SELECT l.k * 4096 + p.y AS k, p.y AS i, l.chunk, l.mask & b.mask AS mask FROM m{size - 2} l JOIN s2 p ON p.x = l.i "
+                f"JOIN s{size - 1} f ON f.k = l.k * 4096 + p.y JOIN m1 b ON b.i = p.y AND b.chunk = l.chunk WHERE l.mask & b.mask <> 0)")
+            steps.append(
+                f"s{size} AS MATERIALIZED (SELECT l.k * 4096 + p.y AS k, sum(bit_count(l.mask & b.mask)) AS n FROM m{size - 1} l JOIN s2 p ON p.x = l.i "
+                f"JOIN m1 b ON b.i = p.y AND b.chunk = l.chunk GROUP BY 1 HAVING sum(bit_count(l.mask & b.mask)) {need})")
+        at = ", ".join(f"all_names[CAST(k // {4096 ** (size - 1 - p)} % 4096 AS INT)]" for p in range(size))
+        shown.append(f"SELECT [{at}] AS items, CAST(n AS BIGINT) AS n FROM s{size}, names")
+    steps.append(f"sets AS MATERIALIZED ({' UNION ALL '.join(shown)})")
     return "WITH " + ", ".join(steps)
 
 
