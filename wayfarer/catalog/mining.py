@@ -221,7 +221,7 @@ def _mine(items: str, support: float, max_len: int = 3) -> str:
         _FLIGHTS, f"tx AS MATERIALIZED (SELECT id, {items} AS items FROM flights)", "tx_n AS MATERIALIZED (SELECT count(*)::DOUBLE AS total FROM tx)",
         "u AS MATERIALIZED (SELECT id, unnest(items) AS x FROM tx)",
         f"f1 AS MATERIALIZED (SELECT x, n, row_number() OVER (ORDER BY x) AS i FROM (SELECT x, count(*) AS n FROM u GROUP BY 1 HAVING count(*) {need}))",
-        "names AS MATERIALIZED (SELECT list(x ORDER BY i) AS all_names FROM f1)",
+        "item_names AS MATERIALIZED (SELECT list(x ORDER BY i) AS all_names FROM f1)",
         f"m1 AS MATERIALIZED (SELECT CAST(i AS {key}) AS k, i, id // 60 AS chunk, bit_or(1::BIGINT << CAST(id % 60 AS INT)) AS mask FROM u JOIN f1 USING (x) GROUP BY ALL)",
         f"s1 AS (SELECT CAST(i AS {key}) AS k, n FROM f1)",
         f"s2 AS MATERIALIZED (SELECT a.k * 4096 + b.i AS k, a.i AS x, b.i AS y, sum(bit_count(a.mask & b.mask)) AS n FROM m1 a JOIN m1 b USING (chunk) WHERE a.i < b.i GROUP BY ALL HAVING sum(bit_count(a.mask & b.mask)) {need})",
@@ -236,7 +236,7 @@ def _mine(items: str, support: float, max_len: int = 3) -> str:
                 f"s{size} AS MATERIALIZED (SELECT l.k * 4096 + p.y AS k, sum(bit_count(l.mask & b.mask)) AS n FROM m{size - 1} l JOIN s2 p ON p.x = l.i "
                 f"JOIN m1 b ON b.i = p.y AND b.chunk = l.chunk GROUP BY 1 HAVING sum(bit_count(l.mask & b.mask)) {need})")
         at = ", ".join(f"all_names[CAST(k // {4096 ** (size - 1 - p)} % 4096 AS INT)]" for p in range(size))
-        shown.append(f"SELECT [{at}] AS items, CAST(n AS BIGINT) AS n FROM s{size}, names")
+        shown.append(f"SELECT [{at}] AS items, CAST(n AS BIGINT) AS n FROM s{size}, item_names")
     steps.append(f"sets AS MATERIALIZED ({' UNION ALL '.join(shown)})")
     return "WITH " + ", ".join(steps)
 
