@@ -8,7 +8,7 @@ A node is a distinct shingle set, named by its fingerprint, so copies fold where
    prefix tokens are shuffled in packed form; nodes that share one make a group. Members without a
    partner that passes the length and the positional filter go, and equal groups fold.
 3. Groups are worked off in rounds. The first tests each member against the group's first node;
-   later ones test members that may still change the result against 1, 4, 16, ... more members.
+   later ones test members that may still change the result against 1, 16, 256, ... more of the group.
    A large group of near copies is so settled by its first member, and no link that matters is lost.
 4. Pairs are verified on whole sets, gathered by first node in slices of `SLICE` partners.
 """
@@ -266,7 +266,7 @@ def rounds(groups: DataFrame, order: DataFrame, gather: Callable[[DataFrame], Da
     a leader's partners. `job` keeps the state between rounds:
     ``absorb(links)`` takes new links in, ``hungry(members)`` gives the members (gid, gid2, node, n) whose
     tests may still change the result, ``open(pairs)`` keeps the pairs worth a test.
-    A hungry member is tested against 1, 4, 16, ... more members of its group until it is none or all are done.
+    A hungry member is tested against 1, 16, 256, ... more members of its group until it is none or all are done.
     """
     key = ["gid", "gid2"]
     members = stage(groups.join(order, "node"), "members")
@@ -290,9 +290,9 @@ def rounds(groups: DataFrame, order: DataFrame, gather: Callable[[DataFrame], Da
         hungry = job.hungry(members)
         if hungry.isEmpty():
             return links if links is not None else pairs
-        window = members.where((F.col("position") >= low) & (F.col("position") <= 4 * low)).select(*key, F.col("node").alias("a"), F.col("n").alias("an"))
+        window = members.where((F.col("position") >= low) & (F.col("position") <= 16 * low)).select(*key, F.col("node").alias("a"), F.col("n").alias("an"))
         pairs = hungry.select(*key, F.col("node").alias("b"), F.col("n").alias("bn")).join(window, key)
-        low = 4 * low + 1
+        low = 16 * low + 1
 
 
 def count_shared(leader: np.ndarray, partners: list[np.ndarray]) -> np.ndarray:
