@@ -7,9 +7,9 @@ A node is a distinct shingle set, named by its fingerprint, so copies fold where
 2. Two sets of Jaccard >= t share a token among the first |x| - ceil(t|x|) + 1 of each. Those
    prefix tokens are shuffled in packed form; nodes that share one make a group. Members without a
    partner that passes the length and the positional filter go, and equal groups fold.
-3. Groups are worked off in rounds. The first tests each member against the group's first node;
+3. Groups are worked off in rounds. The first tests each member against the node of the group that is in most groups;
    later ones test members that may still change the result against 1, 16, 256, ... more of the group.
-   A large group of near copies is so settled by its first member, and no link that matters is lost.
+   A large group of near copies is so settled by what they are copies of, and no link that matters is lost.
 4. Pairs are verified on whole sets, gathered by first node in slices of `SLICE` partners.
 """
 
@@ -269,8 +269,10 @@ def rounds(groups: DataFrame, order: DataFrame, gather: Callable[[DataFrame], Da
     A hungry member is tested against 1, 16, 256, ... more members of its group until it is none or all are done.
     """
     key = ["gid", "gid2"]
-    members = stage(groups.join(order, "node"), "members")
-    head = members.groupBy(*key).agg(F.min_by(F.struct("node", "n"), F.struct("first", "second", "node")).alias("h"))
+    shared = groups.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    members = stage(groups.join(order, "node").join(shared, "node"), "members")
+    # what near copies were made from is in more groups than any of them, and is near to all
+    head = members.groupBy(*key).agg(F.min_by(F.struct("node", "n"), F.struct(-F.col("shared"), F.col("first"), F.col("second"), F.col("node"))).alias("h"))
     pairs = members.join(head, key).select(F.col("h.node").alias("a"), F.col("h.n").alias("an"), F.col("node").alias("b"), F.col("n").alias("bn"))
     last = members.agg(F.max("position")).first()[0]
     links, tested, low = None, None, 0
