@@ -117,6 +117,22 @@ def test_large_group_of_near_copies_is_one_component(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: label[i] for i in range(60)}
 
 
+def rounds_of(spark, n: int, leader: int, true: set[tuple[int, int]]):
+    """Components of one group 0..n-1 whose links are `true`, as the rounds of the set join find them."""
+    groups = spark.createDataFrame([(1, 1, i, i, 8) for i in range(n)], "gid long, gid2 long, position long, node long, n long")
+    order = spark.createDataFrame([(i, int(i != leader), i) for i in range(n)], "node long, first long, second long")
+    sets = spark.createDataFrame([(i, bytearray(np.array([i], np.uint64).tobytes())) for i in range(n)], "node long, tokens binary")
+    job = neardups.Components()
+    setjoin.rounds(groups, order, lambda wanted: sets, lambda a, partners: np.array([(min(a[0], p[0]), max(a[0], p[0])) in true for p in partners]), job)
+    return {r["node"]: r["label"] for r in job.labels.collect()} if job.labels is not None else {}
+
+
+def test_rounds_lose_no_link_when_the_largest_component_changes(spark):
+    assert rounds_of(spark, 4, 2, {(0, 1), (0, 3)}) == {0: 0, 1: 0, 3: 0}
+    # the second window of a longer group: 1-19 is met only once 20's component is no longer the largest
+    assert rounds_of(spark, 20, 5, {(0, 1), (1, 19), (17, 18)}) == {0: 0, 1: 0, 19: 0, 17: 17, 18: 17}
+
+
 def test_overlap_search_counts_like_sets():
     rng = np.random.default_rng(1)
     for _ in range(60):

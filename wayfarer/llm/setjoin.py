@@ -8,8 +8,9 @@ A node is a distinct shingle set, named by its fingerprint, so copies fold where
    prefix tokens are shuffled in packed form; nodes that share one make a group. Members without a
    partner that passes the length and the positional filter go, and equal groups fold.
 3. Groups are worked off in rounds. The first tests each member against the node of the group that is in most groups;
-   later ones test members that may still change the result against 1, 16, 256, ... more of the group.
-   A large group of near copies is so settled by what they are copies of, and no link that matters is lost.
+   later ones test members that may still change the result against the first 1, 17, 273, ... of the group, the
+   last one against all of it. A large group of near copies is so settled by what they are copies of, and no link
+   that matters is lost: who needs no test in the last round is joined already.
 4. Pairs are verified on whole sets, gathered by first node in slices of `SLICE` partners.
 """
 
@@ -266,7 +267,9 @@ def rounds(groups: DataFrame, order: DataFrame, gather: Callable[[DataFrame], Da
     a leader's partners. `job` keeps the state between rounds:
     ``absorb(links)`` takes new links in, ``hungry(members)`` gives the members (gid, gid2, node, n) whose
     tests may still change the result, ``open(pairs)`` keeps the pairs worth a test.
-    A hungry member is tested against 1, 16, 256, ... more members of its group until it is none or all are done.
+    A hungry member is tested against the first 1, 17, 273, ... members of its group, less the pairs already tested or
+    no longer open, until none is hungry or the whole group was the window. A member that becomes hungry late so
+    meets the start of its group as well.
     """
     key = ["gid", "gid2"]
     shared = groups.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
@@ -292,7 +295,8 @@ def rounds(groups: DataFrame, order: DataFrame, gather: Callable[[DataFrame], Da
         hungry = job.hungry(members)
         if hungry.isEmpty():
             return links if links is not None else pairs
-        window = members.where((F.col("position") >= low) & (F.col("position") <= 16 * low)).select(*key, F.col("node").alias("a"), F.col("n").alias("an"))
+        # from the group's start: who is hungry changes between rounds, and `tested` knows what was done
+        window = members.where(F.col("position") <= 16 * low).select(*key, F.col("node").alias("a"), F.col("n").alias("an"))
         pairs = hungry.select(*key, F.col("node").alias("b"), F.col("n").alias("bn")).join(window, key)
         low = 16 * low + 1
 
