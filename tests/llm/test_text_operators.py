@@ -316,6 +316,25 @@ def test_license_wordings(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_wordings_anywhere_in_a_text():
+    apache, mpl = "Licensed under the Apache License, Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+
+    def names(text):
+        return [r[2] for r in scanner.scan(text)]
+    assert names(f"All files in this repository and its submodules are {apache.lower().replace('apache', 'Apache')}.") == ["Apache-2.0"]
+    assert names(" * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy") == ["MPL-2.0"]
+    assert names("// This Source Code Form is subject\n// to the terms of the Mozilla\n// Public License, v. 2.0.") == ["MPL-2.0"]
+    assert names(" * Permission is\n * hereby granted, free of charge, to any person obtaining a\n * copy of this software and associated documentation files") == ["MIT-grant"]
+    assert names("the license question " * 40 + f"and parts {apache} while others are Released under the MIT License and so on " + "word " * 50 + mpl) == ["Apache-2.0", "MIT", "MPL-2.0"]
+    assert names("_Released under the MIT License_") == ["MIT"]
+    text = f"x {apache} y"
+    assert [(text[a:b], exact, missing, added) for a, b, _, _, exact, missing, added in scanner.scan(text)] == [(apache, True, [], [])]
+    assert names("GNU General Public License is what some like, and this work is licensed under the GNU General Public License, version 4.") == []
+    assert names("") == names("license") == []
+    assert [r[2] for r in licenses.Scanner({"own": "All rights are reserved by the owner"}).scan("so all rights are reserved by the owner here")] == ["own"]
+
+
 def test_toxicity_chain(spark):
     rng = random.Random(5)
     rows, labels = [], []

@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-A candidate block starts at a sentence that holds a cue word and is as long as the template it is held
-against. It is compressed twice: alone, and with the template as a raw zstandard dictionary. The
-template that saves the most bytes wins. A winner counts only if its wording agrees: the block's
-words are aligned with the template's, and what is missing, added or changed is returned.
+Candidate blocks are laid around every cue word of the text, one for each place where the template
+has a cue, so that cue stands on cue, with a margin on both sides; sentences and lines don't bound them. A
+block's words are aligned with the template's, and what is missing, added or changed is returned. What was
+aligned is compressed twice: alone, and with the template as a raw zstandard dictionary. Where
+wordings overlap, the template that saves the most bytes wins.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +37,24 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-CUE = r"(?i)(licen[sc]ed?\b|redistribution and use|permission is hereby|public license)"
+CUE = r"(?i)(licen[sc]ed?(?![^\W_])|redistribution[\W_]+and[\W_]+use|permission[\W_]+is[\W_]+hereby|public[\W_]+license(?![^\W_]))"
+SOME = r"(?i)(licen[sc]e|redistribution|hereby)"  #: stands in every cue; Arrow's patterns know no lookahead
 MATCHED = 0.85  #: share of the template's words that must stand in the block, in order
 SAVED = 0.25  #: least share of bytes the template must save
+MARGIN = 3  #: words a block has more than its template on both sides, or a quarter of the template
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-_SENTENCE = re.compile(r"[.!?]\s+|\n")
 
 
 def wording(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def cues(text: str, starts: list[int]) -> list[int]:
+    """Which words, given where they start, cues begin in."""
+    return sorted({bisect.bisect_right(starts, m.start()) - 1 for m in _CUE.finditer(text)})
+
+
 class Scanner:
     """Compressors of the templates; one per worker task."""
 
@@ -53,54 +62,66 @@ class Scanner:
         import zstandard as z
 
         self.plain = z.ZstdCompressor(level=19)
-        self.templates = [(name, wording(text), z.ZstdCompressor(level=19, dict_data=z.ZstdCompressionDict(text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)))
-                          for name, text in templates.items()]
-
-    def blocks(self, text: str) -> list[int]:
-        """Where sentences that hold a cue begin."""
-        starts, sentences = [], [0, *(m.end() for m in _SENTENCE.finditer(text))]
-        marks = np.array(sentences)
-        for m in _CUE.finditer(text):
-            start = int(marks[np.searchsorted(marks, m.start(), side="right") - 1])
-            if not starts or starts[-1] != start:
-                starts.append(start)
-        return starts
+        self.templates = []
+        for name, text in templates.items():
+            compressor = z.ZstdCompressor(level=19, dict_data=z.ZstdCompressionDict(text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT))
+            wanted = wording(text)
+            if wanted:
+                self.templates.append((name, wanted, Counter(wanted), cues(text, [m.start() for m in _WORD.finditer(text)]), compressor))
+        self.cued = all(at for _, _, _, at, _ in self.templates)
+
+    def align(self, wanted: list[str], have: list[str]) -> tuple | None:
+        """(first, last, missing, added): the words of `have` that are the template's wording, if they are."""
+        parts = [p for p in difflib.SequenceMatcher(None, wanted, have, autojunk=False).get_matching_blocks() if p.size]
+        if sum(p.size for p in parts) < MATCHED * len(wanted):
+            return None
+        first, last = parts[0].b, parts[-1].b + parts[-1].size
+        hit = {p.a + k for p in parts for k in range(p.size)}
+        kept = {p.b + k for p in parts for k in range(p.size)}
+        missing = [w for k, w in enumerate(wanted) if k not in hit]
+        if any(any(c.isdigit() for c in w) for w in missing):
+            return None  # another version is another license
+        return first, last, missing, [have[k] for k in range(first, last) if k not in kept]
+
+    def candidates(self, text: str) -> list[tuple]:
+        """(bytes saved by length, start, end, name, saved, exact, missing, added) of every wording found at a cue."""
+        spans = [m.span() for m in _WORD.finditer(text)]
+        starts = [a for a, _ in spans]
+        words = [text[a:b].lower() for a, b in spans]
+        found = cues(text, starts)
+        out: dict[tuple, tuple] = {}
+        for name, wanted, counts, at, compressor in self.templates:
+            # a template without a cue word is held against every place of each of its words
+            pairs = ((c, at) for c in found) if at else ((c, [k for k, w in enumerate(wanted) if w == words[c]]) for c in range(len(words)) if words[c] in counts)
+            margin = max(MARGIN, len(wanted) // 4)
+            for start in sorted({c - k for c, places in pairs for k in places}):
+                for front in (0, margin):
+                    a, b = max(0, start - front), max(0, start + len(wanted) + margin)
+                    have = words[a:b]
+                    # no alignment can match more than the words both have
+                    if sum(min(n, counts[w]) for w, n in Counter(have).items() if w in counts) < MATCHED * len(wanted):
+                        continue
+                    aligned = self.align(wanted, have)
+                    if aligned is None:
+                        continue
+                    first, last, missing, added = aligned
+                    begin, end = spans[a + first][0], spans[a + last - 1][1]
+                    if (begin, end, name) in out:
+                        continue
+                    block = text[begin:end].encode()
+                    saved = 1 - len(compressor.compress(block)) / len(self.plain.compress(block))
+                    if saved >= SAVED:
+                        out[begin, end, name] = (saved * len(wanted), begin, end, name, float(saved), not missing and not added, missing, added)
+        return list(out.values())
 
     def scan(self, text: str) -> list[tuple]:
-        """(start, end, name, saved, exact, missing, added), at most one for each block; blocks don't overlap."""
-        out, after = [], 0
-        for start in self.blocks(text):
-            if start < after:
-                continue
-            ranked = []
-            for name, wanted, compressor in self.templates:
-                words = [m for _, m in zip(range(len(wanted) + 3), _WORD.finditer(text, start))]
-                if not words:
-                    continue
-                block = text[words[0].start() : words[min(len(words), len(wanted)) - 1].end()]
-                alone = len(self.plain.compress(block.encode()))
-                ranked.append((1 - len(compressor.compress(block.encode())) / alone, name, wanted, words))
-            ranked.sort(key=lambda r: (-r[0] * len(r[2]), r[1]))  # bytes saved follow the template's length
-            for saved, name, wanted, words in ranked:
-                if saved < SAVED:
-                    continue
-                have = [m[0].lower() for m in words]
-                parts = [p for p in difflib.SequenceMatcher(None, wanted, have, autojunk=False).get_matching_blocks() if p.size]
-                matched = sum(p.size for p in parts)
-                if matched < MATCHED * len(wanted):
-                    continue
-                last = max(p.b + p.size for p in parts)
-                hit = {p.a + k for p in parts for k in range(p.size)}
-                kept = {p.b + k for p in parts for k in range(p.size)}
-                missing = [w for k, w in enumerate(wanted) if k not in hit]
-                added = [w for k, w in enumerate(have[:last]) if k not in kept]
-                if missing and any(any(c.isdigit() for c in w) for w in missing):
-                    continue  # another version is another license
-                end = words[last - 1].end()
-                out.append((words[0].start(), end, name, float(saved), not missing and not added, missing, added))
-                after = end
-                break
-        return out
+        """(start, end, name, saved, exact, missing, added); what saves most goes first, and found wordings don't overlap."""
+        taken: list[tuple] = []
+        for row in sorted(self.candidates(text), key=lambda r: (-r[0], r[3], r[1], r[2])):  # bytes saved follow the template's length
+            k = bisect.bisect(taken, (row[1],))
+            if (k == len(taken) or taken[k][0] >= row[2]) and (k == 0 or taken[k - 1][1] <= row[1]):
+                taken.insert(k, row[1:])
+        return taken
 
 
 SCHEMA = "start long, end long, license string, saved double, exact boolean, missing array<string>, added array<string>"
@@ -122,7 +143,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         for batch in batches:
             column = batch.column("text")
             out = []
-            for row in np.flatnonzero(pc.match_substring_regex(column, CUE).fill_null(False).to_numpy(zero_copy_only=False)).tolist():
+            some = pc.match_substring_regex(column, SOME).fill_null(False) if scanner.cued else pc.is_valid(column)
+            for row in np.flatnonzero(some.to_numpy(zero_copy_only=False)).tolist():
                 out += [(batch.column("doc_id")[row].as_py(), *found) for found in scanner.scan(column[row].as_py())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
