@@ -68,3 +68,35 @@ def test_neighbours_reach_recall(spark, table, monkeypatch):
     assert neighbours.search(frame.where("false"), "vec_id", "embedding", "id % 20 = 0", 10).count() == 0
     few = neighbours.search(frame.where("vec_id in (0, 1, 2)"), "vec_id", "embedding", "id = 0", 10).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2]
+
+
+def grouped_rows(n: int, groups: int, d: int, spread: float) -> np.ndarray:
+    rng = np.random.default_rng(8)
+    return rng.normal(size=(groups, d))[np.arange(n) % groups] + spread * rng.normal(size=(n, d))
+
+
+def test_search_reaches_every_island_of_the_graph():
+    x = grouped_rows(6000, 150, 32, 0.3)
+    d = (x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T
+    nearest = np.argsort(d, axis=1)[:, :17]
+    lists = [[int(v) for v in row if v != u][:16] for u, row in enumerate(nearest)]
+    place, far = neighbours.greedy(np.arange(6000), x, lists, x[:300], 11)
+    hits = sum(len(set(place[u, :11].tolist()) & set(nearest[u, :11].tolist())) for u in range(300))
+    assert hits >= 0.98 * 11 * 300
+
+
+def test_neighbours_reach_recall_in_tight_groups_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 2000)
+    monkeypatch.setattr(neighbours, "NODES", 1000)
+    x = grouped_rows(6000, 60, 16, 0.05).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got: dict = {}
+    for r in neighbours.search(frame, "vec_id", "embedding", "id % 50 = 0", 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = x.astype(float)
+    hits = 0
+    for q in range(0, 6000, 50):
+        order = [i for i in np.lexsort((np.arange(6000), ((x - x[q]) ** 2).sum(1))) if i != q][:10]
+        hits += len(got[q] & set(order))
+    print("recall", hits / 1200)
+    assert hits >= 0.95 * 1200

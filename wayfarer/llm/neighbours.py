@@ -3,7 +3,8 @@
 Equal vectors are folded first (a node of the graph is a distinct vector), so copies can't fill a
 neighbour list. Nodes are dealt into shards of at most about `SHARD` nodes by hash, and every shard
 gets a graph of its own, which bounds what one search task holds whatever the table's size; a query
-visits all shards and the shards' results merge by exact distance.
+visits all shards and the shards' results merge by exact distance. A search starts from so many nodes that
+every node of the shard is within two links of one, however many parts the graph falls into.
 
 Every row of the descent is a node with its vector, its K nearest so far and their vectors, or an
 offer to a node. A round shuffles offers to the nodes they are for, joins them with the node's list,
@@ -32,7 +33,8 @@ ROUNDS = 6
 OFFERS = 2  #: best offers a node makes to each of its neighbours in a round
 BEAM = 500  #: candidates a search keeps
 EXPAND = 4  #: candidates a search expands at a time
-ENTRIES = 64  #: nodes a search starts from
+ENTRIES = 64  #: nodes a search starts from at least
+HOPS = 2  #: links between any node and the nearest start
 QUERIES = 512
 FAR = np.float32(np.inf)
 
@@ -196,6 +198,27 @@ def build_graph(nodes: DataFrame, count: int, links: int = LINKS, rounds: int =
     return rows.where("ids is not null").select("shard", "node", "ids").mapInArrow(lists, "shard int, node long, links array<long>")
 
 
+def starts_of(adjacent: np.ndarray, entries: int = ENTRIES) -> np.ndarray:
+    """Nodes a search starts from: `entries` random ones, and more until every node lies within `HOPS` links of one.
+
+    Nearest neighbours alone may leave a graph of many islands, which no small number of random starts reaches.
+    `adjacent` holds the places each node links to, filled up with its number of nodes.
+    """
+    n = len(adjacent) - 1
+    order = np.random.Generator(np.random.PCG64(n)).permutation(n)
+    near, starts = np.zeros(n + 1, bool), []
+    for k, u in enumerate(order.tolist()):
+        if k >= entries and near[u]:
+            continue
+        starts.append(u)
+        ring = np.array([u])
+        near[u] = True
+        for _ in range(HOPS):
+            ring = np.unique(adjacent[ring])
+            near[ring] = True
+    return np.array(starts)
+
+
 def greedy(ids: np.ndarray, x: np.ndarray, lists: list, queries: np.ndarray, keep: int, beam: int = BEAM, entries: int = ENTRIES) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of one graph for a block of queries: positions and distances of the `keep` nearest found."""
     n, q = len(ids), len(queries)
@@ -217,10 +240,13 @@ def greedy(ids: np.ndarray, x: np.ndarray, lists: list, queries: np.ndarray, kee
     at = np.arange(q)[:, None]
     seen, spent = np.zeros((q, n + 1), bool), np.zeros((q, n + 1), bool)
     seen[:, n] = spent[:, n] = True
-    begin = np.random.Generator(np.random.PCG64(n)).permutation(n)[:entries]
+    begin = starts_of(adjacent, entries)
     pool = np.tile(begin, (q, 1))
     seen[at, pool] = True
-    gap = sq[pool] - 2 * np.einsum("qd,qkd->qk", q32, x32[pool])
+    gap = sq[begin] - 2 * (q32 @ x32[begin].T)
+    if pool.shape[1] > beam:
+        best = np.argpartition(gap, beam - 1, axis=1)[:, :beam]
+        pool, gap = np.take_along_axis(pool, best, 1), np.take_along_axis(gap, best, 1)
     while True:
         open_gap = np.where(spent[at, pool], np.inf, gap)
         if open_gap.shape[1] > EXPAND:
