@@ -6,7 +6,7 @@ Every stage but the last returns the columns of `documents`; `n_chars` follows t
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.llm import linededup, neardups, packing, secrets, toxicity
@@ -34,13 +34,16 @@ def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays, and one row of it;
-    documents without words are in no group, and rows without a doc_id stay."""
+    """Of each group of linked rows the one with the least doc_id stays (of several texts with that id the one of
+    least hash), and rows of equal doc_id and text are one row. Rows that share a doc_id only are different
+    documents; those without words are in no group, and rows without a doc_id stay."""
     prepare(spark)
-    kept = neardups.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.where("doc_id is not null").select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("row", first).where("row = 1").drop("row")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    named = docs.where("doc_id is not null").select(*COLUMNS, F.xxhash64("text").alias("key"))
+    rows = stage(neardups.labelled(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), ["doc_id", "key"]).where("doc_id is not null"), "labelled")
+    heads = rows.where("n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("head")).select("head.*")
+    kept = heads.unionByName(rows.where("n = 0").select("doc_id", "key").distinct())
+    one = named.join(kept, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return one.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,16 @@ def test_pipeline_stages_take_effect(spark):
     assert masked[6002]["text"] == 'He wrote [SECRET]" there for once' and masked[6002]["n_chars"] == len(masked[6002]["text"]) and masked[6000]["text"] is None
     pieces = steps["packing"](spark, docs, SMALL)
     assert pieces.where("start = 0").select("doc_id").distinct().count() == docs.count()
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    near = one.replace("a29", "other")
+    rows = [(1, f"{one}\n{two}"), (1, f"{three}\n{one}"), (1, two[:60]), (1, two[:60]), (2, near), (1, ""), (1, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    steps = dict(corpus_pipeline.STAGES)
+    kept = sorted((r["doc_id"], str(r["text"])) for r in steps["ngram_jaccard"](spark, docs, SMALL).collect())
+    assert kept == sorted({(d, str(t)) for d, t in rows})
+    lines = [(r["doc_id"], line) for r in steps["line_dedup"](spark, docs, SMALL).where("text is not null").collect() for line in r["text"].split("\n")]
+    # each line stays once; equal rows are one text and keep theirs
+    assert sorted(lines) == sorted([(1, one), (1, two), (1, three), (1, two[:60]), (1, two[:60]), (1, "")])

@@ -27,7 +27,7 @@ def line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, node, n) of every line that has words; lines count from 0."""
+    """(doc_id, key, line, node, n) of every line that has words; `key` tells texts of one doc_id apart, lines count from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,9 +38,9 @@ def line_nodes(docs: DataFrame) -> DataFrame:
                 number = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
                 n = np.diff(offsets)
                 some = n > 0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[some])), pa.array(number[some]), pa.array(S.set_nodes(values, offsets)[some]), pa.array(n[some])], ["doc_id", "line", "node", "n"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(rows[some])) for c in ("doc_id", "key")], pa.array(number[some]), pa.array(S.set_nodes(values, offsets)[some]), pa.array(n[some])], ["doc_id", "key", "line", "node", "n"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, line long, node long, n long")
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, line long, node long, n long")
 
 
 class Earlier:
@@ -72,31 +72,31 @@ class Earlier:
 
 
 def later_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line that has an earlier match, by doc_id and then line.
+    """(doc_id, key, line) of every line that has an earlier match, by doc_id, `key` (the text's hash) and then line.
 
     Lines match at Jaccard >= 0.75 of their five-word shingles (a shorter line is one shingle); lines
-    without words match nothing. Rows that share a doc_id hold lines at the same places, and
-    lines at one place don't remove each other. Rows without a doc_id are left alone.
+    without words match nothing. Rows of equal doc_id and text are one: their lines don't remove each other. Rows
+    that share a doc_id only are different texts. Rows without a doc_id are left alone.
     """
     rows = stage(line_nodes(docs), "lines")
-    classes = stage(rows.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max(F.struct("doc_id", "line")).alias("end"), F.first("n").alias("n")), "classes")
+    classes = stage(rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "line")).alias("at"), F.max(F.struct("doc_id", "key", "line")).alias("end"), F.first("n").alias("n")), "classes")
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * S.THRESHOLD[0] / S.THRESHOLD[1]) + 1)).first()[0] or 0
     text = docs.where("doc_id is not null").select("text")
     groups = stage(S.groups_of(text, S.frequent_tokens(text, line_sets), entries, line_sets), "groups")
     nodes = groups.select("node").distinct()
-    order = stage(classes.join(nodes, "node").select("node", F.col("at.doc_id").alias("first"), F.col("at.line").alias("second")), "order")
+    order = stage(classes.join(nodes, "node").select("node", F.col("at.doc_id").alias("first"), F.struct("at.key", "at.line").alias("second")), "order")
     job = Earlier(order)
     sets = stage(S.sets_of(text, nodes, line_sets), "tokens")  # lines are short: once for all rounds
     S.rounds(groups, order, lambda wanted: sets, S.jaccard_reached, job)
     marked = classes.withColumn("settled", F.lit(False)) if job.settled is None else classes.join(job.settled.withColumn("settled", F.lit(True)), "node", "left")
     marked = marked.where("settled or at <> end").select("node", "at", F.coalesce("settled", F.lit(False)).alias("settled"))
-    return rows.join(marked, "node").where(F.col("settled") | (F.struct("doc_id", "line") > F.col("at"))).select("doc_id", "line")
+    return rows.join(marked, "node").where(F.col("settled") | (F.struct("doc_id", "key", "line") > F.col("at"))).select("doc_id", "key", "line")
 
 
 def dedup_lines(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` with `text` rid of later lines (null texts stay null), `n_lines`, and `removed` (line numbers)."""
-    gone = later_lines(docs).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))  # one document's lines
-    joined = docs.select(*keep).join(gone, "doc_id", "left")
+    gone = later_lines(docs).distinct().groupBy("doc_id", F.col("key").alias("key__")).agg(F.sort_array(F.collect_list("line")).alias("removed"))  # one text's lines
+    joined = docs.select(*keep, F.xxhash64("text").alias("key__")).join(gone, ["doc_id", "key__"], "left").select(*keep, "removed")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i.cast("long"))), "\n")
     return joined.withColumn("n_lines", F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0))).withColumn(

@@ -55,15 +55,10 @@ class Components:
         return named.join(most, key).where("label <> most").select(*key, "node", "n")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`.
-
-    Five-word shingles, Jaccard >= 0.75, whole texts. component_id is the least doc_id reachable by
-    links; texts with one shingle set are linked. Texts without words (null, empty, blank) are linked with
-    nothing: component_id is their own doc_id. Rows that share a doc_id have each their own text. Rows
-    without a doc_id take part in links and have a null component_id only if no linked row has an id.
-    """
-    rows = stage(document_sets(docs, ["doc_id"]), "sets")
+def labelled(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` (with doc_id), the set size `n`, the component's `label` and its least doc_id `component_id` of every
+    row of `docs`. Rows of one doc_id may be in several components; texts without words have no label."""
+    rows = stage(document_sets(docs, keep), "sets")
     some = rows.where("n > 0")
     entries = some.select("node", "n").distinct().agg(F.sum(F.col("n") - F.ceil(F.col("n") * S.THRESHOLD[0] / S.THRESHOLD[1]) + 1)).first()[0] or 0
     text = docs.select("text")
@@ -74,6 +69,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = firsts.withColumn("label", F.col("node")) if job.labels is None else firsts.join(job.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labels = stage(labels, "named")
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
-    per_node = labels.join(least, "label").select("node", "component_id")
-    found = rows.join(per_node, "node", "left")
+    per_node = labels.join(least, "label").select("node", "label", "component_id")
+    return rows.join(per_node, "node", "left").select(*keep, "n", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs`.
+
+    Five-word shingles, Jaccard >= 0.75, whole texts. component_id is the least doc_id reachable by
+    links; texts with one shingle set are linked. Texts without words (null, empty, blank) are linked with
+    nothing: component_id is their own doc_id. Rows that share a doc_id have each their own text. Rows
+    without a doc_id take part in links and have a null component_id only if no linked row has an id.
+    """
+    found = labelled(docs, ["doc_id"])
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
