@@ -6,11 +6,12 @@ import itertools
 import random
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wayfarer import session
-from wayfarer.operators import clean, clusters, neighbours, ordering, rules
+from wayfarer.operators import clean, clusters, neighbours, ordering, quantiles, rules
 from wayfarer.plans.star import Dimension, Star
 
 
@@ -55,11 +56,31 @@ def test_itemsets_are_all_frequent_sets(spark):
     assert {tuple(r["items"]): r["n"] for r in found.itemsets.collect()} == wanted
 
 
-def test_buckets_follow_the_rows(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "BUCKET_ROWS", 100)
-    rows = spark.range(20_000).select("id", F.pow(F.col("id").cast("double"), 3).alias("v"))
-    fullest = ordering.range_bucket(rows, "v").groupBy(ordering.BUCKET).count().agg(F.max("count")).first()[0]
-    assert fullest <= 500
+def test_skewed_keys_are_cut_evenly(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 500)
+    u = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    normal = F.sqrt(-2 * F.log(u)) * F.cos(6.283185307179586 * F.pmod(F.col("id") * 0.6180339887498949, F.lit(1.0)))
+    for v in (F.exp(3 * normal), 1 / F.pow(u, 2.0), F.tan(3.141592653589793 * (u - 0.5)), F.lit(1.0)):
+        rows = spark.range(20_000).select("id", v.alias("v"))
+        sizes = [r["count"] for r in ordering.sample_sorted(rows, "v", "id").groupBy(ordering.BUCKET).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 3 * 500
+    got = ordering.placed(rows, "v", "id").where("position <> id").count()
+    assert got == 0
+
+
+def test_quantiles_of_groups_on_different_scales(spark):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "small").when(F.col("id") % 3 == 1, "heavy").otherwise("two").alias("g"), "id",
+        F.when(F.col("id") % 3 == 0, F.col("id") * 1e-10).when(F.col("id") % 3 == 1, F.exp(F.col("id") / 1000.0)).otherwise(F.col("id") % 2 * 1.0).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("one", 1, 5.0), ("none", 2, None), (None, 3, 7.0)], "g string, id long, v double"))
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    found = {r["g"]: list(r)[1:] for r in quantiles.quantiles(rows, "v", probs, ["g"], list("abcde"), held=50).collect()}
+    values = {}
+    for r in rows.where("v is not null").collect():
+        values.setdefault(r["g"], []).append(r["v"])
+    assert set(found) == set(values)
+    for g, wanted in values.items():
+        assert found[g] == pytest.approx(np.quantile(wanted, probs).tolist(), rel=1e-12)
 
 
 def test_kmeans_runs_find_separate_groups(spark):

@@ -1,67 +1,25 @@
 """Global order without a one-task sort: ranks, running sums, positions, top-k.
 
-A total order is cut into buckets by a deterministic expression on the sort key,
-each bucket is ordered by itself, and bucket totals (one row per bucket) supply
-the offsets. The bounds become constants of the plan, so every use of the table
-sees the same cut whatever is recomputed after a lost executor.
+A total order is cut into even buckets by a sample sort that is written once, each
+bucket is ordered by itself, and bucket totals (one row per bucket) supply
+the offsets. Every use of the table sees the same cut whatever is recomputed after a
+lost executor.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.session import shuffle_width
+from wayfarer.session import shuffle_width, stage
 
 BUCKET, BEFORE = "__bucket", "__before"
 
-
-COARSE = 32
 BUCKET_ROWS = 50_000  #: rows a bucket should hold: their number follows the table
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
-    """Add ``__bucket``, an integer that rises with the numeric `key`.
-
-    Runs one aggregate for about 30 approximate quantiles; between two of them
-    buckets are cut evenly by value, so about `buckets` even ones result (more where
-    they would hold over `BUCKET_ROWS` rows) unless one key value is frequent (fold such tables by key first). Only how even the
-    buckets are depends on the bounds, never a result. The expression is a short
-    tree of comparisons with constants, inside generated code.
-    """
-    number = F.col(key).cast("double")
-    found = df.select(
-        F.count(F.lit(1)).alias("rows"),
-        F.percentile_approx(number, [i / COARSE for i in range(1, COARSE)], 1000).alias("cuts"),
-        F.min(number).alias("low"), F.max(number).alias("high"),
-    ).first()
-    n = max(buckets or shuffle_width(df.sparkSession), -(-found["rows"] // BUCKET_ROWS))
-    fine = max(1, -(-n // COARSE))
-    bounds = sorted({float(b) for b in found["cuts"] or [] if math.isfinite(b)})
-    edges = [found["low"], *bounds, found["high"]]
-    starts, rates = [], []
-    for low, high in zip(edges, edges[1:]):
-        usable = low is not None and high is not None and math.isfinite(low) and math.isfinite(high) and high > low
-        starts.append(low if usable else 0.0)
-        rates.append(fine / (high - low) if usable and math.isfinite(fine / (high - low)) else 0.0)
-
-    def tree(low: int, high: int) -> str:
-        """Number of bounds at or below the key, given it lies in [low, high]."""
-        if low == high:
-            return str(low)
-        middle = (low + high) // 2
-        return f"CASE WHEN `{key}` < {bounds[middle]!r}D THEN {tree(low, middle)} ELSE {tree(middle + 1, high)} END"
-
-    out = df.withColumn("__coarse", F.expr(tree(0, len(bounds))))
-    start = F.get(F.array(*[F.lit(v) for v in starts]), "__coarse")
-    rate = F.get(F.array(*[F.lit(v) for v in rates]), "__coarse")
-    step = F.least(F.lit(float(fine - 1)), F.greatest(F.lit(0.0), F.floor((number - start) * rate)))
-    return out.withColumn(BUCKET, F.col("__coarse") * fine + step.cast("int")).drop("__coarse")
-
-
 def hash_order(*cols: Column | str, seed: int = 42) -> Column:
     """A 60-bit number that orders rows by ``md5(cols || seed)``."""
     text = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols], F.lit(str(seed)))
@@ -82,7 +40,7 @@ def running_sum(
 
     Rows must be unique in (`by`, `key`); fold duplicates by grouping first.
     """
-    cut = range_bucket(df, key, buckets)
+    cut = sample_sorted(df, *by, key, parts=buckets).drop("__at")
     return _accumulate(cut, F.col(key), weights, by, descending)
 
 
@@ -109,10 +67,37 @@ def _accumulate(cut: DataFrame, order: Column, weights: Sequence[str], by: Seque
     )
 
 
+def sample_sorted(df: DataFrame, *order: Column | str, parts: int | None = None) -> DataFrame:
+    """`df` staged in the total order `order`, with ``__bucket`` (rises with the order) and ``__at``
+    (0-based place in the bucket).
+
+    A sample sort: splitters of equal depth come from a sample of every partition, merged by weight, so
+    buckets are even whatever the distribution of the keys. Let `order` end with a column that tells equal
+    keys apart: ties are then cut between tasks too. The cut is written once, so that every later use sees the same.
+    """
+    n = parts or max(shuffle_width(df.sparkSession), -(-df.count() // BUCKET_ROWS))
+    cut = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the upper bits of this id are the partition, the lower 33 the place in it
+    cut = stage(cut.withColumn("__m", F.monotonically_increasing_id()), "sorted")
+    return cut.withColumns({BUCKET: F.shiftright("__m", 33).cast("int"), "__at": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__m")
+
+
+def placed(df: DataFrame, *order: Column | str, name: str = "position", parts: int | None = None) -> DataFrame:
+    """0-based place of each row in the total order `order` (see `sample_sorted`)."""
+    cut = sample_sorted(df, *order, parts=parts)
+    counts = cut.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__n")).orderBy(BUCKET).collect()  # one row per bucket
+    starts, total = [], 0
+    for row in counts:
+        starts.append((row[BUCKET], total))
+        total += row["__n"]
+    offsets = df.sparkSession.createDataFrame(starts, f"{BUCKET} int, __start bigint")
+    joined = cut.join(F.broadcast(offsets), BUCKET)  # as many rows as there are buckets
+    return joined.withColumn(name, F.col("__start") + F.col("__at")).drop(BUCKET, "__at", "__start")
+
+
 def position(df: DataFrame, key: str, name: str = "position", buckets: int | None = None) -> DataFrame:
-    """0-based place of each row in the order of a unique numeric `key`."""
-    out = running_sum(df.withColumn("__one", F.lit(1).cast("bigint")), key, ["__one"], buckets=buckets)
-    return out.withColumn(name, F.col("__one_cum") - 1).drop("__one", "__one_cum", "__one_total")
+    """0-based place of each row in the order of a unique `key`."""
+    return placed(df, key, name=name, parts=buckets)
 
 
 def shuffled_rank(

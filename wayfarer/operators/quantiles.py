@@ -7,62 +7,124 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.operators.ordering import BEFORE, BUCKET, range_bucket
+from wayfarer.session import stage
+
+ACCURACY = 10_000  #: of the sketches: a rank is found to within one part in so many
+GRID = 64  #: cells an interval is cut into when it is still too wide
+HELD = 200_000  #: rows of an interval above which it is narrowed again
 
 
 def quantiles(
     df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str] = (), names: Sequence[str] | None = None,
-    few_groups: bool = False, buckets: int = 1024,
+    few_groups: bool = False, held: int | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group, nulls skipped.
+    """Linear-interpolated quantiles per group, nulls skipped; exact.
 
-    Values are cut into even buckets; bucket counts (folded per task) tell which
-    few buckets hold the wanted ranks, and only the rows of those are shuffled,
-    folded to distinct values and ranked. Spark's own ``percentile`` would keep
-    every distinct value of a group in one buffer.
+    A mergeable sketch per group brackets each wanted rank between two values of that group, so groups on
+    different scales don't disturb each other. Exact counts outside the bracket check it; one that holds over
+    `held` rows is cut by a sketch of its own rows until it does not, or can't get narrower. Only the rows inside the
+    brackets are shuffled, folded to distinct values and ranked. Spark's own ``percentile`` would keep every
+    distinct value of a group in one buffer.
 
     `few_groups` says that `by` has few values by construction (column names,
-    say), so the list of wanted buckets may be broadcast; without `by` it has at
-    most two rows per probability and always is.
+    say), so the list of brackets may be broadcast; without `by` it is one row and always is.
     """
     by = list(by)
     names = list(names or [f"q{p:g}" for p in probs])
+    held = held or HELD
     rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("__v"))
-    cut = range_bucket(rows, "__v", buckets)
-    counts = cut.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("__in"))
-    group = Window.partitionBy(*by)
-    before = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.select(
-        *by, BUCKET, "__in", F.coalesce(F.sum("__in").over(before), F.lit(0)).alias(BEFORE), F.sum("__in").over(group).alias("__size")
-    )
-    wanted = F.lit(False)
-    for p in probs:
-        for rank in (_rank(p, F.floor), _rank(p, F.ceil)):
-            wanted = wanted | ((rank >= F.col(BEFORE)) & (rank < F.col(BEFORE) + F.col("__in")))
-    few = placed.where(wanted).select(*by, BUCKET, BEFORE, "__size")
-    hits = cut.join(F.broadcast(few) if few_groups or not by else few, [*by, BUCKET])
-    folded = hits.groupBy(*by, BUCKET, "__v").agg(
-        F.count(F.lit(1)).alias("__n"), F.first(BEFORE).alias(BEFORE), F.first("__size").alias("__size")
-    )
-    within = Window.partitionBy(*by, BUCKET).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = folded.withColumn("__upto", F.col(BEFORE) + F.sum("__n").over(within))
-    picks: list[Column] = []
+    brackets = stage(_checked(rows, _first_brackets(rows, probs, by), len(probs), by, few_groups), "brackets")
+    while True:
+        wide = brackets.where((F.col("inside") > held) & (F.col("lo") < F.col("hi")) & F.col("narrowed"))
+        if wide.isEmpty():
+            break
+        cut = _narrower(_inside(rows, wide, by, few_groups), wide, by)
+        tested = _checked(rows, cut, len(probs), by, few_groups)
+        # one that does not hold its ranks keeps the bracket before, and neither that nor one that hardly shrank goes on
+        good = (F.col("before") <= F.col("first")) & (F.col("before") + F.col("inside") > F.col("last"))
+        kept = tested.withColumn("good", good).select(
+            *by, "i", "size", "first", "last", *[F.when(F.col("good"), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in ("lo", "hi", "before", "inside")],
+            (F.col("good") & (F.col("inside") * 2 <= F.col("old.inside"))).alias("narrowed"))
+        done = brackets.where(~((F.col("inside") > held) & (F.col("lo") < F.col("hi")) & F.col("narrowed")))
+        brackets = stage(done.unionByName(kept), "brackets")
+    hits = _inside(rows, brackets, by, few_groups)
+    folded = hits.groupBy(*by, "i", "__v").agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in ("before", "first", "last", "size")])
+    within = Window.partitionBy(*by, "i").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = folded.withColumn("__upto", F.col("before") + F.sum("__n").over(within))
+    ends = ranked.groupBy(*by, "i").agg(
+        F.max("size").alias("size"), F.min(F.when(F.col("__upto") > F.col("first"), F.col("__v"))).alias("lo"),
+        F.min(F.when(F.col("__upto") > F.col("last"), F.col("__v"))).alias("hi"))
+    at = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1) * (F.col("size") - 1)
+    values = ends.withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at)))
+    picks = [F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)]
+    return values.groupBy(*by).agg(*picks).select(*by, *names)
+
+
+def _first_brackets(rows: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """A row per group and probability `i`: wanted ranks `first` and `last` (0-based), bracket `lo` to `hi`."""
+    margin = 2 / ACCURACY
+    edges = [min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)]
+    found = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("size"), F.percentile_approx("__v", edges, ACCURACY).alias("cuts"), F.min("__v").alias("low"), F.max("__v").alias("high")
+    ).where("size > 0")
+    wanted = []
     for i, p in enumerate(probs):
-        picks += [
-            F.min(F.when(F.col("__upto") > _rank(p, F.floor), F.col("__v"))).alias(f"__lo{i}"),
-            F.min(F.when(F.col("__upto") > _rank(p, F.ceil), F.col("__v"))).alias(f"__hi{i}"),
-        ]
-    picked = ranked.groupBy(*by).agg(F.max("__size").alias("__size"), *picks)
-    out = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        at = F.lit(float(p)) * (F.col("__size") - 1)
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return picked.select(*by, *out)
-
-
-def _rank(p: float, end) -> Column:
-    return end(F.lit(float(p)) * (F.col("__size") - 1))
+        at = F.lit(float(p)) * (F.col("size") - 1)
+        # at the ends the exact extremes serve
+        lo = F.col("low") if edges[2 * i] == 0 else F.col("cuts")[2 * i]
+        hi = F.col("high") if edges[2 * i + 1] == 1 else F.col("cuts")[2 * i + 1]
+        wanted.append(F.struct(F.lit(i).alias("i"), F.floor(at).alias("first"), F.ceil(at).alias("last"), lo.alias("lo"), hi.alias("hi")))
+    return found.select(*by, "size", "low", "high", F.inline(F.array(*wanted))).select(*by, "size", "i", "first", "last", "lo", "hi", F.struct("low", "high").alias("ends"))
+
+
+def _same(by: list[str]) -> Column:
+    out = F.lit(True)
+    for c in by:
+        out = out & F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return out
+
+
+def _joined(rows: DataFrame, brackets: DataFrame, by: list[str], few: bool, more: Column | None = None) -> DataFrame:
+    """Rows beside the brackets of their group."""
+    right = F.broadcast(brackets) if few or not by else brackets
+    on = _same(by) if more is None else _same(by) & more
+    return rows.alias("r").join(right.alias("b"), on)
+
+
+def _inside(rows: DataFrame, brackets: DataFrame, by: list[str], few: bool) -> DataFrame:
+    within = (F.col("r.__v") >= F.col("b.lo")) & (F.col("r.__v") <= F.col("b.hi"))
+    rest = [c for c in brackets.columns if c not in by]
+    return _joined(rows, brackets, by, few, within).select(*[F.col(f"r.{c}") for c in by], F.col("r.__v"), *[F.col(f"b.{c}") for c in rest])
+
+
+def _checked(rows: DataFrame, brackets: DataFrame, n: int, by: list[str], few: bool) -> DataFrame:
+    """Exact counts below (`before`) and in (`inside`) each bracket. A first bracket that misses its ranks
+    is widened to the group's extremes."""
+    rest = [c for c in brackets.columns if c not in [*by, "i"]]
+    grouped = brackets.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", *rest))).alias("bs"))  # one entry per probability
+    joined = _joined(rows, grouped, by, few).select(*[F.col(f"r.{c}") for c in by], "__v", "b.bs")
+    one = lambda k: F.get("bs", F.lit(k))
+    tests = [(F.col("__v") < one(k)["lo"], (F.col("__v") >= one(k)["lo"]) & (F.col("__v") <= one(k)["hi"])) for k in range(n)]
+    counts = joined.groupBy(*by).agg(F.first("bs").alias("bs"), *[F.count(F.when(t, 1)).alias(f"__{side}{k}") for k, pair in enumerate(tests) for side, t in zip("bi", pair)])
+    flat = counts.select(*by, F.inline(F.array(*[F.struct(one(k).alias("x"), F.col(f"__b{k}").alias("before"), F.col(f"__i{k}").alias("inside")) for k in range(n)])))
+    out = flat.where("x is not null").select(*by, "x.i", *[F.col(f"x.{c}").alias(c) for c in rest], "before", "inside")
+    if "ends" not in rest:
+        return out
+    good = (F.col("before") <= F.col("first")) & (F.col("before") + F.col("inside") > F.col("last"))
+    pick = lambda c, other: F.when(good, F.col(c)).otherwise(other)
+    return out.select(*by, "i", "size", "first", "last", pick("lo", F.col("ends.low")).alias("lo"), pick("hi", F.col("ends.high")).alias("hi"),
+                      pick("before", F.lit(0).cast("bigint")).alias("before"), pick("inside", F.col("size")).alias("inside"), F.lit(True).alias("narrowed"))
+
+
+def _narrower(hits: DataFrame, wide: DataFrame, by: list[str]) -> DataFrame:
+    """The cells of an even cut of each wide bracket's rows that hold its ranks, with one more cell on both sides."""
+    found = hits.groupBy(*by, "i").agg(
+        F.percentile_approx("__v", [k / GRID for k in range(1, GRID)], ACCURACY).alias("cuts"), *[F.first(c).alias(c) for c in ("size", "first", "last", "lo", "hi", "before", "inside")])
+    cell = lambda rank: F.floor((F.col(rank) - F.col("before")) * GRID / F.col("inside")).cast("int")
+    low, high = cell("first") - 1, cell("last") + 2
+    lo = F.when(low < 1, F.col("lo")).otherwise(F.get("cuts", low - 1))
+    hi = F.when(high >= GRID, F.col("hi")).otherwise(F.get("cuts", high - 1))
+    return found.select(*by, "i", "size", "first", "last", F.struct("lo", "hi", "before", "inside").alias("old"), lo.alias("lo"), hi.alias("hi"))
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
