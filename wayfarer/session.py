@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,28 @@ def build_session(app: str = "wayfarer", master: str | None = None, **conf: obje
         builder = builder.master(master)
     for key, value in (conf.pop("extra", None) or {}).items():
         builder = builder.config(key, str(value))
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once per application: functions that run there are imported by name,
+    and a worker need not start where the package lies."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), "wayfarer.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 _STAGED: list[str] = []
@@ -58,6 +80,13 @@ def drop_staged(spark: SparkSession) -> int:
     return done
 
 
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that `drop_staged` removes."""
+    path = os.path.join(staging_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once as parquet in the shared folder and read it back.
 
@@ -68,8 +97,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     columnar, so later steps still prune columns.
     """
     spark = df.sparkSession
-    path = os.path.join(staging_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    _STAGED.append(path)
+    path = staged_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
