@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfarer.session import stage, staging_dir
+from wayfarer.session import ship, stage, staged_path, staging_dir
 
 __all__ = ["prepare", "read", "shared_path", "stage"]
 
-_SHIPPED: set[str] = set()
-
 
 def prepare(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Send this package to the workers of a cluster, and keep Arrow batches to `rows` rows
+    """Send this package to the workers, and keep Arrow batches to `rows` rows
     where the session leaves Spark's default of 10,000 (texts may be long)."""
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.applicationId not in _SHIPPED:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), "wayfarer.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        path = os.path.join(folder, name)
-                        out.write(path, os.path.relpath(path, os.path.dirname(root)))
-        context.addPyFile(archive)
-        _SHIPPED.add(context.applicationId)
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
@@ -40,10 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_path(spark: SparkSession) -> str:
-    """The staging folder as a path that workers can open. Memory maps need one: a shared
-    folder behind a scheme other than ``file`` raises."""
-    folder = urlparse(staging_dir(spark))
-    if folder.scheme not in ("", "file"):
-        raise ValueError(f"memory-mapped models need a mounted folder in spark.checkpoint.dir, not {folder.scheme}://")
-    return folder.path
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder name in the staging folder, as a path that workers can open; `session.drop_staged` removes it. Memory
+    maps need one: a shared folder behind a scheme other than ``file`` raises."""
+    scheme = urlparse(staging_dir(spark)).scheme
+    if scheme not in ("", "file"):
+        raise ValueError(f"memory-mapped models need a mounted folder in spark.checkpoint.dir, not {scheme}://")
+    return urlparse(staged_path(spark, label)).path

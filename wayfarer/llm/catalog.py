@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import bpe, kneser_ney, licenses, linededup, neardups, neighbours, packing, secrets, topk, toxicity
+from wayfarer.llm import bpe, idplanes, kneser_ney, licenses, linededup, neardups, neighbours, packing, resampling, secrets, topk, toxicity, whitening
 from wayfarer.llm.base import read
 
 
@@ -67,7 +67,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.sparse_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64.0), F.col("id") % 20 == 0, 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_bpe, op4_neighbours, op5_toxicity, op6_packing, op7_ngram_jaccard, op8_kneser_ney, op9_secrets, op10_topk)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = idplanes.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return idplanes.read(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_bpe, op4_neighbours, op5_toxicity, op6_packing, op7_ngram_jaccard, op8_kneser_ney, op9_secrets, op10_topk, op11_resampling, op12_id_planes, op13_whitening)}
 
 _SHINGLES = """
 shingled AS (
@@ -110,6 +124,30 @@ links AS MATERIALIZED (
   SELECT doc_id, doc_id AS r FROM documents UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id
 )
 SELECT d.doc_id, CAST(len(d.sh) AS BIGINT) AS n_shingles, min(r.r) AS component_id FROM shingled d JOIN reach r USING (doc_id) GROUP BY d.doc_id, len(d.sh)""",
+    "op11_resampling": """
+WITH crc AS (
+  SELECT list(t ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM (SELECT unnest(range(0, 256)) AS i)
+  )
+), parted AS MATERIALIZED (
+  SELECT 'd' AS side, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', NULL, 0, text FROM benchmark
+), words AS MATERIALIZED (
+  SELECT side, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM parted
+), counted AS MATERIALIZED (SELECT side, r, w, count(*) AS n FROM words GROUP BY ALL),
+bytes AS (SELECT w, list_transform(range(0, strlen(w)), lambda k: CAST('0x' || hex(encode(w))[2 * k + 1:2 * k + 2] AS BIGINT)) AS b FROM (SELECT DISTINCT w FROM counted)),
+hashed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc
+), sums AS (
+  SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM counted JOIN hashed USING (w) GROUP BY bucket
+), alls AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM sums),
+gains AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST(s_all AS DOUBLE) + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM sums, alls
+), per AS MATERIALIZED (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM counted JOIN hashed USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || sha256('2024:' || d.doc_id)[1:8] AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM parted d LEFT JOIN per USING (r) WHERE side = 'd'
+), drawn AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank, n_features AS n_words FROM drawn""",
     "op10_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings

@@ -130,7 +130,7 @@ def _less(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame) -> Model:
     """Count the model over all rows of `docs` (text; null is empty). Without rows all words are unknown."""
     spark = docs.sparkSession
-    folder = os.path.join(shared_path(spark), f"lm-{uuid.uuid4().hex}")
+    folder = shared_path(spark, "lm")
     text = docs.select("text")
     shards = max(1, text.rdd.getNumPartitions())
 
