@@ -39,7 +39,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     documents; those without words are in no group, and rows without a doc_id stay."""
     prepare(spark)
     named = docs.where("doc_id is not null").select(*COLUMNS, F.xxhash64("text").alias("key"))
-    rows = stage(neardups.labelled(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), ["doc_id", "key"]).where("doc_id is not null"), "labelled")
+    rows = stage(neardups.labelled(docs).where("doc_id is not null"), "labelled")
     heads = rows.where("n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("head")).select("head.*")
     kept = heads.unionByName(rows.where("n = 0").select("doc_id", "key").distinct())
     one = named.join(kept, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
