@@ -117,30 +117,118 @@ def test_large_group_of_near_copies_is_one_component(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: label[i] for i in range(60)}
 
 
-def rounds_of(spark, n: int, leader: int, true: set[tuple[int, int]]):
-    """Components of one group 0..n-1 whose links are `true`, as the rounds of the set join find them."""
-    groups = spark.createDataFrame([(1, 1, i, i, 8) for i in range(n)], "gid long, gid2 long, position long, node long, n long")
-    order = spark.createDataFrame([(i, int(i != leader), i) for i in range(n)], "node long, first long, second long")
-    sets = spark.createDataFrame([(i, bytearray(np.array([i], np.uint64).tobytes())) for i in range(n)], "node long, tokens binary")
-    job = neardups.Components()
-    setjoin.rounds(groups, order, lambda wanted: sets, lambda a, partners: np.array([(min(a[0], p[0]), max(a[0], p[0])) in true for p in partners]), job)
-    return {r["node"]: r["label"] for r in job.labels.collect()} if job.labels is not None else {}
-
-
-def test_rounds_lose_no_link_when_the_largest_component_changes(spark):
-    assert rounds_of(spark, 4, 2, {(0, 1), (0, 3)}) == {0: 0, 1: 0, 3: 0}
-    # the second window of a longer group: 1-19 is met only once 20's component is no longer the largest
-    assert rounds_of(spark, 20, 5, {(0, 1), (1, 19), (17, 18)}) == {0: 0, 1: 0, 19: 0, 17: 17, 18: 17}
-
-
-def test_overlap_search_counts_like_sets():
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        leader = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
-        partners = [np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)) for _ in range(rng.integers(1, 9))]
-        partners.append(leader.copy())
-        wanted = [linked(set(leader.tolist()), set(p.tolist())) for p in partners]
-        assert setjoin.overlap_search(leader, partners).tolist() == wanted == setjoin.jaccard_reached(leader, partners).tolist()
+def random_sets(rng, groups=((12, 40, 8), (70, 100, 25), (3, 5, 1), (5, 700, 120), (2, 1, 0))):
+    """Groups of edited and shortened copies of a set of random tokens."""
+    out = []
+    for copies, n, edits in groups:
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(copies):
+            mine, k = base.copy(), rng.integers(0, edits + 1)
+            mine[rng.choice(n, k, replace=False)] = rng.integers(0, 2**63, k).astype(np.uint64)
+            out.append(np.unique(mine[: max(1, int(n * rng.uniform(0.7, 1)))] if rng.random() < 0.3 else mine))
+    return [out[k] for k in rng.permutation(len(out))]
+
+
+def brute_links(sets):
+    return {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if linked(set(sets[i].tolist()), set(sets[j].tolist()))}
+
+
+def brute_labels(n, links):
+    label = list(range(n))
+    for _ in range(n):
+        before = list(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            return label
+    return label
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_occurrence_search_and_counts_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    sets = random_sets(rng)
+    links = brute_links(sets)
+    label = brute_labels(len(sets), links)
+    every = np.ones(len(sets), bool)
+    found = setjoin.join_by_occurrence(sets, every, np.arange(len(sets)))
+    assert len(set(zip(found.tolist(), label))) == len(set(label)) == len(set(found.tolist()))
+    assert setjoin.matched_earlier(sets, every).tolist() == [any((i, j) in links for i in range(j)) for j in range(len(sets))]
+    # only pairs with a target are tested
+    some = rng.random(len(sets)) < 0.5
+    part = brute_labels(len(sets), {(i, j) for i, j in links if some[i] or some[j]})
+    found = setjoin.join_by_occurrence(sets, some, np.arange(len(sets)))
+    assert len(set(zip(found.tolist(), part))) == len(set(part)) == len(set(found.tolist()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_filters_lose_no_link(seed):
+    """Whatever reaches the threshold is connected by the edges that leave the filters."""
+    rng = np.random.default_rng(seed)
+    sets = random_sets(rng)
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    raw, bounds = setjoin.signatures(np.concatenate(sets), offsets)
+    column = pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+    n = np.diff(offsets)
+    signs = setjoin._Signs(column, n)
+    i, j = np.triu_indices(len(sets), 1)
+    passed = set(zip(i[signs.close(i, j)].tolist(), j[signs.close(i, j)].tolist()))
+    links = brute_links(sets)
+    assert links <= passed and len(passed) < len(i) / 2
+    # as one run of members, and as several short ones
+    for starts in (np.array([0]), np.arange(0, len(sets), 20)):
+        nodes = np.arange(len(sets))
+        a, b = setjoin.linked_members(starts, nodes, n, np.zeros(len(sets), np.int64), signs)
+        label = brute_labels(len(sets), set(zip(a.tolist(), b.tolist())))
+        own = np.searchsorted(starts, nodes, side="right")
+        assert all(label[x] == label[y] for x, y in links if own[x] == own[y])
+        assert all(own[x] == own[y] for x, y in zip(a, b))
+
+
+def test_equal_sets_have_one_fingerprint_wherever_they_stand():
+    rng = random.Random(11)
+    texts = [prose(rng, 300) for _ in range(20)]
+    values, offsets = setjoin.text_sets(pa.array([*texts, *reversed(texts)]))
+    nodes = setjoin.set_nodes(values, offsets)
+    assert nodes[:20].tolist() == nodes[:19:-1].tolist() and len(set(nodes.tolist())) == 20
+
+
+def near_copies(rng, copies: int, words: int, edits: int) -> list[str]:
+    base = prose(rng, words).split()
+    out = []
+    for i in range(copies):
+        mine = list(base)
+        for k in rng.sample(range(words), rng.randint(0, edits)):
+            mine[k] = f"w{i}-{k}"
+        out.append(" ".join(mine))
+    return out
+
+
+def test_groups_cut_into_slices_give_the_same(spark, monkeypatch):
+    """Blocks and slices far smaller than the group: near copies of which many aren't linked with the leader."""
+    for name, value in (("BLOCK", 16), ("NODES", 12), ("ENTRIES", 500), ("HOT", 40)):
+        monkeypatch.setattr(setjoin, name, value)
+    rng = random.Random(8)
+    texts = [*near_copies(rng, 70, 60, 4), *near_copies(rng, 30, 50, 3), *(prose(rng, 40) for _ in range(30))]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    links = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if linked(sets[i], sets[j])}
+    label = brute_labels(len(texts), links)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in neardups.near_duplicates(docs).collect()}
+    assert found == dict(enumerate(label)) and 30 < len(set(label)) < 100
+    gone = {r["doc_id"] for r in linededup.later_lines(docs).collect()}
+    assert gone == {j for _, j in links}
+
+
+def test_a_hundred_thousand_near_copies(spark):
+    """Linear work on one large group: what is near the leader needs no other partner."""
+    word = lambda at: F.concat(F.lit("w"), F.pmod(F.xxhash64(at), F.lit(1000)).cast("string"))
+    base = F.transform(F.sequence(F.lit(0), F.lit(119)), word)
+    edited = F.transform(base, lambda w, k: F.when(k == F.pmod(F.xxhash64("id"), F.lit(120)), F.concat(F.lit("x"), F.col("id"))).otherwise(w))
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.array_join(edited, " ").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).alias("n_chars"))
+    found = neardups.near_duplicates(docs).agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("top")).first()
+    assert (found["n"], found["top"]) == (100_000, 0)
 
 
 def test_later_lines_go(spark, clashing):

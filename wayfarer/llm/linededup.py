@@ -21,56 +21,6 @@ def _lines(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return parted.flatten(), parted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct five-word shingles of every line of every text."""
-    return S.text_sets(_lines(column)[0])
-
-
-def line_nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, line, node, n) of every line that has words; `key` tells texts of one doc_id apart, lines count from 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.slices(batch, "text"):
-                lines, counts = _lines(part.column("text"))
-                values, offsets = S.text_sets(lines)
-                rows = np.repeat(np.arange(len(counts)), counts)
-                number = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-                n = np.diff(offsets)
-                some = n > 0
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(rows[some])) for c in ("doc_id", "key")], pa.array(number[some]), pa.array(S.set_nodes(values, offsets)[some]), pa.array(n[some])], ["doc_id", "key", "line", "node", "n"])
-
-    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, line long, node long, n long")
-
-
-class Earlier:
-    """A node is settled once an earlier node matches it; pairs whose later node is settled don't matter."""
-
-    def __init__(self, order: DataFrame) -> None:
-        self.order, self.settled = order, None
-
-    def _later(self, pairs: DataFrame) -> DataFrame:
-        a = self.order.select(F.col("node").alias("a"), F.struct("first", "second").alias("x"))
-        b = self.order.select(F.col("node").alias("b"), F.struct("first", "second").alias("y"))
-        return pairs.join(a, "a").join(b, "b").where("x <> y").select("a", "b", F.when(F.col("x") < F.col("y"), F.col("b")).otherwise(F.col("a")).alias("later"))
-
-    def absorb(self, links: DataFrame) -> None:
-        new = self._later(links).select(F.col("later").alias("node")).distinct()
-        self.settled = stage(new if self.settled is None else self.settled.union(new).distinct(), "settled")
-
-    def open(self, pairs: DataFrame) -> DataFrame:
-        if self.settled is None:
-            return pairs
-        return self._later(pairs).join(self.settled.withColumnRenamed("node", "later"), "later", "left_anti")
-
-    def hungry(self, members: DataFrame) -> DataFrame:
-        """Unsettled members with earlier ones in their group, the group's first apart."""
-        key = ["gid", "gid2"]
-        heads = members.groupBy(*key).agg(F.min(F.struct("first", "second")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 2")
-        rest = members if self.settled is None else members.join(self.settled, "node", "left_anti")
-        return rest.join(heads, key).where(F.struct("first", "second") > F.col("head")).select(*key, "node", "n")
-
-
 def later_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, line) of every line that has an earlier match, by doc_id, `key` (the text's hash) and then line.
 
@@ -78,19 +28,39 @@ def later_lines(docs: DataFrame) -> DataFrame:
     without words match nothing. Rows of equal doc_id and text are one: their lines don't remove each other. Rows
     that share a doc_id only are different texts. Rows without a doc_id are left alone.
     """
-    rows = stage(line_nodes(docs), "lines")
-    classes = stage(rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "line")).alias("at"), F.max(F.struct("doc_id", "key", "line")).alias("end"), F.first("n").alias("n")), "classes")
-    entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * S.THRESHOLD[0] / S.THRESHOLD[1]) + 1)).first()[0] or 0
-    text = docs.where("doc_id is not null").select("text")
-    groups = stage(S.groups_of(text, S.frequent_tokens(text, line_sets), entries, line_sets), "groups")
-    nodes = groups.select("node").distinct()
-    order = stage(classes.join(nodes, "node").select("node", F.col("at.doc_id").alias("first"), F.struct("at.key", "at.line").alias("second")), "order")
-    job = Earlier(order)
-    sets = stage(S.sets_of(text, nodes, line_sets), "tokens")  # lines are short: once for all rounds
-    S.rounds(groups, order, lambda wanted: sets, S.jaccard_reached, job)
-    marked = classes.withColumn("settled", F.lit(False)) if job.settled is None else classes.join(job.settled.withColumn("settled", F.lit(True)), "node", "left")
+    docs = docs.where("doc_id is not null")
+    rows, frequent, seen = S.scan(docs, _lines)
+    here = F.struct("doc_id", "key", "piece")
+    classes = stage(rows.groupBy("node").agg(F.min(here).alias("at"), F.max(here).alias("end"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    settled = _matched(docs, classes, S.members(docs, _lines, frequent, seen, S.prefix_entries(classes)))
+    marked = classes.withColumn("settled", F.lit(False)) if settled is None else classes.join(settled.withColumn("settled", F.lit(True)), "node", "left")
     marked = marked.where("settled or at <> end").select("node", "at", F.coalesce("settled", F.lit(False)).alias("settled"))
-    return rows.join(marked, "node").where(F.col("settled") | (F.struct("doc_id", "key", "line") > F.col("at"))).select("doc_id", "key", "line")
+    return rows.join(marked, "node").where(F.col("settled") | (here > F.col("at"))).select("doc_id", "key", F.col("piece").alias("line"))
+
+
+def _matched(docs: DataFrame, classes: DataFrame, entries: DataFrame) -> DataFrame | None:
+    """The nodes (node) that match a node which occurs earlier."""
+    edges = stage(S.candidates(entries, classes.select("node", "sig")), "candidates")
+    if edges.isEmpty():
+        return None
+    order = ["first", "second", "third"]
+    groups = stage(S.components(None, edges).join(classes, "node").select(
+        "node", "label", "n", F.lit(0).cast("long").alias("known"), *[F.col(f"at.{c}").alias(o) for c, o in zip(("doc_id", "key", "piece"), order)]), "groups")
+    sets = stage(S.sets_of(docs, _lines, groups.select("node", F.col("second").alias("key"))), "tokens")
+
+    def work(tokens: list[np.ndarray], target: np.ndarray, fields: dict) -> list[np.ndarray]:
+        return [fields["node"][S.matched_earlier(tokens, target)]]
+
+    def settle(rows: DataFrame) -> DataFrame:
+        return S.met(rows, sets, order, work, "node long")
+
+    few, large = S.sliced(groups, [F.col(o) for o in order])
+    found = settle(few.withColumns({"i": F.lit(0), "j": F.lit(0).cast("long"), "target": F.lit(True)}))
+    if large is not None:
+        first = stage(settle(S.blocks(large)), "settled")
+        hungry = stage(large.join(first, "node", "left_anti"), "hungry")
+        found = found.unionByName(first).unionByName(settle(S.blocks(large, hungry, earlier=True)))
+    return stage(found.distinct(), "settled")
 
 
 def dedup_lines(docs: DataFrame, keep: list[str]) -> DataFrame:

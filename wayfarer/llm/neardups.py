@@ -2,75 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm import setjoin as S
-from wayfarer.llm import words as W
 from wayfarer.llm.base import stage
 
 
-def document_sets(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, the shingle set's `node` (0 for none) and its size `n` of every row."""
-    schema = docs.select(*keep).schema.add("node", "long").add("n", "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.slices(batch, "text__"):
-                values, offsets = S.text_sets(part.column("text__"))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(S.set_nodes(values, offsets)), pa.array(np.diff(offsets).astype(np.int64))], [*keep, "node", "n"])
-
-    return docs.select(*keep, F.col("text").alias("text__")).mapInArrow(run, schema)
-
-
-class Components:
-    """Only pairs between different components matter."""
-
-    def __init__(self) -> None:
-        self.labels: DataFrame | None = None
-
-    def absorb(self, links: DataFrame) -> None:
-        self.labels = S.components(self.labels, links)
-
-    def open(self, pairs: DataFrame) -> DataFrame:
-        if self.labels is None:
-            return pairs
-        a, b = self.labels.select(F.col("node").alias("a"), F.col("label").alias("x")), self.labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
-        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b"))
-
-    def hungry(self, members: DataFrame) -> DataFrame:
-        """Members outside their group's most frequent component: every pair of two components has one."""
-        key = ["gid", "gid2"]
-        if self.labels is None:
-            named = members.withColumn("label", F.col("node"))
-        else:
-            named = members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        counts = named.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("c"))
-        most = counts.groupBy(*key).agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("size"))
-        most = most.where("labels > 1 and size > 2")  # the first round has settled groups of two
-        return named.join(most, key).where("label <> most").select(*key, "node", "n")
-
-
-def labelled(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` (with doc_id), the set size `n`, the component's `label` and its least doc_id `component_id` of every
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, `key` (the text's hash), the set size `n`, the component's `label` and its least doc_id `component_id` of every
     row of `docs`. Rows of one doc_id may be in several components; texts without words have no label."""
-    rows = stage(document_sets(docs, keep), "sets")
-    some = rows.where("n > 0")
-    entries = some.select("node", "n").distinct().agg(F.sum(F.col("n") - F.ceil(F.col("n") * S.THRESHOLD[0] / S.THRESHOLD[1]) + 1)).first()[0] or 0
-    text = docs.select("text")
-    groups = stage(S.groups_of(text, S.frequent_tokens(text), entries), "groups")
-    firsts = some.groupBy("node").agg(F.min("doc_id").alias("first"))
-    job = Components()
-    S.rounds(groups, firsts.select("node", "first", F.lit(0).alias("second")), lambda wanted: S.sets_of(text, wanted), S.overlap_search, job)
-    labels = firsts.withColumn("label", F.col("node")) if job.labels is None else firsts.join(job.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labels = stage(labels, "named")
-    least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
-    per_node = labels.join(least, "label").select("node", "label", "component_id")
-    return rows.join(per_node, "node", "left").select(*keep, "n", "label", "component_id")
+    rows, frequent, seen = S.scan(docs, empty=True)
+    nodes = stage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "sig", "key")]), "nodes")
+    labels = _components(docs, nodes, S.members(docs, S.whole, frequent, seen, S.prefix_entries(nodes)))
+    named = nodes.select("node", "first").withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    named = stage(named, "named")
+    per_node = named.join(named.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("node", "label", "component_id")
+    return rows.join(per_node, "node", "left").select("doc_id", "key", "n", "label", "component_id")
+
+
+def _components(docs: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame | None:
+    """(node, label) of the nodes that are linked with another."""
+    edges = stage(S.candidates(entries, nodes.select("node", "sig")), "candidates")
+    if edges.isEmpty():
+        return None
+    # what near copies were made from shares tokens with most of them: it leads
+    lead = entries.groupBy("node").agg((-F.count(F.lit(1))).alias("lead"))
+    groups = S.components(None, edges).join(nodes, "node").join(lead, "node")
+    groups = stage(groups.select("node", "label", "n", "key", "lead", F.col("node").alias("known")), "groups")
+    sets = stage(S.sets_of(docs, S.whole, groups.select("node", "key")), "tokens")
+
+    def work(tokens: list[np.ndarray], target: np.ndarray, fields: dict) -> list[np.ndarray]:
+        label = S.join_by_occurrence(tokens, target, fields["known"])
+        _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+        node, head = fields["node"], fields["node"][first[inverse]]
+        some = node != head
+        return [np.minimum(node, head)[some], np.maximum(node, head)[some]]
+
+    def links(rows: DataFrame) -> DataFrame:
+        return S.met(rows, sets, ["lead"], work, "a long, b long")
+
+    few, large = S.sliced(groups, [F.col("lead")])
+    found = links(few.withColumns({"i": F.lit(0), "j": F.lit(0).cast("long"), "target": F.lit(True)}))
+    if large is None:
+        return S.components(None, stage(found.distinct(), "links"))
+    state = S.components(None, stage(found.unionByName(links(S.blocks(large))).distinct(), "links"))
+    large = stage(large.drop("known").join(state.withColumnRenamed("label", "known"), "node", "left").withColumn("known", F.coalesce("known", "node")), "known")
+    most = large.groupBy("label", "known").agg(F.count(F.lit(1)).alias("c")).groupBy("label").agg(F.max_by("known", F.struct("c", "known")).alias("most"))
+    # of two nodes in different components one is outside the group's most frequent one
+    hungry = stage(large.join(most, "label").where("known <> most").drop("most"), "hungry")
+    if hungry.isEmpty():
+        return state
+    return S.components(state, stage(links(S.blocks(large, hungry)).distinct(), "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -81,5 +65,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nothing: component_id is their own doc_id. Rows that share a doc_id have each their own text. Rows
     without a doc_id take part in links and have a null component_id only if no linked row has an id.
     """
-    found = labelled(docs, ["doc_id"])
+    found = labelled(docs)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
