@@ -181,7 +181,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, kind: str = "by
             with store.open_output_stream(own) as sink:
                 writer = PlaneWriter(sink, kind)
                 for batch in batches:
-                    for some in W.slices(batch, "text", 2 << 20):
+                    for some in W.slices(batch, "text", 512 << 10):
                         ids, offsets = encoder.encode(some.column("text"))
                         for doc, a, b in zip(some.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                             writer.add(doc, np.append(ids[a:b], np.uint32(end_id)))
