@@ -23,7 +23,7 @@ def test_matches_sql(spark, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} and "pipeline" in names
 
 
 def test_pipeline_stages_take_effect(spark):

@@ -27,7 +27,8 @@ from wayfarer.llm.base import stage
 
 SCALE, SHIFT = 1024.0, 100_000
 GUARD = 8  #: columns beside the wanted ones
-DEGREE = 8  #: of the filter
+DEGREE = 8  #: of the filter, at most
+SPREAD = 1e6  #: how much more the filter may raise the first wanted direction than the last: rounding in the first must not drown the last
 ROUNDS = 60
 TOLERANCE = 1e-12  #: residual over the distance to the nearest other Ritz value that certifies a vector
 FLOOR = 1e-12  #: residual over the greatest eigenvalue that also does, once filtering no longer halves it: rounding is reached
@@ -171,7 +172,7 @@ def fit(rows: DataFrame, k: int = 8, guard: int = GUARD, degree: int = DEGREE, s
         centre = half = cut / 2
         sigma = first = half / (top - centre) if top > centre else 1.0
         before, now = q, (image - centre * q) * (sigma / half)
-        for _ in range(degree - 1):
+        for _ in range(_degree((top - centre) / half, (values[k - 1] - centre) / half, degree) - 1):
             after = 1 / (2 / first - sigma)
             before, now = now, (apply(now) - centre * now) * (2 * after / half) - before * (sigma * after)
             sigma = after
@@ -179,6 +180,13 @@ def fit(rows: DataFrame, k: int = 8, guard: int = GUARD, degree: int = DEGREE, s
     raise ArithmeticError(f"no certificate after {ROUNDS} rounds: residuals {residuals}, gaps {gaps}")
 
 
+def _degree(first: float, last: float, most: int) -> int:
+    """The greatest degree up to `most` whose Chebyshev polynomial at `first` is at most `SPREAD` times that at `last`."""
+    a, b = np.arccosh(max(first, 1.0)), np.arccosh(max(last, 1.0))
+    rise = lambda n: np.logaddexp(n * a, -n * a) - np.logaddexp(n * b, -n * b)
+    return next((n for n in range(most, 1, -1) if rise(n) <= np.log(SPREAD)), 1)
+
+
 def transform(rows: DataFrame, model: Whitening) -> DataFrame:
     """(vec_id, deviation decimal(38,0), whitened array<double>) of each of `rows`: the exact sum of (n x - S)^2 over dimensions, and
     the projections of x - S/n on the components over the roots of their eigenvalues."""
