@@ -100,3 +100,24 @@ def test_neighbours_reach_recall_in_tight_groups_over_shards(spark, monkeypatch)
         hits += len(got[q] & set(order))
     print("recall", hits / 1200)
     assert hits >= 0.95 * 1200
+
+
+def test_top_k_of_large_scores_ties_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 50)
+    rng = np.random.default_rng(4)
+    v = rng.integers(-(2**21), 2**21, size=(200, 4)) * 16  # scores near 2 ** 52
+    v[50:90] = v[7]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [rows[0], rows[0], rows[20], (40, [1, 0, 0, 0])]  # equal rows, and an id with two vectors
+    frame = spark.createDataFrame([(i, [float(c) / 64 for c in x]) for i, x in rows], "vec_id long, embedding array<double>")
+    found = topk.search(topk.sparse_rows(frame, "vec_id", "embedding", 64.0), F.col("id") % 20 == 0, 20).collect()
+    distinct = sorted({(i, tuple(x)) for i, x in rows})
+    query = {}
+    for i, x in distinct:  # of two vectors of an id the one of least terms, then weights
+        key = ([t for t, c in enumerate(x) if c], [c for c in x if c])
+        if i % 20 == 0 and (i not in query or key < query[i][0]):
+            query[i] = (key, x)
+    for q, (_, x) in query.items():
+        wanted = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in distinct if i != q)[:20]
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        assert [(i, s) for _, i, s in got] == [(i, -s) for s, i in wanted] and [r for r, _, _ in got] == list(range(1, 21))

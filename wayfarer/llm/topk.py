@@ -70,11 +70,11 @@ def best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFram
             scores[rows[postings]] += weights[postings, None] * weight  # a row is once in a term's postings
         for j in range(width):
             own = ids == query_ids[at + j]
-            # distinct keys in the order wanted: score, then smaller id
-            key = scores[:, j] * n + np.arange(n - 1, -1, -1)
-            key[own] = np.iinfo(np.int64).min
-            some = np.argpartition(key, n - k)[n - k :] if n > k else np.arange(n)
-            some = some[~own[some]]
+            some, mine = np.flatnonzero(~own), scores[:, j]
+            if len(some) > k:  # split by score alone; ties at the last place go to the smaller ids, which stand first
+                least = np.partition(mine[some], len(some) - k)[len(some) - k]
+                above = some[mine[some] > least]
+                some = np.concatenate((above, some[mine[some] == least][: k - len(above)]))
             out.append(pd.DataFrame({"query_id": query_ids[at + j], "vec_id": ids[some], "score": scores[some, j]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
@@ -82,13 +82,19 @@ def best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFram
 def search(rows: DataFrame, is_query, k: int) -> DataFrame:
     """For each row of `rows` (id, terms, weights) that meets `is_query`, its k best other rows:
     query_id, rank, vec_id, score. Rows with the query's id are not its candidates; fewer than k
-    candidates give fewer ranks; rows without terms score 0 and take part."""
+    candidates give fewer ranks; rows without terms score 0 and take part.
+
+    Equal rows are one. Of rows that share an id but not the vector, each is a candidate, and an id's query is the one of
+    them with the least terms and weights.
+    """
+    rows = rows.distinct()
     count = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     blocks, query_blocks = -(-count["n"] // CANDIDATES) or 1, -(-count["q"] // QUERIES) or 1
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     query_block = F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")
     left = rows.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "id", "terms", "weights")
-    right = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_block.alias("query_block"), "id", "terms", "weights")
+    asked = rows.where(is_query).groupBy("id").agg(F.min(F.struct("terms", "weights")).alias("q")).select("id", "q.terms", "q.weights")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_block.alias("query_block"), "id", "terms", "weights")
     found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInPandas(
         lambda c, q: best(c, q, k) if len(c) and len(q) else best(c.iloc[:0], q.iloc[:0], k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
