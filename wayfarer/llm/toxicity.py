@@ -49,37 +49,51 @@ class Linear:
     def __init__(self, size: int, dense: int) -> None:
         self.sparse, self.dense, self.bias = np.zeros(size), np.zeros(dense), 0.0
 
-    def fit(self, index: np.ndarray, offsets: np.ndarray, extra: np.ndarray, y: np.ndarray, steps: int = STEPS) -> "Linear":
-        n, share = len(y), y.mean() if len(y) else 0.0
+    def fit(self, index: np.ndarray, offsets: np.ndarray, extra: np.ndarray, y: np.ndarray, use: np.ndarray | None = None, steps: int = STEPS) -> "Linear":
+        """Fit on the rows marked in `use` (all without it). Rows are walked in blocks, so beside the data only
+        a block's features and a few arrays of the model's size are held."""
+        use = np.ones(len(y), bool) if use is None else use
+        n, share = int(use.sum()), y[use].mean() if use.any() else 0.0
         if not 0 < share < 1:  # one class only: its smoothed share is the answer
-            p = (y.sum() + 0.5) / (n + 1.0)
+            p = (y[use].sum() + 0.5) / (n + 1.0)
             self.bias = float(np.log(p / (1 - p)))
             return self
-        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / n
-        kept = np.bincount(index, minlength=len(self.sparse)) >= RARE
-        column = np.cumsum(kept) - 1
-        index, offsets = column[index[kept[index]]], np.concatenate(([0], np.cumsum(kept[index])))[offsets]
-        lengths, k = np.diff(offsets), int(kept.sum())
-        shrink = np.concatenate((np.full(k + extra.shape[1], L2), [0.0]))
+        weight = np.where(use, np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / n, 0.0)
+        size, lengths = len(self.sparse), np.diff(offsets)
+        blocks = list(_blocks(offsets))
+        counts = np.zeros(size, np.int64)
+        for a, b in blocks:
+            counts += np.bincount(index[offsets[a] : offsets[b]][np.repeat(use[a:b], lengths[a:b])], minlength=size)
+        kept = counts >= RARE
+        shrink = np.concatenate((np.full(size + extra.shape[1], L2), [0.0]))
 
         def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-            z = _sums(w[:k][index], offsets) + extra @ w[k:-1] + w[-1]
-            g = weight * (_sigmoid(z) - y)
-            gradient = np.concatenate((np.bincount(index, np.repeat(g, lengths), k), g @ extra, [g.sum()])) + shrink * w
-            return float(weight @ np.logaddexp(0, np.where(y == 1, -z, z)) + 0.5 * shrink @ w**2), gradient
-
-        w = descend(loss, np.zeros(k + extra.shape[1] + 1), steps)
-        self.sparse[kept], self.dense, self.bias = w[:k], w[k:-1], float(w[-1])
+            gradient, value = shrink * w, 0.5 * float(shrink @ w**2)
+            for a, b in blocks:
+                ids = index[offsets[a] : offsets[b]]
+                z = _sums(w[:size][ids], offsets[a : b + 1] - offsets[a]) + extra[a:b] @ w[size:-1] + w[-1]
+                g = weight[a:b] * (_sigmoid(z) - y[a:b])
+                gradient[:size] += np.bincount(ids, np.repeat(g, lengths[a:b]), size) * kept
+                gradient[size:-1] += g @ extra[a:b]
+                gradient[-1] += g.sum()
+                value += float(weight[a:b] @ np.logaddexp(0, np.where(y[a:b] == 1, -z, z)))
+            return value, gradient
+
+        w = descend(loss, np.zeros(size + extra.shape[1] + 1), steps)
+        self.sparse, self.dense, self.bias = w[:size], w[size:-1], float(w[-1])
         return self
 
     def logit(self, index: np.ndarray, offsets: np.ndarray, extra: np.ndarray) -> np.ndarray:
         return np.clip(_sums(self.sparse[index], offsets) + extra @ self.dense + self.bias, -30, 30)
 
 
-def _take(index: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.diff(offsets)[rows]
-    out = np.concatenate(([0], np.cumsum(lengths)))
-    return index[np.arange(out[-1]) - np.repeat(out[:-1] - offsets[rows], lengths)], out
+def _blocks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most `most` features each (one longer row stands alone)."""
+    at = 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield at, end
+        at = end
 
 
 def fit_chain(index: np.ndarray, offsets: np.ndarray, targets: np.ndarray, folds: np.ndarray, bits: int = BITS):
@@ -90,9 +104,11 @@ def fit_chain(index: np.ndarray, offsets: np.ndarray, targets: np.ndarray, folds
     for k in range(targets.shape[1]):
         y, held = targets[:, k], np.zeros(n)
         for fold in np.unique(folds):
-            train, test = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
-            model = Linear(1 << bits, k).fit(*_take(index, offsets, train), earlier[train], y[train])
-            held[test] = model.logit(*_take(index, offsets, test), earlier[test])
+            test = folds == fold
+            model = Linear(1 << bits, k).fit(index, offsets, earlier, y, ~test)
+            for a, b in _blocks(offsets):
+                own = model.logit(index[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], earlier[a:b])
+                held[a:b] = np.where(test[a:b], own, held[a:b])
         models.append(Linear(1 << bits, k).fit(index, offsets, earlier, y))
         earlier = np.column_stack((earlier, held))
     y = targets[:, -1]
@@ -107,16 +123,17 @@ def fit_chain(index: np.ndarray, offsets: np.ndarray, targets: np.ndarray, folds
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE, folds: int = FOLDS) -> tuple[list[Linear], float]:
-    """Fit the chain on at most `sample` labelled documents, those with the smallest id hash.
+    """Fit the chain on at most `sample` labelled documents, those with the smallest id hash. An id that several
+    rows share gives one of them, the least text; labels without a document don't count.
 
     `categories`: name -> SQL condition over the label columns, in chain order; a null condition
     counts as not in the category. Repeated label rows of a document count once (the largest).
     """
     rows = labels.where("doc_id is not null").groupBy("doc_id").agg(
         *[F.max(F.coalesce(F.expr(sql).cast("int"), F.lit(0))).alias(f"y{k}") for k, sql in enumerate(categories.values())])
-    rows = rows.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(sample)
+    rows = rows.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(sample)
     # at most `sample` short rows by construction, so sending them to every executor is bounded
-    picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "at", *[f"y{k}" for k in range(len(categories))]).agg(F.min("text").alias("text"))
     names = [f"y{k}" for k in range(len(categories))]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
         frame = frame.sort_values(["at", "words"], kind="stable")
         parts = [np.frombuffer(b, np.uint32) for b in frame["words"]]
         offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        models, threshold = fit_chain(np.concatenate(parts).astype(np.int64), offsets, frame[names].to_numpy(float), frame["at"].to_numpy() % folds)
+        models, threshold = fit_chain(np.concatenate(parts), offsets, frame[names].to_numpy(float), frame["at"].to_numpy() % folds)
         return pd.DataFrame({"k": range(len(models)), "weights": [m.sparse.astype(np.float32).tobytes() for m in models],
                              "dense": [m.dense.tolist() for m in models], "bias": [m.bias for m in models], "threshold": threshold})
 
