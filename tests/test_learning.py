@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from wayfarer.operators import clusters, evaluation, features, models, neighbours, splits
+from wayfarer.operators import clusters, evaluation, features, folds, models, neighbours, splits
 from wayfarer.plans import study
 
 
@@ -152,3 +152,61 @@ def test_silhouettes(blobs):
         assert len(values) == 180 and all(-1 <= v <= 1 for v in values)
     table, k, model = clusters.kmeans_sweep(vectors.drop("cluster"), "id", range(2, 5), restarts=2)
     assert k in (2, 3, 4) and table.count() == 3 and len(model.centres) == k
+
+
+def test_one_tree_serves_every_depth_and_number(prepared, spark):
+    """A tree cut at a depth predicts like the tree fitted to that depth; a forest's first trees like the forest itself."""
+    rows = prepared.train.select("id", "label", "features")
+    x = np.array([r["features"].toArray() for r in rows.orderBy("id").collect()])
+    deep = folds.read_trees(models.make_model("decision_tree", {"maxDepth": 8}).fit(rows), spark).votes(x, [2, 4, 8], [1])
+    for place, depth in enumerate((2, 4, 8)):
+        alone = models.make_model("decision_tree", {"maxDepth": depth}).fit(rows).transform(rows).orderBy("id")
+        assert deep[place].argmax(axis=1).tolist() == [int(r["prediction"]) for r in alone.collect()]
+    forest = models.make_model("random_forest", {"numTrees": 7, "maxDepth": 5}).fit(rows)
+    votes = folds.read_trees(forest, spark).votes(x, [3, 5], [4, 7])
+    whole = np.array([r["rawPrediction"].toArray() for r in forest.transform(rows).orderBy("id").collect()])
+    assert np.allclose(votes[3], whole) and np.allclose(votes.sum(axis=2), np.array([4, 7, 4, 7])[:, None])
+
+
+def test_shared_searches_equal_single_fits(prepared):
+    rows = splits.stratified_folds(prepared.train, ["id"], "label", 3).cache()
+    for name, grid in (("gaussian_nb", {"smoothing": [1e-9, 1e-1]}), ("knn", {"k": [1, 4], "weights": ["uniform", "distance"], "metric": ["euclidean", "manhattan"]}),
+                       ("decision_tree", {"maxDepth": [1, 3], "impurity": ["gini", "entropy"]})):
+        shared, best = folds.search(rows, name, grid, "fold", 3, "id")
+        single, _, wanted = models.grid_search(rows, name, grid, "fold", 3, "id")
+        a, b = ([r["accuracy"] for r in t.orderBy("setting").collect()] for t in (shared, single))
+        assert a == pytest.approx(b) and best == wanted
+
+
+def test_fold_moments_are_those_of_the_rows(prepared):
+    rows = splits.stratified_folds(prepared.train, ["id"], "label", 3).cache()
+    every = [(r["fold"], r["label"], r["features"].toArray()) for r in rows.collect()]
+    moments = folds.fold_moments(rows, "fold")
+    for fold in (0, 1, 2, None):
+        for c, m in folds.training_moments(moments, fold).items():
+            x = np.array([v for f, y, v in every if y == c and f != fold])
+            assert m.n == len(x) and np.allclose(m.mean, x.mean(axis=0)) and np.allclose(m.gaps, ((x - x.mean(axis=0)) ** 2).sum(axis=0))
+
+
+def test_selection_stage_saves_loads_and_names(prepared, spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    model = folds.selecting("random_forest", {"numTrees": 3, "maxDepth": 3}, 2, **models.context(prepared.train, "id")).fit(prepared.train)
+    slots = model.stages[0].getIndices()
+    wanted = folds.selected(folds.training_moments(folds.fold_moments(prepared.train.withColumn("f", F.lit(0)), "f"), None), 2)
+    assert list(slots) == wanted.tolist()
+    model.save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    rows = prepared.test.orderBy("id")
+    assert [r["prediction"] for r in again.transform(rows).collect()] == [r["prediction"] for r in model.transform(rows).collect()]
+    found = models.feature_importance(model, [prepared.names[i] for i in slots], spark).collect()
+    assert len(found) == 2 and sum(r["importance"] for r in found) == pytest.approx(1)
+
+
+def test_oversampling_leaves_the_test_rows_alone(prepared):
+    report, made = study.oversampled_report(prepared, "decision_tree", {"maxDepth": 4})
+    sizes = {r["label"]: r["count"] for r in made.groupBy("label").count().collect()}
+    assert len(set(sizes.values())) == 1
+    kept = {r["id"] for r in made.where("not synthetic").collect()}
+    assert kept == {r["id"] for r in prepared.train.collect()}
+    assert report.where("name = 'accuracy'").first()["support"] == prepared.test.count()

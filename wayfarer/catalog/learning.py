@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from wayfarer import vocabulary as vocab
 from wayfarer.functions.columns import hhmm_to_minutes, row_mean, scale
-from wayfarer.operators import clusters, evaluation, features, models, neighbours, splits
+from wayfarer.operators import clusters, evaluation, features, folds, models, neighbours, splits
 from wayfarer.plans import study
 from wayfarer.plans.binding import oracle, star, table, view
 from wayfarer.plans.star import Dimension, Star
-from wayfarer.session import stage, staging_dir
+from wayfarer.session import spread, stage, staging_dir
 from wayfarer.sources import writers
 
 KEY, TARGET = "Service_Key", "Overall_Satisfaction"
@@ -34,14 +34,35 @@ def _experience(spark, sf_dir):
     return rows.flat([KEY, TARGET, "Recommendation", *NUMERIC, *TEXT])
 
 
+_FITTED: dict = {}
+
+
+def _once(what, spark, sf_dir, make):
+    """What several queries of one application share is made by the first of them."""
+    key = (what, spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
 def _study(spark, sf_dir):
-    return study.prepare(_experience(spark, sf_dir), KEY, TARGET, NUMERIC, TEXT)
+    return _once("study", spark, sf_dir, lambda: study.prepare(_experience(spark, sf_dir), KEY, TARGET, NUMERIC, TEXT))
+
+
+def _forest(spark, sf_dir):
+    """The forest of the study, for its report, its importances and the bake-off."""
+    s = _study(spark, sf_dir)
+    return _once("forest", spark, sf_dir, lambda: models.make_model("random_forest", FOREST, **models.context(s.train, s.key)).fit(s.train))
 
 
 def _report(name, params=None):
     return lambda spark, sf_dir: study.report(_study(spark, sf_dir), name, params)
 
 
+def random_forest(spark, sf_dir):
+    return evaluation.classification_report(_forest(spark, sf_dir).transform(_study(spark, sf_dir).test))
+
+
 def _coded(spark, sf_dir):
     rows = view(spark, sf_dir, "service")
     return rows.select(KEY, TARGET, *[scale(c, vocab.SCALES["rating_prepared"]).alias(c) for c in CODED])
@@ -118,22 +139,75 @@ def knn_classify(spark, sf_dir):
     return out
 
 
+KEEP = 15  #: features that every fold of a search selects on its training rows
+
+
 def grid_search(spark, sf_dir):
-    """The grids of all four models over three folds."""
+    """The grids of all four models over three folds, selection inside the folds."""
     s = _study(spark, sf_dir)
+    rows = stage(spread(splits.stratified_folds(s.train, [KEY], "label", 3), KEY), "folds")
     out = None
     for name, settings in vocab.ENCODED_GRIDS.items():
-        found = study.tune(s, name, settings, folds=3)[0].select(F.lit(name).alias("model"), "*")
+        found = folds.search(rows, name, settings, "fold", 3, KEY, KEEP)[0].select(F.lit(name).alias("model"), "*")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _vector_folds(spark, sf_dir):
+    return stage(splits.stratified_folds(_vectors(spark, sf_dir), ["vec_id"], "label", 3), "vector-folds")
+
+
+def grid_bayes(spark, sf_dir):
+    """All Bayes settings over three folds of the vectors, 15 dimensions selected inside each."""
+    found, _ = folds.search(_vector_folds(spark, sf_dir), "gaussian_nb", vocab.ENCODED_GRIDS["gaussian_nb"], "fold", 3, "vec_id", KEEP)
+    return found.select("setting", "right", "rows", F.round("accuracy", 6).alias("accuracy"))
+
+
+def grid_neighbours(spark, sf_dir):
+    """All neighbour settings over three folds of the vectors, from one search a fold."""
+    found, _ = folds.search(_vector_folds(spark, sf_dir), "knn", vocab.ENCODED_GRIDS["knn"], "fold", 3, "vec_id")
+    return found.select("setting", "right", "rows", F.round("accuracy", 6).alias("accuracy"))
+
+
+def _tuning(name):
+    """One of the five-fold tuning grids on the study's training rows."""
+
+    def run(spark, sf_dir):
+        s = _study(spark, sf_dir)
+        rows = stage(spread(splits.stratified_folds(s.train, [KEY], "label", 5), KEY), "folds")
+        return folds.search(rows, name, vocab.TUNING_GRIDS[name], "fold", 5, KEY)[0]
+
+    return run
+
+
+def feature_scores(spark, sf_dir):
+    """F score and variance of every dimension, as the selection stage uses them."""
+    found = folds.f_table(_vectors(spark, sf_dir), [str(i) for i in range(64)])
+    return found.select("feature", F.round("variance", 9).alias("variance"), F.round("f_score", 4).alias("f_score"))
+
+
+def selection_pipeline(spark, sf_dir):
+    """Encode, select, classify: importances of the tree named through the selection."""
+    s = _study(spark, sf_dir)
+    model = folds.selecting("decision_tree", {"maxDepth": 10}, KEEP, **models.context(s.train, KEY)).fit(s.train)
+    names = [s.names[i] for i in model.stages[0].getIndices()]
+    return models.feature_importance(model, names, spark)
+
+
+def smote_training(spark, sf_dir):
+    """Training rows oversampled, a tree fitted on them, the report on the untouched test rows."""
+    found, made = study.oversampled_report(_study(spark, sf_dir), "decision_tree", {"maxDepth": 10})
+    sizes = made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("synthetic").alias("synthetic"))
+    return found.join(F.broadcast(sizes.select(F.format_string("%.1f", "label").alias("name"), F.col("n").alias("train_rows"), "synthetic")), "name", "left")  # a row per class
+
+
 def model_bakeoff(spark, sf_dir):
     s = _study(spark, sf_dir)
     board, _ = models.bake_off(s.train, s.test, {
-        "logistic_regression": {}, "decision_tree": {}, "random_forest": FOREST, "linear_svm": {}, "gaussian_nb": {}, "mlp": {}, "knn": {"k": 5},
+        "logistic_regression": {}, "decision_tree": {}, "linear_svm": {}, "gaussian_nb": {}, "mlp": {}, "knn": {"k": 5},
     }, KEY)
-    return board
+    forest = evaluation.accuracy(_forest(spark, sf_dir).transform(s.test))
+    return board.unionByName(spark.createDataFrame([("random_forest", forest)], "model string, accuracy double")).orderBy(F.desc("accuracy"), "model")
 
 
 def multi_output(spark, sf_dir):
@@ -141,9 +215,7 @@ def multi_output(spark, sf_dir):
 
 
 def feature_importance(spark, sf_dir):
-    s = _study(spark, sf_dir)
-    model = models.make_model("random_forest", FOREST).fit(s.train)
-    return models.feature_importance(model, s.names, spark, 10)
+    return models.feature_importance(_forest(spark, sf_dir), _study(spark, sf_dir).names, spark, 10)
 
 
 def fold_scores(spark, sf_dir):
@@ -243,7 +315,7 @@ QUERIES = {
     "time_fold_ranges": lambda s, d: splits.time_fold_ranges(table(s, d, "events"), 5),
     "smote": smote,
     "pca": pca,
-    "random_forest": _report("random_forest", FOREST),
+    "random_forest": random_forest,
     "decision_tree": _report("decision_tree", {"maxDepth": 30}),
     "logistic_regression": _report("logistic_regression", {"C": 1.0, "penalty": "l2"}),
     "gaussian_nb": gaussian_nb,
@@ -251,6 +323,13 @@ QUERIES = {
     "linear_svm": _report("linear_svm", {"C": 1.0}),
     "mlp": _report("mlp"),
     "grid_search": grid_search,
+    "grid_bayes": grid_bayes,
+    "grid_neighbours": grid_neighbours,
+    "tuning_tree": _tuning("decision_tree"),
+    "tuning_neighbours": _tuning("knn"),
+    "feature_scores": feature_scores,
+    "selection_pipeline": selection_pipeline,
+    "smote_training": smote_training,
     "model_bakeoff": model_bakeoff,
     "multi_output": multi_output,
     "confusion_matrix": lambda s, d: evaluation.confusion_matrix(_predicted(s, d)),
@@ -322,6 +401,44 @@ def _neighbours_sql() -> str:
     return base + ", ".join(votes) + " SELECT vec_id, five, three_weighted, manhattan FROM five JOIN three_weighted USING (vec_id) JOIN manhattan USING (vec_id)"
 
 
+def _folds_sql() -> str:
+    return f"(SELECT vec_id AS id, CAST((r - 1) % 3 AS INT) AS fold FROM {_ranked('embeddings', 'vec_id', 'label')})"
+
+
+def _grid_bayes_sql() -> str:
+    """Means and variances of the rows outside each fold, the 15 dimensions they choose, and the scores of the fold's rows."""
+    settings = ", ".join(f"({i}, {v!r}::DOUBLE)" for i, v in enumerate(vocab.ENCODED_GRIDS["gaussian_nb"]["smoothing"]))
+    return (
+        f"WITH x AS MATERIALIZED (SELECT d.*, fold FROM {_DIMS} d JOIN {_folds_sql()} f ON d.vec_id = f.id), "
+        "g AS MATERIALIZED (SELECT test, label AS c, i, count(*)::DOUBLE AS n, avg(v) AS m, var_pop(v) AS s FROM x JOIN (SELECT unnest(range(3)) AS test) ON fold <> test GROUP BY ALL), "
+        "w AS (SELECT test, i, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(n * s) AS gaps FROM g GROUP BY ALL), "
+        "b AS (SELECT g.test, g.i, any_value(w.n) AS n, any_value(w.k) AS k, any_value(w.gaps) AS gaps, sum(g.n * pow(g.m - w.mean, 2)) AS apart FROM g JOIN w USING (test, i) GROUP BY ALL), "
+        f"p AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY test ORDER BY apart / (k - 1) / (gaps / (n - k)) DESC, i) AS place FROM b) WHERE place <= {KEEP}), "
+        f"e AS (SELECT test, setting, any_value(share) * max((apart + gaps) / n) AS eps FROM p, (VALUES {settings}) v(setting, share) GROUP BY ALL), "
+        "l AS (SELECT x.vec_id, x.fold, e.setting, g.c, any_value(x.label) AS label, ln(any_value(g.n) / any_value(p.n)) + sum(-0.5 * ln(2 * pi() * (g.s + eps)) - pow(v - g.m, 2) / (2 * (g.s + eps))) AS score "
+        "FROM x JOIN p ON p.test = x.fold AND p.i = x.i JOIN g ON g.test = x.fold AND g.i = x.i JOIN e ON e.test = x.fold GROUP BY x.vec_id, x.fold, e.setting, g.c), "
+        "h AS (SELECT fold, setting, vec_id, any_value(label) = arg_max(c, score) AS hit FROM l GROUP BY ALL), "
+        "t AS (SELECT fold, setting, count(*) FILTER (hit) AS hits, count(*) AS n FROM h GROUP BY ALL) "
+        "SELECT CAST(setting AS INT) AS setting, CAST(sum(hits) AS BIGINT) AS right, CAST(sum(n) AS BIGINT) AS rows, round(avg(hits / n::DOUBLE), 6) AS accuracy FROM t GROUP BY setting"
+    )
+
+
+def _grid_neighbours_sql() -> str:
+    grid = vocab.ENCODED_GRIDS["knn"]
+    parts = [
+        f"SELECT {i} AS setting, vec_id, fold, own, label, round(sum({'1.0' if s['weights'] == 'uniform' else '1.0 / d'}), 9) AS votes FROM n WHERE place <= {s['k']} GROUP BY ALL"
+        for i, s in enumerate(models.grid(grid))]
+    return (
+        f"WITH r AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e, fold FROM embeddings JOIN {_folds_sql()} ON id = vec_id), "
+        "d AS (SELECT q.vec_id, q.fold, q.label AS own, p.vec_id AS pid, p.label, list_distance(q.e, p.e) AS d FROM r q JOIN r p ON q.fold <> p.fold), "
+        f"n AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, pid) AS place FROM d) WHERE place <= {max(grid['k'])}), "
+        f"v AS ({' UNION ALL '.join(parts)}), "
+        "h AS (SELECT setting, fold, own = label AS hit FROM (SELECT *, row_number() OVER (PARTITION BY setting, vec_id ORDER BY votes DESC, label) AS r FROM v) WHERE r = 1), "
+        "t AS (SELECT setting, fold, count(*) FILTER (hit) AS hits, count(*) AS n FROM h GROUP BY ALL) "
+        "SELECT CAST(setting AS INT) AS setting, CAST(sum(hits) AS BIGINT) AS right, CAST(sum(n) AS BIGINT) AS rows, round(avg(hits / n::DOUBLE), 6) AS accuracy FROM t GROUP BY setting"
+    )
+
+
 _GUESS = "CASE WHEN Seat_Comfort = 'Excellent' THEN 'Happy' WHEN Seat_Comfort IN ('Good', 'Fair') THEN 'Satisfied' ELSE 'Dissatisfied' END"
 _PREDICTED = f"p AS (SELECT Overall_Satisfaction AS label, {_GUESS} AS prediction FROM service)"
 _STEPS = (
@@ -369,6 +486,13 @@ ORACLES = {name: oracle(sql) for name, sql in {
         "l AS (SELECT vec_id, c, ln(any_value(p)) + sum(-0.5 * ln(2 * pi() * s) - pow(v - m, 2) / (2 * s)) AS score FROM x JOIN g USING (i) GROUP BY 1, 2) "
         "SELECT vec_id, arg_max(c, score) AS prediction FROM l GROUP BY 1",
     "knn_classify": _neighbours_sql(),
+    "grid_bayes": _grid_bayes_sql(),
+    "grid_neighbours": _grid_neighbours_sql(),
+    "feature_scores":
+        f"WITH x AS (SELECT * FROM {_DIMS}), g AS (SELECT label, i, count(*)::DOUBLE AS n, avg(v) AS m, var_pop(v) AS s FROM x GROUP BY ALL), "
+        "w AS (SELECT i, avg(v) AS mean, var_pop(v) AS variance FROM x GROUP BY i) "
+        "SELECT CAST(i AS VARCHAR) AS feature, round(any_value(variance), 9) AS variance, "
+        "round(sum(n * pow(m - mean, 2)) / (count(*) - 1) / (sum(n * s) / (sum(n) - count(*))), 4) AS f_score FROM g JOIN w USING (i) GROUP BY i",
     "confusion_matrix": f"WITH {_PREDICTED} SELECT label, prediction, count(*) AS n FROM p GROUP BY 1, 2",
     "classification_report":
         f"WITH {_PREDICTED}, k AS (SELECT DISTINCT label AS name FROM p UNION SELECT DISTINCT prediction FROM p), "

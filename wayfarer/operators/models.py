@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from wayfarer.operators.evaluation import accuracy
 from wayfarer.operators.features import feature_names
 from wayfarer.operators.neighbours import knn_classify
+from wayfarer.session import checkpoints
 
 SEED = 42
+#: deep trees: each row keeps the node it is in, so no tree travels with the tasks of a level, and more nodes share a pass
+DEEP = {"cacheNodeIds": True, "maxMemoryInMB": 512, "checkpointInterval": 10}
 
 
 class GaussianBayes(Estimator):
@@ -108,9 +111,9 @@ def make_model(
     p = dict(params or {})
     columns = {"featuresCol": "features", "labelCol": "label"}
     if name == "random_forest":
-        return RandomForestClassifier(seed=SEED, **{"numTrees": 100, "maxDepth": 30, **p}, **columns)
+        return RandomForestClassifier(seed=SEED, **{"numTrees": 100, "maxDepth": 30, **DEEP, **p}, **columns)
     if name == "decision_tree":
-        return DecisionTreeClassifier(seed=SEED, **{"maxDepth": 30, **p}, **columns)
+        return DecisionTreeClassifier(seed=SEED, **{"maxDepth": 30, **DEEP, **p}, **columns)
     if name == "logistic_regression":
         strength, penalty = p.pop("C", 1.0), p.pop("penalty", "l2")
         return LogisticRegression(
@@ -133,6 +136,7 @@ def make_model(
 def context(df: DataFrame, key: str) -> dict:
     """What `make_model` must know about a training table: one aggregate, with a
     row per class."""
+    checkpoints(df.sparkSession)  # for the node ids of trees
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
     return {
         "rows": sum(r["n"] for r in counts), "classes": int(max(r["label"] for r in counts)) + 1,

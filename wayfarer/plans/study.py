@@ -6,17 +6,19 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer import vocabulary as vocab
+from wayfarer.operators import folds as fold_search
 from wayfarer.operators import models
 from wayfarer.operators.clean import bounded_values
 from wayfarer.operators.clusters import kmeans_sweep
 from wayfarer.operators.evaluation import classification_report
 from wayfarer.operators.features import encode, feature_names, fit_feature_pipeline
-from wayfarer.operators.splits import stratified_folds, stratified_split, time_series_folds
-from wayfarer.session import stage
+from wayfarer.operators.splits import smote, stratified_folds, stratified_split, time_series_folds
+from wayfarer.session import spread, stage
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,7 @@ def prepare(
     )
     pipeline = fit_feature_pipeline(parts.where("is_train"), numeric, text)
     encoded = encode(pipeline, parts).select(key, "label", "is_train", "features")
-    rows = stage(encoded, "encoded")
+    rows = stage(spread(encoded, key), "encoded")
     return Study(
         key, rows.where("is_train").drop("is_train"), rows.where(~F.col("is_train")).drop("is_train"),
         feature_names(encoded), classes, pipeline,
@@ -62,9 +64,27 @@ def report(study: Study, name: str, params: Mapping | None = None) -> DataFrame:
     return classification_report(model.transform(study.test))
 
 
-def tune(study: Study, name: str, grid: Mapping[str, Sequence] | None = None, folds: int = 5, parallelism: int = 4):
-    """Grid search over stratified folds of the training rows."""
-    rows = stage(stratified_folds(study.train, [study.key], "label", folds), "folds")
+def oversampled_report(study: Study, name: str, params: Mapping | None = None, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Oversample the training rows so that all classes are as large as the largest, fit on them, report on the untouched test rows.
+    Returns the report and the training rows with the synthetic ones marked.
+
+    Neighbours are looked for among encoded vectors of one class; the test rows take no part in it."""
+    dense = study.train.select(study.key, "label", vector_to_array("features").alias("features"))
+    made = stage(spread(smote(dense, study.key, "label", "features", k), "label", "base"), "oversampled")
+    train = made.withColumn("features", array_to_vector("features"))
+    model = models.make_model(name, params, **models.context(train, study.key)).fit(train)
+    return classification_report(model.transform(study.test)), made
+
+
+def tune(study: Study, name: str, grid: Mapping[str, Sequence] | None = None, folds: int = 5, parallelism: int = 4, keep: int | None = None):
+    """Grid search over stratified folds of the training rows: the table, the best model on all training rows, its settings.
+
+    Bayes, neighbours, trees and forests share the work of their settings (`folds.search`); with `keep` every fold of those selects
+    that many features on its training rows."""
+    rows = stage(spread(stratified_folds(study.train, [study.key], "label", folds), study.key), "folds")
+    if name in fold_search.SHARED:
+        table, best = fold_search.search(rows, name, grid or vocab.TUNING_GRIDS[name], "fold", folds, study.key, keep)
+        return table, models.make_model(name, best, **models.context(rows, study.key)).fit(rows), best
     return models.grid_search(rows, name, grid or vocab.TUNING_GRIDS[name], "fold", folds, study.key, parallelism)
 
 
@@ -93,7 +113,7 @@ def multi_output(
         coded = coded.withColumnRenamed("label", f"label_{t}")
     parts = stage(stratified_split(coded, [key], None), "multi")
     pipeline = fit_feature_pipeline(parts.where("is_train"), numeric, text)
-    rows = stage(encode(pipeline, parts).select(key, "is_train", "features", *[f"label_{t}" for t in targets]), "multi-encoded")
+    rows = stage(spread(encode(pipeline, parts).select(key, "is_train", "features", *[f"label_{t}" for t in targets]), key), "multi-encoded")
     out = None
     for t in targets:
         one = rows.withColumnRenamed(f"label_{t}", "label")
@@ -116,7 +136,7 @@ def time_validation(
     for fold in range(1, folds + 1):
         pipeline = fit_feature_pipeline(placed.where(F.col("test_fold") < fold), numeric, text)
         encoded = encode(pipeline, placed.where(F.col("test_fold") <= fold))
-        train = stage(encoded.where(F.col("test_fold") < fold).select(key, "label", "features"), "time-train")
+        train = stage(spread(encoded.where(F.col("test_fold") < fold).select(key, "label", "features"), key), "time-train")
         model = models.make_model(name, params, **models.context(train, key)).fit(train)
         rows.append((fold, models.accuracy(model.transform(encoded.where(F.col("test_fold") == fold)))))
     return df.sparkSession.createDataFrame(rows, "fold int, accuracy double")

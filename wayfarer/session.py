@@ -102,6 +102,20 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 20_000) -> DataFrame:
+    """`df` dealt by `keys` over every core at least, and over more tasks where they would hold over `rows` rows:
+    for tables that many passes follow, which small files would otherwise leave to one core."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)
+
+
+def checkpoints(spark: SparkSession) -> SparkSession:
+    """See that Spark's own checkpoints have a folder: the shared one."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(staging_dir(spark))
+    return spark
+
+
 def shuffle_width(spark: SparkSession, floor: int = 16) -> int:
     """How many ordered buckets a distributed sort or rank should use at least."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
