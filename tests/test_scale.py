@@ -89,3 +89,14 @@ def test_kmeans_runs_find_separate_groups(spark):
     table, best, model = clusters.kmeans_sweep(spark.createDataFrame(rows, "id long, features array<double>"), "id", range(2, 6), restarts=4)
     assert best == 3 and table.count() == 4
     assert model.transform(spark.createDataFrame(rows, "id long, features array<double>")).groupBy("cluster").count().where("count = 50").count() == 3
+
+
+def test_kmeans_starts_meet_every_group(spark):
+    """A hot vector on most rows, and small far groups that a sample in hash order could miss."""
+    hot = spark.range(20_000).select("id", F.array(F.lit(1.0), F.lit(1.0)).alias("features"))
+    far = spark.createDataFrame([(30_000 + i, [100.0 * (i % 6), -50.0 + i % 6 + i / 1000]) for i in range(12)], "id long, features array<double>")
+    for seed in (1, 2):
+        model = clusters.kmeans(hot.unionByName(far), 7, seed=seed, restarts=3)
+        assert len(model.centres) == 7 and model.cost < 1.0
+    few = spark.createDataFrame([(i, [float(i % 3)]) for i in range(50)], "id long, features array<double>")
+    assert len(clusters.kmeans(few, 5).centres) == 3

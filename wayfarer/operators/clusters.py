@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from wayfarer.operators.aggregates import value_counts
 from wayfarer.operators.neighbours import _matrix, pairwise
 from wayfarer.operators.quantiles import modes
-from wayfarer.session import stage
+from wayfarer.session import spread, stage
 
 
 @dataclass(frozen=True)
@@ -38,35 +39,37 @@ def _as_array(df: DataFrame, features: str) -> Column:
 
 def kmeans_runs(
     df: DataFrame, ks: Sequence[int], features: str = "features", seed: int = 42, restarts: int = 10,
-    max_iter: int = 300, tol: float = 1e-4, sample: int = 10_000,
+    max_iter: int = 300, tol: float = 1e-4,
 ) -> dict[int, Centres]:
     """The cheapest of `restarts` runs for each k.
 
     All runs of all k go on side by side: one pass over the rows per step assigns
-    them for every run that still moves, and a row per centre comes back. Starts are
-    drawn by squared distance from at most `sample` rows in hash order; fewer distinct
-    rows than k give fewer centres.
+    them for every run that still moves, and a task gives back one array of sums. Starts come from all rows (see
+    `_starts`); fewer distinct rows than k give fewer centres.
     """
-    rows = stage(df.select(_as_array(df, features).alias("x")).where("x is not null"), "points")
-    drawn = rows.orderBy(F.xxhash64("x")).limit(sample).collect()
-    pool = np.array([r["x"] for r in drawn], dtype=float)
-    if not len(pool):
+    rows = stage(spread(df.select(_as_array(df, features).alias("x")).where("x is not null")).withColumn("row", F.monotonically_increasing_id()), "points")
+    first = rows.select("x").first()
+    if first is None:
         return {k: Centres(np.zeros((0, 0)), 0.0, features) for k in ks}
-    still = tol * pool.var(axis=0).mean()
+    width = len(first["x"])
+    n, total, squares = (lambda t: (t[0, 0], t[0, 1:width + 1], t[0, width + 1:]))(
+        _summed(rows, lambda x, _: np.concatenate(([len(x)], x.sum(axis=0), (x * x).sum(axis=0)))[None, :], (1, 2 * width + 1)))
+    still = tol * np.maximum(squares / n - (total / n) ** 2, 0).mean()
+    pools = _starts(rows, width, max(ks), seed, restarts)
     runs = [(k, r) for k in ks for r in range(restarts)]
-    centres = [_spread(pool, k, np.random.Generator(np.random.PCG64([seed, k, r]))) for k, r in runs]
-    costs, moving = [np.inf] * len(runs), set(range(len(runs)))
+    centres = [_spread(*pools[r], k, np.random.Generator(np.random.PCG64([seed, k, r]))) for k, r in runs]
+    costs, moving = [np.inf] * len(runs), list(range(len(runs)))
     for _ in range(max_iter):
         if not moving:
             break
-        for run, found in _step(rows, {i: centres[i] for i in sorted(moving)}).items():
-            new = centres[run].copy()
-            for c, n, mean in found["centres"]:
-                new[c] = mean
-            costs[run] = found["cost"]
-            if ((new - centres[run]) ** 2).sum() <= still:
-                moving.discard(run)
+        left = []
+        for run, (cost, counts, sums) in _step(rows, {i: centres[i] for i in moving}).items():
+            new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres[run])
+            costs[run] = cost
+            if ((new - centres[run]) ** 2).sum() > still:
+                left.append(run)
             centres[run] = new
+        moving = left
     best: dict[int, Centres] = {}
     for i, (k, _) in enumerate(runs):
         if k not in best or costs[i] < best[k].cost:
@@ -74,49 +77,130 @@ def kmeans_runs(
     return best
 
 
-def _spread(pool: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k rows of `pool`, each drawn in proportion to its squared distance from those before."""
-    chosen = [pool[rng.integers(len(pool))]]
+GROUPS = 64  #: arrays of sums that reach the driver at most
+
+
+def _summed(rows: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all batches of part(matrix of x, row numbers): one array a task, added up in `GROUPS` tasks, the last few by the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                total += part(_flat(batch), batch.column("row").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([total.tobytes()])], ["g", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"part": pa.array([sum(np.frombuffer(raw) for raw in table["part"].to_pylist()).tobytes()])})
+
+    parts = rows.mapInArrow(run, "g int, part binary")
+    if rows.rdd.getNumPartitions() > GROUPS:
+        parts = parts.groupBy("g").applyInArrow(add, "part binary")
+    return sum((np.frombuffer(r["part"]).reshape(shape) for r in parts.select("part").collect()), np.zeros(shape))
+
+
+def _flat(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.maximum((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * (x @ centres.T), 0)
+
+
+def _uniform(row: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in (0, 1) per row, the same whenever the row is read."""
+    v = row.astype(np.uint64) + np.uint64(1)
+    for s in salt:
+        v = (v ^ np.uint64(s + 0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0xBF58476D1CE4E5B9)
+        v ^= v >> np.uint64(32)
+    return ((v >> np.uint64(11)).astype(float) + 0.5) / 2**53
+
+
+OVERSAMPLING = 2  #: candidates drawn a round, times k
+DRAWS = 4  #: rounds at least
+
+
+def _starts(rows: DataFrame, width: int, k: int, seed: int, restarts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Candidate starts of every restart with the number of rows nearest to each.
+
+    From one random row on, every round draws each row with a chance in proportion to its squared distance from the candidates so far,
+    about `OVERSAMPLING` * `k` a round, over all rows: an outlying group of any size is met. Rounds go on while there are
+    fewer than k candidates and rows apart from all of them.
+    """
+    firsts = rows.select(*[F.min_by("x", F.struct(F.xxhash64(F.lit(seed), F.lit(r), "row"), "row")).alias(str(r)) for r in range(restarts)]).first()
+    pools = [np.array([firsts[str(r)]], float) for r in range(restarts)]
+    for number in range(20):
+        wanted = [r for r in range(restarts) if number < DRAWS or len(pools[r]) < k]
+        if not wanted:
+            break
+        known = [pools[r] for r in wanted]
+        costs = _summed(rows, lambda x, _: np.array([_gaps(x, c).min(axis=1).sum() for c in known]), (len(known),))
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, row = _flat(batch), batch.column("row").to_numpy()
+                for r, c, cost in zip(wanted, known, costs.tolist()):
+                    if cost > 0:
+                        chance = OVERSAMPLING * k * _gaps(x, c).min(axis=1) / cost
+                        hit = np.flatnonzero(_uniform(row, seed, r, number) < chance)
+                        yield pa.RecordBatch.from_arrays([pa.array([r] * len(hit), pa.int32()), pa.array(row[hit]), pa.array(list(x[hit]), pa.list_(pa.float64()))], ["r", "row", "x"])
+
+        drawn = rows.mapInArrow(draw, "r int, row long, x array<double>").orderBy("r", "row").collect()  # about OVERSAMPLING * k a restart
+        if not drawn and number >= DRAWS - 1 and not any(c > 0 for c in costs):
+            break
+        for r in wanted:
+            mine = [d["x"] for d in drawn if d["r"] == r]
+            if mine:
+                pools[r] = np.unique(np.concatenate((pools[r], np.array(mine, float))), axis=0)
+    sizes = [len(p) for p in pools]
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+
+    def weigh(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(_gaps(x, p).argmin(axis=1), minlength=len(p)) for p in pools]).astype(float)
+
+    weights = _summed(rows, weigh, (int(edges[-1]),))
+    return [(p, weights[a:b]) for p, a, b in zip(pools, edges[:-1].tolist(), edges[1:].tolist())]
+
+
+def _spread(pool: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of `pool`, each drawn in proportion to its weight and squared distance from those before."""
+    chosen = [pool[rng.choice(len(pool), p=weights / weights.sum())]]
     gap = ((pool - chosen[0]) ** 2).sum(axis=1)
-    while len(chosen) < k and gap.sum() > 0:
-        chosen.append(pool[rng.choice(len(pool), p=gap / gap.sum())])
+    while len(chosen) < k and (gap > 0).any():
+        mass = gap * np.maximum(weights, 1e-9)
+        chosen.append(pool[rng.choice(len(pool), p=mass / mass.sum())])
         gap = np.minimum(gap, ((pool - chosen[-1]) ** 2).sum(axis=1))
     return np.array(chosen)
 
 
-def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, dict]:
-    """One assignment of all rows for each run: its cost, and (centre, size, mean) of the centres with rows."""
-    width = next(iter(centres.values())).shape[1]
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {run: (np.zeros(len(c)), np.zeros(c.shape), np.zeros(len(c))) for run, c in centres.items()}
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
-            norm = (x**2).sum(axis=1)
-            for run, c in centres.items():
-                gaps = norm[:, None] + (c**2).sum(axis=1) - 2 * (x @ c.T)
-                at = gaps.argmin(axis=1)
-                n, total, cost = sums[run]
-                n += np.bincount(at, minlength=len(c))
-                cost += np.bincount(at, np.maximum(gaps[np.arange(len(x)), at], 0), len(c))
-                for d in range(width):
-                    total[:, d] += np.bincount(at, x[:, d], len(c))
-        for run, (n, total, cost) in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([run] * len(n), pa.int32()), pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array(cost), pa.array(total.tolist(), pa.list_(pa.float64()))],
-                ["run", "centre", "n", "cost", "total"])
-
-    parts = rows.mapInArrow(assign, "run int, centre int, n double, cost double, total array<double>")
-    merged = parts.groupBy("run", "centre").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("total")[d]) for d in range(width)]).alias("total")
-    ).collect()  # a row per centre
-    out: dict[int, dict] = {}
-    for r in merged:
-        one = out.setdefault(r["run"], {"cost": 0.0, "centres": []})
-        one["cost"] += r["cost"]
-        if r["n"]:
-            one["centres"].append((r["centre"], r["n"], np.array(r["total"]) / r["n"]))
-    return out
+def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """One assignment of all rows for each run: its cost, and the size and sum of every centre's rows. The centres of all
+    runs stand in one matrix, so distances and sums are two matrix products a batch."""
+    stacked = np.concatenate(list(centres.values()))
+    edges = np.concatenate(([0], np.cumsum([len(c) for c in centres.values()])))
+    width = stacked.shape[1]
+
+    def part(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(stacked), width + 2))
+        for low in range(0, len(x), 2048):
+            some = x[low : low + 2048]
+            gaps = _gaps(some, stacked)
+            own = np.zeros((len(some), len(stacked)), bool)
+            at = np.arange(len(some))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own[at, a + gaps[:, a:b].argmin(axis=1)] = True
+            out[:, 2:] += own.T.astype(float) @ some
+            out[:, 0] += own.sum(axis=0)
+            out[:, 1] += np.where(own, gaps, 0).sum(axis=0)
+        return out
+
+    total = _summed(rows, part, (len(stacked), width + 2))
+    return {run: (float(total[a:b, 1].sum()), total[a:b, 0], total[a:b, 2:]) for run, a, b in zip(centres, edges[:-1].tolist(), edges[1:].tolist())}
 
 
 def kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, restarts: int = 1) -> Centres:
