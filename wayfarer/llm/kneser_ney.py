@@ -127,8 +127,17 @@ def _less(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, counts - np.concatenate(([0], d))[np.minimum(counts, 3).astype(np.int64)], 0.0)
 
 
+def _narrow(x: np.ndarray, what: str) -> np.ndarray:
+    """As 32 bits, which ids and pair counts are stored in; more raises, nothing wraps."""
+    if len(x) and int(x.max()) >= 1 << 32:
+        raise OverflowError(f"{what} {int(x.max())} times or more, beyond 32 bits")
+    return x.astype(np.uint32)
+
+
 def fit(docs: DataFrame) -> Model:
-    """Count the model over all rows of `docs` (text; null is empty). Without rows all words are unknown."""
+    """Count the model over all rows of `docs` (text; null is empty). Without rows all words are unknown.
+
+    Word counts are 64-bit. Over 2 ** 32 distinct words, or occurrences of one pair of words, raise."""
     spark = docs.sparkSession
     folder = shared_path(spark, "lm")
     text = docs.select("text")
@@ -169,7 +178,7 @@ def fit(docs: DataFrame) -> Model:
         s = int(frame["shard"].iloc[0])
         k, c = _fold([np.frombuffer(x, W.U64) for x in frame["high"]], [np.frombuffer(x, np.uint32) for x in frame["counts"]])
         _save(f"{folder}/words-{s}", k)
-        _save(f"{folder}/counts-{s}", c.astype(np.uint32))
+        _save(f"{folder}/counts-{s}", c.astype(np.uint64))
         return pd.DataFrame({"shard": [s], "ids": [len(k)], "tokens": [int(c.sum())], "distinct": [int((c > 0).sum())]})
 
     sizes = text.mapInArrow(count_words, blob).groupBy("shard").applyInPandas(write_words, "shard int, ids long, tokens long, distinct long").collect()  # a row a shard
@@ -177,6 +186,7 @@ def fit(docs: DataFrame) -> Model:
     for row in sizes:
         ids[row["shard"]] = row["ids"]
     offsets = np.concatenate(([0], np.cumsum(ids)))
+    _narrow(offsets[-1:], "distinct words number")
     total, distinct = sum(r["tokens"] for r in sizes), sum(r["distinct"] for r in sizes)
 
     def shard_of(word_ids: np.ndarray) -> np.ndarray:
@@ -210,7 +220,7 @@ def fit(docs: DataFrame) -> Model:
         n = int(offsets[s + 1] - offsets[s])
         _save(f"{folder}/starts-{s}", np.searchsorted(first, np.arange(n + 1)).astype(np.int64))
         _save(f"{folder}/seconds-{s}", second)
-        _save(f"{folder}/pairs-{s}", c.astype(np.uint32))
+        _save(f"{folder}/pairs-{s}", _narrow(c, "a pair of words occurs"))
         _save(f"{folder}/totals-{s}", np.column_stack([np.bincount(first, c, n), *[np.bincount(first[kind], minlength=n) for kind in (c == 1, c == 2, c > 2)]]).astype(np.float64))
         seen, times = np.unique(second, return_counts=True)
         target = shard_of(seen.astype(np.int64))
@@ -252,7 +262,7 @@ def _low(model: Model, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         path = f"{model.folder}/low-{s}"
         if model.low_total and os.path.exists(path):
             values[at] = _less(_map(path, np.uint32)[place].astype(np.int64), model.low_discounts) / model.low_total
-        counts[at] = _map(f"{model.folder}/counts-{s}", np.uint32)[place]
+        counts[at] = _map(f"{model.folder}/counts-{s}", np.uint64)[place]
     return p + values[inverse], count + counts[inverse]
 
 
