@@ -35,13 +35,14 @@ from wayfarer.operators.ordering import placed
 THRESHOLD = (3, 4)  #: Jaccard as numerator and denominator, so tests stay in integers
 FREQUENT = 1 << 17  #: tokens whose counts order the sets; all others count as rare
 LOCAL = 1 << 14  #: tokens one task reports as frequent, those it saw most
-ENTRIES = 1 << 20  #: prefix tokens of a bucket
+ENTRIES = 1 << 19  #: prefix tokens of a bucket
 HOT = 1 << 16  #: occurrences above which a token's entries are dealt over buckets
 CLOSE = 1024  #: entries of a token up to which each is held against each by size and place
 SMALL = 64  #: members up to which a token's pairs are formed side by side with those of other tokens
 BLOCK = 4096  #: members of one token in a slice
 NODES, TOKENS = 4096, 4_000_000  #: of a slice of a connected candidate group
 FILTER_BITS = 1 << 27  #: bound of the bit maps that keep unneeded sets from being read and shuffled
+SLICE = 2 << 20  #: bytes of text that are parted at once
 I64 = np.int64
 
 Pieces = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
@@ -106,10 +107,13 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     n = np.diff(offsets)
     width = np.maximum(64, np.left_shift(1, np.ceil(np.log2(np.maximum(n, 1))).astype(I64)))
     bounds = np.concatenate(([0], np.cumsum(width)))
-    row = W.row_index(offsets)
-    at = bounds[row] + (values & (width[row] - 1).astype(W.U64)).astype(I64)
-    odd = (np.bincount(at, minlength=bounds[-1]) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little"), bounds // 8
+    out = np.empty(bounds[-1] // 8, np.uint8)
+    for a, b in _runs(width, 1 << 19):  # counters are 64 times as wide as their bits
+        row = np.repeat(np.arange(a, b), n[a:b])
+        at = bounds[row] - bounds[a] + (values[offsets[a] : offsets[b]] & (width[row] - 1).astype(W.U64)).astype(I64)
+        odd = np.bincount(at, minlength=bounds[b] - bounds[a]) & 1
+        out[bounds[a] // 8 : bounds[b] // 8] = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return out, bounds // 8
 
 
 def whole(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -126,7 +130,7 @@ class _Counter:
     def add(self, values: np.ndarray) -> None:
         self.waiting.append(values)
         self.size += len(values)
-        if self.size > 2_000_000:
+        if self.size > 1_000_000:
             self.fold()
 
     def fold(self) -> None:
@@ -156,7 +160,7 @@ def scan(docs: DataFrame, pieces: Pieces = whole, empty: bool = False) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE):
                 texts, counts = pieces(part.column("text"))
                 values, offsets = text_sets(texts)
                 counter.add(values)
@@ -209,7 +213,7 @@ def members(docs: DataFrame, pieces: Pieces, frequent: np.ndarray, seen: np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (tokens, nodes, sizes, places)]], ["bucket", "tokens", "nodes", "sizes", "places"])
 
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE):
                 values, offsets = text_sets(pieces(part.column("text"))[0])
                 n = np.diff(offsets)
                 nodes = set_nodes(values, offsets)
@@ -278,7 +282,7 @@ class _Signs:
         for shape in np.unique(narrow * (1 << 32) + wide).tolist():
             w, v = shape >> 32, shape & 0xFFFFFFFF
             mine = np.flatnonzero((narrow == w) & (wide == v))
-            step = max(1, (1 << 20) // v)
+            step = max(1, (1 << 18) // v)
             for k in range(0, len(mine), step):
                 some = mine[k : k + step]
                 maps = [self._folded(x[some], w) for x in (a, b)]
@@ -310,7 +314,7 @@ def linked_members(starts: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, pla
     inside = np.repeat(few, counts)
     after = np.where(inside, np.repeat(starts + counts, counts) - 1 - np.arange(len(nodes)), 0)
     bounds = np.append(starts, len(nodes))
-    for first, last in _runs(np.where(few, counts * (counts - 1) // 2, 0), 1 << 21):  # whole runs of members
+    for first, last in _runs(np.where(few, counts * (counts - 1) // 2, 0), 1 << 18):  # whole runs of members
         begin, end = int(bounds[first]), int(bounds[last])
         a = np.repeat(np.arange(begin, end), after[begin:end])
         ends = np.cumsum(after[begin:end])
@@ -351,9 +355,9 @@ def _runs(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def grouped(rows: DataFrame, keys: list[str], then: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str, weight: str | None = None, most: int = 1 << 18) -> DataFrame:
+def grouped(rows: DataFrame, keys: list[str], then: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str, most: int = 16 << 20) -> DataFrame:
     """Deal `rows` by `keys`, sort by `keys` and `then`, and give `work` tables of whole groups with the groups' first rows; a table holds about
-    `most` rows (or bytes of the column `weight`), and one group at least."""
+    `most` bytes, and one group at least."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +371,7 @@ def grouped(rows: DataFrame, keys: list[str], then: list[str], work: Callable[[p
         for batch in batches:
             if not batch.num_rows:
                 continue
-            load = batch.column(weight).nbytes if weight else batch.num_rows
+            load = batch.nbytes
             if held + load > most and kept:
                 # the last group may go on, so only what stands before it is given away
                 table = pa.Table.from_batches([*kept, batch]).combine_chunks()
@@ -375,7 +379,7 @@ def grouped(rows: DataFrame, keys: list[str], then: list[str], work: Callable[[p
                 if last:
                     yield flush(table.slice(0, last).to_batches())
                 kept = table.slice(last).to_batches()
-                held = sum(b.column(weight).nbytes if weight else b.num_rows for b in kept) if last else held + load
+                held = sum(b.nbytes for b in kept) if last else held + load
                 continue
             kept.append(batch)
             held += load
@@ -414,7 +418,7 @@ def candidates(entries: DataFrame, signs: DataFrame) -> DataFrame:
         pairs = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))).view("i8,i8").ravel()) if len(a) else np.zeros(0, "i8,i8")
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[f])) for f in ("f0", "f1")], ["a", "b"])
 
-    return grouped(cut.join(signs, "node"), ["token", "i", "j"], ["node"], work, "a long, b long", "sig", 32 << 20).distinct()
+    return grouped(cut.join(signs, "node"), ["token", "i", "j"], ["node"], work, "a long, b long").distinct()
 
 
 def components(state: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -463,7 +467,7 @@ def sets_of(docs: DataFrame, pieces: Pieces, wanted: DataFrame) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(marked(sent.value[0], batch.column("key").to_numpy())))
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE):
                 values, offsets = text_sets(pieces(part.column("text"))[0])
                 nodes = set_nodes(values, offsets)
                 hit = marked(sent.value[1], nodes) & (np.diff(offsets) > 0)
@@ -507,7 +511,7 @@ def met(rows: DataFrame, sets: DataFrame, order: list[str], work: Callable, sche
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, I64)) for c in found], [n.split(" ")[0] for n in names])
 
     columns = list(dict.fromkeys(["label", "i", "j", "node", "target", "known", *order]))
-    return grouped(rows.select(*columns).join(sets, "node"), ["label", "i", "j"], order, each, schema, "tokens", 32 << 20)
+    return grouped(rows.select(*columns).join(sets, "node"), ["label", "i", "j"], order, each, schema)
 
 
 def blocks(large: DataFrame, hungry: DataFrame | None = None, earlier: bool = False) -> DataFrame:
