@@ -201,6 +201,27 @@ def smote_training(spark, sf_dir):
     return found.join(F.broadcast(sizes.select(F.format_string("%.1f", "label").alias("name"), F.col("n").alias("train_rows"), "synthetic")), "name", "left")  # a row per class
 
 
+def bayes_areas(spark, sf_dir):
+    """One-against-rest areas of the Bayes model of the vectors, from its probabilities."""
+    rows = _vectors(spark, sf_dir)
+    scores = models.class_scores(models.GaussianBayes(1e-9).fit(rows), rows, "vec_id").withColumn("score", F.round("score", 9))
+    found = evaluation.areas(evaluation.curves(scores, ["class"]), ["class"])
+    return found.select(F.col("class").cast("int").alias("class"), F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"), "points")
+
+
+def model_curves(spark, sf_dir):
+    """ROC and PR areas of the study's models on its test rows, every class against the rest, from one running sum."""
+    s = _study(spark, sf_dir)
+    known = models.context(s.train, KEY)
+    fitted = {name: models.make_model(name, params, **known).fit(s.train) for name, params in (
+        ("gaussian_nb", {}), ("decision_tree", {}), ("logistic_regression", {}), ("knn", {"k": 5}))} | {"random_forest": _forest(spark, sf_dir)}
+    out = None
+    for name, model in fitted.items():
+        scores = models.class_scores(model, s.test, KEY).select(F.lit(name).alias("model"), "class", "label", "score")
+        out = scores if out is None else out.unionByName(scores)
+    return evaluation.areas(evaluation.curves(stage(out, "scores")))
+
+
 def model_bakeoff(spark, sf_dir):
     s = _study(spark, sf_dir)
     board, _ = models.bake_off(s.train, s.test, {
@@ -325,6 +346,8 @@ QUERIES = {
     "grid_search": grid_search,
     "grid_bayes": grid_bayes,
     "grid_neighbours": grid_neighbours,
+    "bayes_areas": bayes_areas,
+    "model_curves": model_curves,
     "tuning_tree": _tuning("decision_tree"),
     "tuning_neighbours": _tuning("knn"),
     "feature_scores": feature_scores,
@@ -486,6 +509,15 @@ ORACLES = {name: oracle(sql) for name, sql in {
         "l AS (SELECT vec_id, c, ln(any_value(p)) + sum(-0.5 * ln(2 * pi() * s) - pow(v - m, 2) / (2 * s)) AS score FROM x JOIN g USING (i) GROUP BY 1, 2) "
         "SELECT vec_id, arg_max(c, score) AS prediction FROM l GROUP BY 1",
     "knn_classify": _neighbours_sql(),
+    "bayes_areas":
+        f"WITH x AS (SELECT * FROM {_DIMS}), e AS (SELECT 1e-9::DOUBLE * max(v) AS eps FROM (SELECT i, var_pop(v) AS v FROM x GROUP BY 1)), "
+        "g AS (SELECT label AS c, i, avg(v) AS m, var_pop(v) + any_value(eps) AS s, count(*)::DOUBLE / (SELECT count(*) FROM embeddings) AS p FROM x, e GROUP BY 1, 2), "
+        "l AS (SELECT vec_id, any_value(x.label) AS label, c, ln(any_value(p)) + sum(-0.5 * ln(2 * pi() * s) - pow(v - m, 2) / (2 * s)) AS score FROM x JOIN g USING (i) GROUP BY vec_id, c), "
+        "t AS (SELECT *, max(score) OVER (PARTITION BY vec_id) AS top FROM l), "
+        "p AS (SELECT c, label = c AS hit, round(exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY vec_id), 9) AS p FROM t), "
+        "f AS (SELECT c, p, count(*) FILTER (hit) AS pos, count(*) FILTER (NOT hit) AS neg FROM p GROUP BY ALL), "
+        "s AS (SELECT *, sum(pos) OVER (PARTITION BY c ORDER BY p DESC)::DOUBLE AS tp, sum(neg) OVER (PARTITION BY c ORDER BY p DESC)::DOUBLE AS fp FROM f) "
+        "SELECT c AS class, round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)), 6) AS auc, round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision, count(*) AS points FROM s GROUP BY c",
     "grid_bayes": _grid_bayes_sql(),
     "grid_neighbours": _grid_neighbours_sql(),
     "feature_scores":

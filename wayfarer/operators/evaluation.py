@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +94,25 @@ def pr_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     )
     end = df.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")
     return points.unionByName(end)
+
+
+def curves(scores: DataFrame, by: Sequence[str] = ("model", "class"), label: str = "label", positive: str = "class", score: str = "score") -> DataFrame:
+    """Points of the one-against-rest ROC and PR curves of every group `by` (a model and a class, say): ``(by…, threshold,
+    pos, neg, tp, fp, fpr, tpr, precision)`` at each distinct score. All groups share one fold and one running sum, so the
+    number of models and classes adds rows but no shuffles. Rates without a denominator are null."""
+    by = list(by)
+    hit = (F.col(label) == F.col(positive)).cast("bigint")
+    folded = scores.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+    steps = running_sum(folded, "threshold", ["pos", "neg"], by=by, descending=True)
+    tp, fp = F.col("pos_cum").cast("double"), F.col("neg_cum").cast("double")
+    return steps.select(
+        *by, "threshold", "pos", "neg", F.col("pos_cum").alias("tp"), F.col("neg_cum").alias("fp"),
+        F.try_divide(fp, F.col("neg_total")).alias("fpr"), F.try_divide(tp, F.col("pos_total")).alias("tpr"), F.try_divide(tp, tp + fp).alias("precision"))
+
+
+def areas(points: DataFrame, by: Sequence[str] = ("model", "class")) -> DataFrame:
+    """``(by…, auc, average_precision, points)`` of `curves`: trapezoids of the ROC curve, steps of the PR curve."""
+    found = points.groupBy(*by).agg(
+        F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos").cast("double")).alias("average_precision"), F.count(F.lit(1)).alias("points"))
+    return found

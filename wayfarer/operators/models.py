@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators.evaluation import accuracy
 from wayfarer.operators.features import feature_names
-from wayfarer.operators.neighbours import knn_classify
+from wayfarer.operators.neighbours import knn_classify, nearest_neighbours, vote_shares
 from wayfarer.session import checkpoints
 
 SEED = 42
@@ -76,7 +76,11 @@ class GaussianBayesModel(Model):
         scores = F.array(*[
             F.struct(self.log_density(m, v, p).alias("score"), F.lit(-c).alias("class")) for c, p, m, v in self.classes
         ])
-        return dataset.withColumn("prediction", -F.array_max(scores)["class"])
+        # probabilities in the order of `classes`, from log densities less their maximum
+        top = F.array_max(scores)["score"]
+        mass = F.transform(scores, lambda s: F.exp(s["score"] - top))
+        total = F.aggregate(mass, F.lit(0.0), lambda a, v: a + v)
+        return dataset.withColumns({"prediction": -F.array_max(scores)["class"], "probability": F.transform(mass, lambda v: v / total)})
 
 
 class Neighbours(Estimator):
@@ -102,6 +106,28 @@ class NeighboursModel(Model):
         return dataset.join(found, s.key)
 
 
+def class_scores(model: Model, df: DataFrame, key: str) -> DataFrame:
+    """``(key, label, class, score)``: how strongly a fitted model holds each row to be of each class. Probabilities of Bayes, trees,
+    forests, regression and the perceptron; shares of the votes of neighbours; margins of one-vs-rest."""
+    if isinstance(model, NeighboursModel):
+        s = model.spec
+        queries = df.select(s.key, vector_to_array("features").alias("features"))
+        near = nearest_neighbours(queries, model.points, s.key, s.key, "features", s.k, s.metric, carry=["label"])
+        shares = vote_shares(near, s.key, "label", s.k, s.weights).withColumnRenamed("label", "class")
+        classes = model.points.select(F.col("label").alias("class")).distinct()
+        # every class of a row, also those without a vote: a row per class is broadcast
+        every = df.select(key, "label").join(F.broadcast(classes), F.lit(True))
+        return every.join(shares, [key, "class"], "left").select(key, "label", "class", F.coalesce("share", F.lit(0.0)).alias("score"))
+    found = model.transform(df)
+    if isinstance(model, GaussianBayesModel):
+        labels, column = [c for c, *_ in model.classes], F.col("probability")
+    else:
+        column = vector_to_array("rawPrediction" if isinstance(model, OneVsRestModel) else "probability")
+        labels = [float(i) for i in range(model.numClasses if hasattr(model, "numClasses") else len(model.models))]
+    pairs = F.inline(F.arrays_zip(F.array(*[F.lit(c) for c in labels]).alias("class"), column.alias("score")))
+    return found.select(key, "label", pairs).toDF(key, "label", "class", "score")
+
+
 def make_model(
     name: str, params: Mapping | None = None, *, rows: int | None = None, width: int | None = None,
     classes: int | None = None, key: str | None = None,

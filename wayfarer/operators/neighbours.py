@@ -177,10 +177,9 @@ def nearest_neighbours(
     )
 
 
-def vote(neighbours: DataFrame, qid: str, label: str, k: int, weights: str = "uniform") -> DataFrame:
-    """``(qid, prediction)`` from the nearest `k`. With ``"distance"`` weights a
-    query that coincides with points counts those only; ties go to the smallest
-    label."""
+def vote_shares(neighbours: DataFrame, qid: str, label: str, k: int, weights: str = "uniform") -> DataFrame:
+    """``(qid, label, share)``: what part of the votes of its nearest `k` each class has. With ``"distance"`` weights a
+    query that coincides with points counts those only."""
     used = neighbours.where(F.col("place") <= k)
     if weights == "distance":
         zero = F.min("distance").over(Window.partitionBy(qid)) == 0
@@ -189,6 +188,12 @@ def vote(neighbours: DataFrame, qid: str, label: str, k: int, weights: str = "un
     else:
         used = used.withColumn("__w", F.lit(1.0))
     votes = used.groupBy(qid, label).agg(F.round(F.sum("__w"), 9).alias("__v"))
+    return votes.select(qid, label, "__v", (F.col("__v") / F.sum("__v").over(Window.partitionBy(qid))).alias("share"))
+
+
+def vote(neighbours: DataFrame, qid: str, label: str, k: int, weights: str = "uniform") -> DataFrame:
+    """``(qid, prediction)`` from the nearest `k` (see `vote_shares`); ties go to the smallest label."""
+    votes = vote_shares(neighbours, qid, label, k, weights)
     return votes.groupBy(qid).agg(F.min_by(label, F.struct(-F.col("__v"), F.col(label))).alias("prediction"))
 
 
