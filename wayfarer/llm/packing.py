@@ -29,7 +29,7 @@ from wayfarer.llm import words as W
 TIERS = (512, 1024, 2048, 4096)
 POOL = 1 << 20  #: tokens packed together
 STEP = 1 << 16  #: tokens of a step group
-CACHED = 200_000  #: words a worker remembers the ids of
+CACHED = 600_000  #: words a worker remembers the ids of
 _ENCODERS: dict = {}
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 #: byte-level vocabularies write each byte as a visible sign: bytes without one are numbered from 256
