@@ -35,6 +35,16 @@ def test_twenty_thousand_labels(spark):
     assert clean.label_encode(spark.createDataFrame([(None,), ("x",)], "c string"), "c", "code").where("c is null and code is null").count() == 1
 
 
+def test_one_hot_of_twenty_thousand_values(spark):
+    rows = spark.range(40_000).select(F.concat(F.lit("v"), F.lpad((F.col("id") % 20_000).cast("string"), 5, "0")).alias("c"), "id")
+    rows = rows.unionByName(spark.createDataFrame([(None, -1)], "c string, id long"))
+    found = clean.one_hot_vector(rows, "c", "hot")
+    vectors = {r["id"]: r["hot"] for r in found.where("id < 0 or id in (0, 7, 20007, 39999)").collect()}
+    assert vectors[-1].size == 20_000 and vectors[-1].numNonzeros() == 0
+    assert [vectors[i].indices.tolist() for i in (0, 7, 20007, 39999)] == [[0], [7], [7], [19_999]] and found.count() == 40_001
+    assert clean.one_hot_vector(rows.where("id < 0"), "c", "hot").first()["hot"].size == 0
+
+
 def test_tiny_gaps_decide_neighbours_and_clusters(spark):
     points = spark.createDataFrame([(i, [i * 1e-10]) for i in range(20)], "id long, x array<double>")
     query = spark.createDataFrame([(0, [9e-10])], "q long, x array<double>")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,7 +192,8 @@ def one_hot(
     limit: int = 1000,
 ) -> DataFrame:
     """0/1 columns ``<prefix>_<value>`` beside the row (no join). A null or
-    unknown value gives zeros. `columns` maps column to prefix."""
+    unknown value gives zeros. `columns` maps column to prefix. More than `limit` values raise:
+    `one_hot_vector` takes any number."""
     prefixes = columns if isinstance(columns, Mapping) else {c: c for c in columns}
     added = {}
     for c, prefix in prefixes.items():
@@ -198,3 +201,18 @@ def one_hot(
         for v in known:
             added[f"{prefix}_{v}"] = F.when(F.col(c) == v, 1).otherwise(0)
     return df.withColumns(added)
+
+
+def one_hot_vector(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """`name` (default ``<column>_vector``): a sparse 0/1 vector with a slot per distinct value, in sorted order; any number of
+    values. A null gives zeros. The values are ranked by a distributed sort and joined back (`label_encode`)."""
+    code = "__slot"
+    values = df.select(F.count_distinct(column).alias("n")).first()["n"]
+    coded = label_encode(df, column, code)
+    # one more, last category for null, which the encoder drops; the size goes with the column, so no scan finds it out
+    size = {"ml_attr": {"type": "nominal", "num_vals": values + 1}}
+    coded = coded.withColumn(code, F.coalesce(F.col(code), F.lit(values)).cast("double")).withMetadata(code, size)
+    if not values:
+        return coded.drop(code).withColumn(name or f"{column}_vector", array_to_vector(F.array().cast("array<double>")))
+    encoder = OneHotEncoder(inputCol=code, outputCol=name or f"{column}_vector", dropLast=True)
+    return encoder.fit(coded).transform(coded).drop(code)
