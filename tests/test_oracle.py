@@ -10,7 +10,7 @@ from wayfarer import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracles()  # tests/llm has its own
 # model queries whose fits take long; tests/test_learning.py covers them on small fixtures
-SLOW = {"model_bakeoff", "grid_search", "fold_scores", "multi_output", "feature_set_ranking", "kmeans_sweep", "mlp", "linear_svm", "random_forest", "feature_importance"}
+SLOW = {"model_bakeoff", "grid_search", "fold_scores", "multi_output", "feature_set_ranking", "kmeans_sweep", "mlp", "linear_svm", "tuning_neighbours"}
 
 
 @pytest.fixture(scope="module")
