@@ -66,6 +66,17 @@ def test_itemsets_are_all_frequent_sets(spark):
     assert {tuple(r["items"]): r["n"] for r in found.itemsets.collect()} == wanted
 
 
+def test_rules_of_thirty_items(spark):
+    """Only what reaches the confidence is grown: no 2^30 splits."""
+    items = [f"i{k:02d}" for k in range(30)]
+    sets = [(items, 95)] + [(items[:k] + items[k + 1:], 100 if k < 4 else 300) for k in range(30)] + [([i], 400) for i in items]
+    sets += [([i for i in items if i not in (items[0], items[1])], 104), ([i for i in items if i not in (items[2], items[3])], 200), (items[:2], 390)]
+    mined = rules.Mined(spark.createDataFrame(sets, "items array<string>, n bigint"), 1000)
+    found = rules.association_rules(mined, min_confidence=0.9)
+    got = sorted((tuple(r["consequent"]), len(r["antecedent"]), round(r["confidence"], 6)) for r in found.where("size(antecedent) + size(consequent) = 30").collect())
+    assert got == sorted([((items[k],), 29, 0.95) for k in range(4)] + [((items[0], items[1]), 28, round(95 / 104, 6))])
+
+
 def test_skewed_keys_are_cut_evenly(spark, monkeypatch):
     monkeypatch.setattr(ordering, "BUCKET_ROWS", 500)
     u = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)

@@ -21,7 +21,6 @@ from wayfarer.functions.columns import snake, unsnake
 from wayfarer.operators.ordering import top_k, top_k_per_group
 from wayfarer.session import stage
 
-WIDEST_RULE = 24  #: items of a set that is split into rules: 2^24 splits
 
 
 # --- transactions ---------------------------------------------------------------
@@ -160,25 +159,32 @@ def association_rules(
     mined: Mined, min_confidence: float = 0.0, min_lift: float = 0.0, max_consequent: int | None = None,
 ) -> DataFrame:
     """All splits of each itemset into antecedent and consequent, with support,
-    confidence, lift, leverage and conviction (infinite at confidence 1)."""
+    confidence, lift, leverage and conviction (infinite at confidence 1).
+
+    Rules are grown from their consequents, one item a round: an itemset's antecedent only gets more frequent as items move
+    out of it, so a consequent below `min_confidence` has no larger one above it. Two kept consequents that differ in their last
+    item make the next candidate, and its antecedent's count is looked up. Itemsets may be of any size.
+    """
     sets = mined.itemsets
     total = F.lit(float(mined.transactions))
-    widest = sets.agg(F.max(F.size("items"))).first()[0] or 0
-    if widest > WIDEST_RULE:
-        raise ValueError(f"an itemset of {widest} items has 2^{widest} splits; mine with max_len <= {WIDEST_RULE}")
-    whole = sets.where(F.size("items") > 1).select("items", F.col("n").alias("n_both"))
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 2)
-    split = whole.withColumn("mask", F.explode(masks))
-    split = split.select(
-        "n_both",
-        F.filter("items", lambda x, i: F.getbit(F.col("mask"), i) == 1).alias("antecedent"),
-        F.filter("items", lambda x, i: F.getbit(F.col("mask"), i) == 0).alias("consequent"),
-    )
-    if max_consequent is not None:
-        split = split.where(F.size("consequent") <= max_consequent)
     a = sets.select(F.col("items").alias("antecedent"), F.col("n").alias("n_a"))
     c = sets.select(F.col("items").alias("consequent"), F.col("n").alias("n_c"))
-    joined = split.join(a, "antecedent").join(c, "consequent")
+    whole = stage(sets.where(F.size("items") > 1).select(F.monotonically_increasing_id().alias("set"), F.array_sort("items").alias("items"), F.col("n").alias("n_both")), "wholes")
+
+    def kept(level: DataFrame) -> DataFrame:
+        found = level.withColumn("antecedent", F.array_except("items", "consequent")).join(a, "antecedent")
+        return stage(found.where(F.col("n_both").cast("double") / F.col("n_a") >= min_confidence), "consequents")
+
+    level = kept(whole.select("set", "items", "n_both", F.explode("items").alias("item")).select("set", "items", "n_both", F.array("item").alias("consequent")))
+    joined, size = level, 1
+    while (max_consequent is None or size < max_consequent) and not level.isEmpty():
+        parts = level.select("set", "items", "n_both", F.slice("consequent", 1, size - 1).alias("head") if size > 1 else F.array().cast("array<string>").alias("head"), F.element_at("consequent", -1).alias("last"))
+        other = parts.select("set", "head", F.col("last").alias("next"))
+        grown = parts.where(F.size("items") > size + 1).join(other, ["set", "head"]).where("last < next")
+        level = kept(grown.select("set", "items", "n_both", F.concat("head", F.array("last", "next")).alias("consequent")))
+        joined = joined.unionByName(level)
+        size += 1
+    joined = joined.join(c, "consequent")
     sup, sa, sc = F.col("n_both") / total, F.col("n_a") / total, F.col("n_c") / total
     conf = F.col("n_both").cast("double") / F.col("n_a")
     rules = joined.select(
