@@ -423,6 +423,26 @@ def test_license_wordings_anywhere_in_a_text():
     assert [r[2] for r in licenses.Scanner({"own": "All rights are reserved by the owner"}).scan("so all rights are reserved by the owner here")] == ["own"]
 
 
+def test_compression_chooses_between_near_templates():
+    """Both wordings align; the one that saves more bytes is the block's, whatever the order of the templates."""
+    one = "Alpha license: you may copy, change and hand on this work to any person at no charge, as long as this note stays with it"
+    two = one.replace("change", "alter").replace("any person", "any reader")
+    text = "See here. " + one.replace("hand on", "give away").lower() + " and so on. " + two.replace("note", "notice") + " Then more."
+    for templates in ({"one": one, "two": two}, {"two": two, "one": one}):
+        scanner = licenses.Scanner(templates)
+        assert all(scanner.align(w, licenses.wording(other)) for _, w, *_ in scanner.templates for other in (one, two))
+        assert [r[2] for r in scanner.scan(text)] == ["one", "two"]
+        scanner.ranked = lambda block, own=scanner.ranked: own(block)[::-1]
+        assert [r[2] for r in scanner.scan(text)] != ["one", "two"]
+
+
+def test_license_text_and_long_texts(spark):
+    whole = licenses.TEMPLATES["MIT-text"]
+    rows = [(1, "word " * 200_000 + whole.replace("merge, publish", "publish") + " word" * 1000, "", "", 0)]
+    found = licenses.scan(spark.createDataFrame(rows, SCHEMA).withColumns({"start": F.lit(1), "missing": F.lit("x")})).collect()
+    assert [(r["license"], r["exact"], r["missing"]) for r in found] == [("MIT-text", False, ["merge"])]
+
+
 def test_toxicity_chain(spark):
     rng = random.Random(5)
     rows, labels = [], []

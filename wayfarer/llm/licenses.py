@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-Candidate blocks are laid around every cue word of the text, one for each place where the template
-has a cue, so that cue stands on cue, with a margin on both sides; sentences and lines don't bound them. A
-block's words are aligned with the template's, and what is missing, added or changed is returned. What was
-aligned is compressed twice: alone, and with the template as a raw zstandard dictionary. Where
-wordings overlap, the template that saves the most bytes wins.
+Candidate blocks are laid around every cue word of the text, one for each place where a template
+has a cue, so that cue stands on cue, with a margin on both sides; sentences and lines don't bound them. Every
+block is compressed alone and with each template as a raw zstandard dictionary, and the templates are ranked by
+the bytes they save. From the first on, a template is confirmed by aligning its words with the block's: the first that
+agrees is the block's, and what is missing or added is returned. Where wordings overlap, the one that saves most bytes wins.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 CUE = r"(?i)(licen[sc]ed?(?![^\W_])|redistribution[\W_]+and[\W_]+use|permission[\W_]+is[\W_]+hereby|public[\W_]+license(?![^\W_]))"
@@ -70,6 +71,14 @@ class Scanner:
                 self.templates.append((name, wanted, Counter(wanted), cues(text, [m.start() for m in _WORD.finditer(text)]), compressor))
         self.cued = all(at for _, _, _, at, _ in self.templates)
 
+    def ranked(self, block: str) -> list[tuple[int, int]]:
+        """(bytes saved, template) of every template that saves at least `SAVED` of its block, most bytes first. A block
+        is as long as what it is compared in: each template sees the same bytes."""
+        raw = block.encode()
+        alone = len(self.plain.compress(raw))
+        found = [(alone - len(t[4].compress(raw)), k) for k, t in enumerate(self.templates)]
+        return sorted(((n, k) for n, k in found if n >= SAVED * alone * min(1.0, len(self.templates[k][1]) / max(1, len(wording(block))))), key=lambda p: (-p[0], p[1]))
+
     def align(self, wanted: list[str], have: list[str]) -> tuple | None:
         """(first, last, missing, added): the words of `have` that are the template's wording, if they are."""
         parts = [p for p in difflib.SequenceMatcher(None, wanted, have, autojunk=False).get_matching_blocks() if p.size]
@@ -84,40 +93,43 @@ class Scanner:
         return first, last, missing, [have[k] for k in range(first, last) if k not in kept]
 
     def candidates(self, text: str) -> list[tuple]:
-        """(bytes saved by length, start, end, name, saved, exact, missing, added) of every wording found at a cue."""
+        """(bytes saved, start, end, name, saved, exact, missing, added) of the winner of every block."""
         spans = [m.span() for m in _WORD.finditer(text)]
         starts = [a for a, _ in spans]
         words = [text[a:b].lower() for a, b in spans]
         found = cues(text, starts)
-        out: dict[tuple, tuple] = {}
-        for name, wanted, counts, at, compressor in self.templates:
+        blocks: set[tuple[int, int]] = set()
+        for _, wanted, counts, at, _ in self.templates:
             # a template without a cue word is held against every place of each of its words
             pairs = ((c, at) for c in found) if at else ((c, [k for k, w in enumerate(wanted) if w == words[c]]) for c in range(len(words)) if words[c] in counts)
             margin = max(MARGIN, len(wanted) // 4)
             for start in sorted({c - k for c, places in pairs for k in places}):
                 for front in (0, margin):
-                    a, b = max(0, start - front), max(0, start + len(wanted) + margin)
-                    have = words[a:b]
-                    # no alignment can match more than the words both have
-                    if sum(min(n, counts[w]) for w, n in Counter(have).items() if w in counts) < MATCHED * len(wanted):
-                        continue
-                    aligned = self.align(wanted, have)
-                    if aligned is None:
-                        continue
-                    first, last, missing, added = aligned
-                    begin, end = spans[a + first][0], spans[a + last - 1][1]
-                    if (begin, end, name) in out:
-                        continue
-                    block = text[begin:end].encode()
-                    saved = 1 - len(compressor.compress(block)) / len(self.plain.compress(block))
-                    if saved >= SAVED:
-                        out[begin, end, name] = (saved * len(wanted), begin, end, name, float(saved), not missing and not added, missing, added)
+                    a, b = max(0, start - front), min(len(words), max(0, start + len(wanted) + margin))
+                    # a block without the template's words can't be its wording
+                    if sum(min(n, counts[w]) for w, n in Counter(words[a:b]).items() if w in counts) >= MATCHED * len(wanted):
+                        blocks.add((a, b))
+        out: dict[tuple, tuple] = {}
+        for a, b in sorted(blocks):
+            for _, k in self.ranked(text[spans[a][0] : spans[b - 1][1]]):
+                name, wanted, _, _, compressor = self.templates[k]
+                aligned = self.align(wanted, words[a:b])
+                if aligned is None:
+                    continue
+                first, last, missing, added = aligned
+                begin, end = spans[a + first][0], spans[a + last - 1][1]
+                raw = text[begin:end].encode()
+                alone = len(self.plain.compress(raw))
+                gain = alone - len(compressor.compress(raw))
+                if gain >= SAVED * alone:
+                    out[begin, end, name] = (gain, begin, end, name, gain / alone, not missing and not added, missing, added)
+                    break
         return list(out.values())
 
     def scan(self, text: str) -> list[tuple]:
-        """(start, end, name, saved, exact, missing, added); what saves most goes first, and found wordings don't overlap."""
+        """(start, end, name, saved, exact, missing, added); what saves most bytes goes first, and found wordings don't overlap."""
         taken: list[tuple] = []
-        for row in sorted(self.candidates(text), key=lambda r: (-r[0], r[3], r[1], r[2])):  # bytes saved follow the template's length
+        for row in sorted(self.candidates(text), key=lambda r: (-r[0], r[3], r[1], r[2])):
             k = bisect.bisect(taken, (row[1],))
             if (k == len(taken) or taken[k][0] >= row[2]) and (k == 0 or taken[k - 1][1] <= row[1]):
                 taken.insert(k, row[1:])
