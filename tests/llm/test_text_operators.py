@@ -183,6 +183,12 @@ def test_filters_lose_no_link(seed):
         own = np.searchsorted(starts, nodes, side="right")
         assert all(label[x] == label[y] for x, y in links if own[x] == own[y])
         assert all(own[x] == own[y] for x, y in zip(a, b))
+    # targets find every group they are linked with
+    some, known = rng.random(len(sets)) < 0.4, rng.integers(0, 60, len(sets))
+    a, b = setjoin.linked_targets(np.arange(len(sets)), n, np.zeros(len(sets), np.int64), signs, some, known)
+    same = [(x, y) for x in range(len(sets)) for y in range(x) if known[x] == known[y]]
+    label = brute_labels(len(sets), set(zip(a.tolist(), b.tolist())) | set(same))
+    assert all(label[x] == label[y] for x, y in links if some[x] or some[y])
 
 
 def test_equal_sets_have_one_fingerprint_wherever_they_stand():

@@ -40,7 +40,7 @@ def later_lines(docs: DataFrame) -> DataFrame:
 
 def _matched(docs: DataFrame, classes: DataFrame, entries: DataFrame) -> DataFrame | None:
     """The nodes (node) that match a node which occurs earlier."""
-    edges = stage(S.candidates(entries, classes.select("node", "sig")), "candidates")
+    edges = S.candidates(entries, classes.select("node", "sig"))
     if edges.isEmpty():
         return None
     order = ["first", "second", "third"]

@@ -24,7 +24,7 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 def _components(docs: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame | None:
     """(node, label) of the nodes that are linked with another."""
-    edges = stage(S.candidates(entries, nodes.select("node", "sig")), "candidates")
+    edges = S.candidates(entries, nodes.select("node", "sig"))
     if edges.isEmpty():
         return None
     # what near copies were made from shares tokens with most of them: it leads

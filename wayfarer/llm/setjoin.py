@@ -398,27 +398,68 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def linked_targets(nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray, signs: _Signs, target: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (target, member) that join each target to every group (`known` labels) with a member that passes all filters, in one run of members."""
+    behind = sizes - places
+    _, label = np.unique(known, return_inverse=True)
+    a, b = [], []
+    for x in np.flatnonzero(target).tolist():
+        other = np.flatnonzero(label != label[x])
+        other = other[admissible(sizes[x], sizes[other], behind[x], behind[other])]
+        other = other[signs.close(np.full(len(other), x), other)]
+        found, first = np.unique(label[other], return_index=True)
+        a += [x] * len(found)
+        b += other[first].tolist()
+        label[np.isin(label, found)] = label[x]
+    return nodes[np.array(a, I64)], nodes[np.array(b, I64)]
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))).view("i8,i8").ravel()) if len(a) else np.zeros(0, "i8,i8")
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[f])) for f in ("f0", "f1")], ["a", "b"])
+
+
 def candidates(entries: DataFrame, signs: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes which pass the filters pairwise. `entries` as from `members`, `signs` is (node, sig).
+    """Staged edges (a, b) that connect all nodes which pass the filters pairwise. `entries` as from `members`, `signs` is (node, sig).
 
-    The entries of a token with more than `BLOCK` are cut into slices by node, and each pair of slices is a block.
+    The entries of a token with more than `BLOCK` are cut into slices by node. First each slice meets the first one, which joins what is
+    near a common leader; then the members outside their token's largest group meet every slice. Of two members in
+    different groups one is outside the largest, so nothing is missed, and a large group of near copies costs rows in proportion to its size.
     """
     size = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
-    slices = F.ceil(F.col("size") / BLOCK).cast("int")
-    big = size.select("token", slices.alias("slices"))
-    # a member stands in the blocks of its slice with every slice
-    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    cut = entries.join(big, "token", "left").withColumn("own", F.when(F.col("slices").isNotNull(), own).otherwise(0))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
-    cut = cut.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "place")
+    big = stage(size.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("slices")), "big")
+    cut = entries.join(big, "token", "left").withColumn("own", F.when(F.col("slices").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")))
+    place = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).otherwise(F.array("own"))
 
     def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        node, n, place = (table[c].to_numpy().astype(I64) for c in ("node", "n", "place"))
-        a, b = linked_members(starts, node, n, place, _Signs(table["sig"].combine_chunks(), n))
-        pairs = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))).view("i8,i8").ravel()) if len(a) else np.zeros(0, "i8,i8")
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[f])) for f in ("f0", "f1")], ["a", "b"])
-
-    return grouped(cut.join(signs, "node"), ["token", "i", "j"], ["node"], work, "a long, b long").distinct()
+        node, n, at = (table[c].to_numpy().astype(I64) for c in ("node", "n", "place"))
+        return _edges(*linked_members(starts, node, n, at, _Signs(table["sig"].combine_chunks(), n)))
+
+    first = cut.select("token", F.explode(place).alias("j"), "node", "n", "place").join(signs, "node")
+    edges = stage(grouped(first, ["token", "j"], ["node"], work, "a long, b long").distinct(), "candidates")
+    if big.isEmpty():
+        return edges
+    labels = components(None, edges)
+    known = stage(cut.where("slices is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
+    most = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
+    hungry = stage(known.join(most, "token").where("label <> most").drop("most"), "hungry")
+    if hungry.isEmpty():
+        return edges
+    # blocks of one slice (i) and the hungry members of another (j); a hungry member of the same slice is there once, as a target
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    targets = hungry.withColumns({"j": F.col("own"), "target": F.lit(True)}).withColumn("i", every)
+    base = known.withColumnRenamed("own", "i").join(hungry.select("token", F.col("own").alias("j")).distinct(), "token").withColumn("target", F.lit(False))
+    base = base.join(hungry.select("token", "node", F.col("own").alias("i"), F.lit(True).alias("also")), ["token", "node", "i"], "left").where("also is null or i <> j")
+    columns = ["token", "i", "j", "node", "n", "place", "label", "target"]
+
+    def again(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        node, n, at, label = (table[c].to_numpy().astype(I64) for c in ("node", "n", "place", "label"))
+        target, sig = table["target"].to_numpy(zero_copy_only=False), table["sig"].combine_chunks()
+        found = [linked_targets(node[s:e], n[s:e], at[s:e], _Signs(sig.slice(s, e - s), n[s:e]), target[s:e], label[s:e]) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows])]
+        return _edges(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+
+    more = grouped(targets.select(*columns).unionByName(base.select(*columns)).join(signs, "node"), ["token", "i", "j"], ["node"], again, "a long, b long")
+    return stage(edges.unionByName(more).distinct(), "candidates")
 
 
 def components(state: DataFrame | None, links: DataFrame) -> DataFrame:
