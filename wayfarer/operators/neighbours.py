@@ -20,18 +20,97 @@ from wayfarer.operators.ordering import hash_order
 from wayfarer.session import stage
 
 QUERY_CHUNK = 256
+TILE = 128  #: columns of a piece of distances that stays in a core's cache with its query chunk
+BLOCK = 1 << 20  #: numbers in a block of vectors
+FIRST = 1024  #: points whose distances bound the rest of a block
 
 
 def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Distances of all rows of `a` to all rows of `b`, summed dimension by
     dimension: equal rows give equal distances to the last bit."""
-    out = np.zeros((len(a), len(b)))
+    out = np.empty((len(a), len(b)), a.dtype)
+    left, right = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    step = max(TILE, (QUERY_CHUNK * TILE) // max(1, len(a)))
+    for low in range(0, len(b), step):
+        some = right[:, low:low + step]
+        total, gap = np.zeros((len(a), some.shape[1]), a.dtype), np.empty((len(a), some.shape[1]), a.dtype)
+        for d in range(len(left)):
+            np.subtract(left[d][:, None], some[d][None, :], out=gap)
+            if metric == "manhattan":
+                np.abs(gap, out=gap)
+            else:
+                np.multiply(gap, gap, out=gap)
+            total += gap
+        out[:, low:low + step] = total
+    return out if metric == "manhattan" else np.sqrt(out, out=out)
+
+
+def paired(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray, metric: str) -> np.ndarray:
+    """`pairwise(a, b)[rows, columns]` to the last bit, for these pairs only."""
+    out = np.zeros(len(rows))
     for d in range(a.shape[1]):
-        gap = a[:, d, None] - b[None, :, d]
+        gap = a[rows, d] - b[columns, d]
         out += np.abs(gap) if metric == "manhattan" else gap * gap
     return out if metric == "manhattan" else np.sqrt(out)
 
 
+def squares(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x)
+
+
+def products(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product, off by at most `slack`."""
+    out = a @ b.T
+    out *= -2.0
+    out += na[:, None]
+    out += nb[None, :]
+    return out
+
+
+def slack(na: np.ndarray, nb: np.ndarray, width: int) -> np.ndarray:
+    """What rounding may change in `products` (both ways) and in the exact sums, with room to spare; one number per row of `a`."""
+    return np.finfo(float).eps * (4 * width + 32) * (na + nb.max(initial=0.0))
+
+
+def closest(a: np.ndarray, b: np.ndarray, k: int, metric: str, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of `a`, row of `b`, distance) of the `k` rows of `b` nearest to each row of `a`, nearest first, ties to the earlier row;
+    distances that are not finite are left out, and so are the pairs of the mask `skip`.
+
+    Distances are first estimated, Euclidean ones by a matrix product and others in single precision; all pairs that can be
+    among the k by the estimate's error bound are then measured exactly."""
+    na, nb = (squares(a), squares(b)) if metric == "euclidean" else (np.abs(a).sum(axis=1), np.abs(b).sum(axis=1))
+    if metric == "euclidean" and np.isfinite(na).all() and np.isfinite(nb).all():
+        guess, room = products(a, b, na, nb), slack(na, nb, a.shape[1])
+    elif metric != "euclidean" and (na < 1e30).all() and (nb < 1e30).all():
+        guess = pairwise(a.astype(np.float32), b.astype(np.float32), metric)
+        room = np.finfo(np.float32).eps * (2 * a.shape[1] + 16) * (na + nb.max(initial=0.0)) + 1e-30
+    else:
+        guess, room = pairwise(a, b, metric), np.zeros(len(a))
+        guess[~np.isfinite(guess)] = np.inf
+    if skip is not None:
+        guess[skip] = np.inf
+    bound = np.full(len(a), np.inf)
+    for width in ((FIRST, len(b)) if len(b) > 2 * FIRST else (len(b),)):
+        if k < width and width < len(b):
+            bound = np.partition(guess[:, :width], k - 1, axis=1)[:, k - 1] + 2 * room
+    rows, columns = np.nonzero((guess <= bound[:, None]) & np.isfinite(guess))
+    if len(rows) > 2 * k * len(a):  # cut again, by the k-th of what is left
+        near = guess[rows, columns]
+        order = np.lexsort((near, rows))
+        first = np.searchsorted(rows, np.arange(len(a)))
+        counts = np.bincount(rows, minlength=len(a))
+        full = counts >= k
+        bound[full] = near[order][first[full] + k - 1] + 2 * room[full]
+        kept = near <= bound[rows]
+        rows, columns = rows[kept], columns[kept]
+    distance = paired(a, b, rows, columns, metric)
+    order = np.lexsort((columns, distance, rows))
+    rows, columns, distance = rows[order], columns[order], distance[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = (place < k) & np.isfinite(distance)
+    return rows[kept], columns[kept], distance[kept]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float).reshape(len(column), -1)
 
@@ -45,13 +124,14 @@ def pick_pivots(points: DataFrame, pid: str, features: str, n: int) -> np.ndarra
 def nearest_neighbours(
     queries: DataFrame, points: DataFrame, qid: str, pid: str, features: str, k: int, metric: str = "euclidean",
     within: str | None = None, carry: Sequence[str] = (), exclude_self: bool = False, pivots: int = 32,
-    block_rows: int = 4096,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(qid, pid, distance, place, *carry)``: the `k` nearest points per query.
 
     Both sides hold `features` as an array of numbers. `within` restricts
     neighbours to points that share that column (a class). Ties go to the
-    smaller point id. The result is exact for any data.
+    smaller point id. The result is exact for any data. A block holds `block_rows`
+    rows, by default as many as `BLOCK` numbers make.
     """
     spark = points.sparkSession
     group = [within] if within else []
@@ -72,6 +152,7 @@ def nearest_neighbours(
         fields = f"`{qid}` {dict(queries.dtypes)[qid]}, `{out_pid}` {id_type}, distance double, place int"
         fields += "".join(f", `{c}` {dict(points.dtypes)[c]}" for c in carry)
         return spark.createDataFrame([], fields)
+    block_rows = block_rows or max(256, min(16_384, BLOCK // max(1, centres.shape[1])))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -98,7 +179,7 @@ def nearest_neighbours(
     wanted = k + int(exclude_self)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells that can hold one of the k nearest, with all their blocks."""
+        """Each query with the cells that can hold one of its k nearest."""
         for batch in batches:
             for g, part in batch.groupby("__g", sort=False):
                 known = stats.get(g)
@@ -115,16 +196,10 @@ def nearest_neighbours(
                 if bounds.shape[1] < wanted:
                     reach[:] = np.inf
                 hit = to_cell - radii[None, :] <= reach[:, None] * (1 + 1e-9) + 1e-12
-                row, col = np.nonzero(hit)
-                if not len(row):
-                    continue
-                out = part.iloc[row].reset_index(drop=True)
-                out["__cell"] = ids[col].astype("int32")
-                out["__block"] = [list(range(known[c][2])) for c in col]
-                yield out
+                yield part.assign(__cells=[ids[h].astype("int32") for h in hit])
 
-    routed = qs.mapInPandas(route, ", ".join(f"`{n}` {t}" for n, t in qs.dtypes) + ", `__cell` int, `__block` array<int>")
-    routed = stage(routed, "queries")
+    routed = qs.mapInPandas(route, ", ".join(f"`{n}` {t}" for n, t in qs.dtypes) + ", `__cells` array<int>")
+    routed = stage(routed, "queries").withColumn("__cell", F.explode("__cells")).drop("__cells")
     visits = routed.groupBy("__g", "__cell").agg(F.count(F.lit(1)).alias("n")).collect()
 
     def per_cell(counts: dict) -> Column:
@@ -135,9 +210,10 @@ def nearest_neighbours(
         return out
 
     # the queries of a busy cell are cut into slices; its blocks meet each slice
-    slices = per_cell({(v["__g"], v["__cell"]): -(-v["n"] // (4 * block_rows)) for v in visits if v["n"] > 4 * block_rows})
+    slices = per_cell({(v["__g"], v["__cell"]): -(-v["n"] // block_rows) for v in visits if v["n"] > block_rows})
     blocks = per_cell({(g, c[0]): c[2] for g, cs in stats.items() for c in cs if c[2] > 1})
-    routed = routed.withColumn("__slice", F.pmod(F.xxhash64("__qid"), slices).cast("int")).withColumn("__block", F.explode("__block"))
+    routed = routed.withColumn("__slice", F.pmod(F.xxhash64("__qid"), slices).cast("int"))
+    routed = routed.withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = located.drop("__d").withColumn("__block", F.pmod(F.xxhash64("__pid"), blocks).cast("int"))
     placed = placed.withColumn("__slice", F.explode(F.sequence(F.lit(0), slices - 1)))
 
@@ -152,16 +228,12 @@ def nearest_neighbours(
         found = []
         for start in range(0, len(left), QUERY_CHUNK):
             chunk = left.iloc[start:start + QUERY_CHUNK]
-            d = pairwise(_matrix(chunk["__x"]), points_, metric)
-            if exclude_self:
-                d[chunk["__qid"].to_numpy()[:, None] == right["__pid"].to_numpy()[None, :]] = np.inf
-            take = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(chunk)), take.shape[1])
-            flat = take.ravel()
+            same = chunk["__qid"].to_numpy()[:, None] == right["__pid"].to_numpy()[None, :] if exclude_self else None
+            rows, flat, distance = closest(_matrix(chunk["__x"]), points_, k, metric, same)
             part = right.iloc[flat][["__pid", *carried]].reset_index(drop=True)
             part.insert(0, "__qid", chunk["__qid"].to_numpy()[rows])
-            part.insert(2, "distance", d[rows, flat])
-            found.append(part[np.isfinite(part["distance"])])
+            part.insert(2, "distance", distance)
+            found.append(part)
         return pd.concat(found) if found else empty
 
     key = ["__g", "__cell", "__block", "__slice"]
