@@ -66,6 +66,17 @@ def test_itemsets_are_all_frequent_sets(spark):
     assert {tuple(r["items"]): r["n"] for r in found.itemsets.collect()} == wanted
 
 
+def test_candidates_are_counted_in_groups(spark, monkeypatch):
+    """Groups smaller than the candidates, rows that fill no whole word, null items and rows."""
+    monkeypatch.setattr(rules, "CANDIDATES", 7)
+    rng = random.Random(4)
+    baskets = [sorted(rng.sample("abcdefgh", rng.randint(0, 6))) + [None] * (i % 5 == 0) for i in range(131)] + [None]
+    pairs = list(itertools.combinations(range(8), 2))
+    found = rules._count(spark.createDataFrame([(b,) for b in baskets], "items array<string>").coalesce(2), list("abcdefgh"), pairs)
+    wanted = {at: sum({"abcdefgh"[i], "abcdefgh"[j]} <= set(b or []) for b in baskets) for at, (i, j) in enumerate(pairs)}
+    assert {r["at"]: r["n"] for r in found.collect()} == {at: n for at, n in wanted.items() if n}
+
+
 def test_rules_of_thirty_items(spark):
     """Only what reaches the confidence is grown: no 2^30 splits."""
     items = [f"i{k:02d}" for k in range(30)]
