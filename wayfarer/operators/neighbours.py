@@ -90,9 +90,8 @@ def closest(a: np.ndarray, b: np.ndarray, k: int, metric: str, skip: np.ndarray
     if skip is not None:
         guess[skip] = np.inf
     bound = np.full(len(a), np.inf)
-    for width in ((FIRST, len(b)) if len(b) > 2 * FIRST else (len(b),)):
-        if k < width and width < len(b):
-            bound = np.partition(guess[:, :width], k - 1, axis=1)[:, k - 1] + 2 * room
+    if k < min(FIRST, len(b)):
+        bound = np.partition(guess[:, :FIRST], k - 1, axis=1)[:, k - 1] + 2 * room
     rows, columns = np.nonzero((guess <= bound[:, None]) & np.isfinite(guess))
     if len(rows) > 2 * k * len(a):  # cut again, by the k-th of what is left
         near = guess[rows, columns]
