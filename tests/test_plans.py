@@ -45,3 +45,12 @@ def test_filters_are_pushed(spark, sf_dir):
 def test_top_k_is_a_bounded_sort(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan(entry.queries()["top_k"](spark, sf_dir))
     assert "WindowGroupLimit" in plan(entry.queries()["top_k_per_group"](spark, sf_dir))
+
+
+def test_late_texts_are_those_of_the_star(spark, sf_dir):
+    """Every column of every view, and no text made below a join."""
+    columns = list(dict.fromkeys(c for v in ("fact", "flight", "airline", "service", "passenger") for c in binding.VIEWS[v][1]))
+    late, plain = binding.late_flat(spark, sf_dir, columns), binding.star(spark, sf_dir).flat(columns)
+    assert late.columns == columns and late.exceptAll(plain).isEmpty() and plain.exceptAll(late).isEmpty()
+    plan = binding.late_flat(spark, sf_dir, ["Seat_Comfort", "Seat_Type", "Class"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Excellent" in plan and "Excellent" not in plan[plan.index("Join"):]
