@@ -132,3 +132,41 @@ def test_kmeans_starts_meet_every_group(spark):
         assert len(model.centres) == 7 and model.cost < 1.0
     few = spark.createDataFrame([(i, [float(i % 3)]) for i in range(50)], "id long, features array<double>")
     assert len(clusters.kmeans(few, 5).centres) == 3
+
+
+def test_columns_stay_side_by_side(spark, monkeypatch):
+    """No row per column and value: ties, a constant, nulls, an empty column; a column whose sketch misses goes the long way."""
+    rng = random.Random(8)
+    rows = [(rng.lognormvariate(0, 3), float(i % 7), 5.0 if i % 3 else None, None, 1 << 40 | i) for i in range(5001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e long")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    wanted = {c: np.quantile([r[i] for r in rows if r[i] is not None], probs).tolist() for i, c in enumerate("abcde") if c != "d"}
+    take = lambda: {r["column"]: [r[f"p.{i}"] for i in range(5)] for r in quantiles.column_quantiles(df, list("abcde"), probs, [f"p.{i}" for i in range(5)]).collect()}
+    long = quantiles.quantiles
+    monkeypatch.setattr(quantiles, "quantiles", None)
+    found = take()
+    assert set(found) == set(wanted) and all(found[c] == pytest.approx(wanted[c], rel=1e-12) for c in wanted)
+    monkeypatch.setattr(quantiles, "quantiles", long)
+    monkeypatch.setattr(quantiles, "HELD", -1)
+    monkeypatch.setattr(quantiles, "ACCURACY", 50)
+    found = take()
+    assert set(found) == set(wanted) and all(found[c] == pytest.approx(wanted[c], rel=1e-12) for c in wanted)
+
+
+def test_bayes_judges_a_row_once(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from wayfarer.operators import models
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (300, 4)) + np.arange(300)[:, None] % 3
+    rows = [(i, float(i % 3), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, label double, x array<double>").select("id", "label", array_to_vector("x").alias("features"))
+    model = models.GaussianBayes(1e-9).fit(df)
+    out = model.transform(df)
+    assert "zip_with" not in out._jdf.queryExecution().analyzed().toString()  # neither in lambdas nor once per class and use
+    dense = np.stack([np.log(p) - 0.5 * (np.log(2 * np.pi * np.array(v)) + (x - m) ** 2 / v).sum(axis=1) for _, p, m, v in model.classes], axis=1)
+    mass = np.exp(dense - dense.max(axis=1)[:, None])
+    for r in out.collect():
+        assert r["prediction"] == dense[r["id"]].argmax()
+        assert r["probability"] == pytest.approx((mass / mass.sum(axis=1)[:, None])[r["id"]].tolist(), abs=1e-12)

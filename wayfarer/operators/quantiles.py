@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,7 +58,7 @@ def quantiles(
     at = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1) * (F.col("size") - 1)
     values = ends.withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at)))
     picks = [F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)]
-    return values.groupBy(*by).agg(*picks).select(*by, *names)
+    return values.groupBy(*by).agg(*picks).select(*by, *[F.col(f"`{n}`") for n in names])
 
 
 def _first_brackets(rows: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
@@ -133,9 +134,50 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Quantiles of several columns as rows ``(column, ...)``."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    return quantiles(long, "value", probs, ["column"], names, few_groups=True)
+    """Quantiles of several columns as rows ``(column, ...)``; exact.
+
+    As `quantiles`, but the columns stay side by side: one scan sketches them all, one counts below and in every bracket, and one takes
+    out what is inside, folded to distinct values before it is shuffled. A column goes the way of `quantiles` if a sketch missed one of
+    its ranks, or left clearly more rows strictly between two ends than its accuracy promises.
+    """
+    columns, probs, names = list(columns), [float(p) for p in probs], list(names)
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    margin = 2 / ACCURACY
+    edges = [min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)]
+    seen = rows.agg(*[e for k in range(len(columns)) for e in (
+        F.count(f"c{k}").alias(f"n{k}"), F.percentile_approx(f"c{k}", edges, ACCURACY).alias(f"q{k}"), F.min(f"c{k}").alias(f"a{k}"), F.max(f"c{k}").alias(f"z{k}"))]).first()
+    brackets = {}  # a row per column and probability
+    for k in range(len(columns)):
+        for i, p in enumerate(probs if seen[f"n{k}"] else []):
+            at = p * (seen[f"n{k}"] - 1)
+            brackets[k, i] = (math.floor(at), math.ceil(at), seen[f"a{k}"] if edges[2 * i] == 0 else seen[f"q{k}"][2 * i], seen[f"z{k}"] if edges[2 * i + 1] == 1 else seen[f"q{k}"][2 * i + 1])
+    counts = rows.agg(F.lit(0).alias("none"), *[e for (k, i), (_, _, lo, hi) in brackets.items() for e in (
+        F.count_if(F.col(f"c{k}") < lo).alias(f"b{k}_{i}"), F.count_if((F.col(f"c{k}") >= lo) & (F.col(f"c{k}") <= hi)).alias(f"i{k}_{i}"),
+        F.count_if((F.col(f"c{k}") > lo) & (F.col(f"c{k}") < hi)).alias(f"s{k}_{i}"))]).first()
+    good = {}
+    for (k, i), (first, last, lo, hi) in brackets.items():
+        before, inside = counts[f"b{k}_{i}"], counts[f"i{k}_{i}"]
+        if before <= first and before + inside > last and counts[f"s{k}_{i}"] <= max(HELD, 4 * margin * seen[f"n{k}"]):
+            good[k, i] = (first, last, lo, hi, before)
+    sides = {k for k in range(len(columns)) if all((k, i) in good for i in range(len(probs))) and seen[f"n{k}"]}
+    out = df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"`{n}` double" for n in names))
+    if sides:
+        mine = {key: b for key, b in good.items() if key[0] in sides}
+        kept = F.array(*[F.when((F.col(f"c{k}") >= lo) & (F.col(f"c{k}") <= hi), F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.col(f"c{k}").alias("v"))) for (k, i), (_, _, lo, hi, _) in mine.items()])
+        folded = rows.select(F.explode(F.filter(kept, lambda x: x.isNotNull())).alias("x")).groupBy("x.k", "x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
+        known = df.sparkSession.createDataFrame([(k, i, first, last, before, probs[i] * (seen[f"n{k}"] - 1), columns[k]) for (k, i), (first, last, _, _, before) in mine.items()],
+                                                "k int, i int, first long, last long, before long, at double, column string")
+        ranked = folded.join(F.broadcast(known), ["k", "i"]).withColumn("upto", F.col("before") + F.sum("n").over(  # a row per column and probability
+            Window.partitionBy("k", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        ends = ranked.groupBy("column", "i").agg(
+            F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("lo"), F.min(F.when(F.col("upto") > F.col("last"), F.col("v"))).alias("hi"), F.first("at").alias("at"))
+        values = ends.withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at")))
+        out = values.groupBy("column").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
+    rest = [k for k in range(len(columns)) if k not in sides and seen[f"n{k}"]]
+    if rest:
+        long = rows.select(*[F.col(f"c{k}").alias(columns[k]) for k in rest]).unpivot([], [columns[k] for k in rest], "column", "value")
+        out = out.unionByName(quantiles(long, "value", probs, ["column"], names, few_groups=True))
+    return out
 
 
 def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
