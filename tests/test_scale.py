@@ -170,3 +170,34 @@ def test_bayes_judges_a_row_once(spark):
     for r in out.collect():
         assert r["prediction"] == dense[r["id"]].argmax()
         assert r["probability"] == pytest.approx((mass / mass.sum(axis=1)[:, None])[r["id"]].tolist(), abs=1e-12)
+
+
+def test_sweep_scores_come_from_two_passes(spark, monkeypatch):
+    """Silhouettes of all k without a row per dimension or k plans: equal to those of the rows, with ties, copies, a class of one and no vector."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(3)), float(rng.randrange(2)), rng.random() if i % 4 else 0.5]) for i in range(400)] + [(900, [500.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    runs = clusters.kmeans_runs(df, range(2, 6), restarts=2)
+    wanted = {k: clusters.silhouette_score(m.transform(df), "id") for k, m in runs.items()}
+    monkeypatch.setattr(clusters, "silhouettes", None)
+    table, _, _ = clusters.kmeans_sweep(df, "id", range(2, 6), restarts=2)
+    assert {r["k"]: r["silhouette"] for r in table.collect()} == pytest.approx(wanted, abs=1e-9)
+    gap = spark.createDataFrame([*rows, (901, None)], "id long, features array<double>")
+    table, _, _ = clusters.kmeans_sweep(gap, "id", range(2, 6), restarts=2)
+    assert {r["k"]: r["silhouette"] for r in table.collect()} == pytest.approx({k: v * 401 / 402 for k, v in wanted.items()}, abs=1e-9)
+
+
+def test_kmeans_step_reads_packed_blocks(spark, monkeypatch):
+    """Blocks of a few rows give the sums of a row by row assignment; rows between two centres go to the earlier one."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (500, 3)).astype(float)
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>")
+    monkeypatch.setattr(clusters, "PACK", 30)
+    rows, width = clusters.packed(df, "features")
+    assert width == 3 and rows.count() > 40 and rows.selectExpr("sum(n)").first()[0] == 500
+    centres = {0: np.array([[0.0, 0, 0], [2, 0, 0], [0, 2, 2]]), 7: np.array([[1.0, 1, 1], [1, 1, 1], [3, 3, 3]])}
+    for run, (cost, counts, sums) in clusters._step(rows, centres).items():
+        gaps = ((x[:, None, :] - centres[run][None]) ** 2).sum(axis=2)
+        own = gaps.argmin(axis=1)
+        assert cost == pytest.approx(gaps.min(axis=1).sum()) and counts.tolist() == np.bincount(own, minlength=3).tolist()
+        assert sums == pytest.approx(np.array([x[own == c].sum(axis=0) for c in range(3)]))
