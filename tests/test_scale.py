@@ -201,3 +201,21 @@ def test_kmeans_step_reads_packed_blocks(spark, monkeypatch):
         own = gaps.argmin(axis=1)
         assert cost == pytest.approx(gaps.min(axis=1).sum()) and counts.tolist() == np.bincount(own, minlength=3).tolist()
         assert sums == pytest.approx(np.array([x[own == c].sum(axis=0) for c in range(3)]))
+
+
+def test_kmeans_starts_draw_without_a_sort(spark, monkeypatch):
+    """Each round reads the rows twice, for the costs and for the draw: a global sort of what is drawn would read them once more."""
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (300, 2))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>")
+    rows, width = clusters.packed(df, "features")
+    pools = [x[:3], x[5:9]]
+    assert clusters._least(x, pools) == pytest.approx(np.stack([((x[:, None] - p[None]) ** 2).sum(axis=2).min(axis=1) for p in pools]), abs=1e-12)
+    monkeypatch.setattr(DataFrame, "orderBy", None)
+    found = clusters._starts(rows, width, 4, 1, 3)
+    assert len(found) == 3
+    for pool, weights in found:
+        own = ((x[:, None] - pool[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert weights.tolist() == np.bincount(own, minlength=len(pool)).tolist()
