@@ -219,3 +219,10 @@ def test_kmeans_starts_draw_without_a_sort(spark, monkeypatch):
     for pool, weights in found:
         own = ((x[:, None] - pool[None]) ** 2).sum(axis=2).argmin(axis=1)
         assert weights.tolist() == np.bincount(own, minlength=len(pool)).tolist()
+
+
+def test_cluster_profile_reads_the_rows_once(spark):
+    rows = [(None, 1.0)] * 2 + [(0, 2.0)] * 5 + [(1, None)]
+    out = clusters.cluster_profile(spark.createDataFrame(rows, "c int, v double"), "c", ["v"], [])
+    assert "subquery" not in out._jdf.queryExecution().toString().lower()
+    assert {tuple(r) for r in out.collect()} == {(None, 1.0, 2, 25.0), (0, 2.0, 5, 62.5), (1, None, 1, 12.5)}

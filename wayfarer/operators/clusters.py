@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.operators.aggregates import value_counts
@@ -515,8 +515,8 @@ def cluster_profile(df: DataFrame, cluster: str, numeric: Sequence[str], text: S
     sums = df.groupBy(cluster).agg(
         *[F.round(F.avg(c), digits).alias(c) for c in numeric], F.count(F.lit(1)).alias("Cluster_Size")
     )
-    # one row per cluster from here on
-    whole = sums.agg(F.sum("Cluster_Size").cast("double").alias("n")).scalar()
+    # one row per cluster from here on, so one task adds them up; a subquery would read the rows again
+    whole = F.sum("Cluster_Size").over(Window.partitionBy(F.lit(0))).cast("double")
     sums = sums.withColumn("Cluster_Percentage", F.bround(F.col("Cluster_Size") / whole * 100, 2))
     if not text:
         return sums
