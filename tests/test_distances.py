@@ -64,3 +64,45 @@ def test_a_query_is_staged_once(spark, monkeypatch):
     queries = points.selectExpr("id as q", "x").where("q < 20")
     assert neighbours.nearest_neighbours(queries, points, "q", "id", "x", 3).count() == 60
     assert staged["queries"].count() == 20
+
+
+def test_flags_are_compared_by_products(monkeypatch):
+    """Columns of 0 and 1 beside one other column, as encoded text gives: no pass over the pairs per column, whatever the metric."""
+
+    def never(*_):
+        raise AssertionError("pairs were measured column by column")
+
+    monkeypatch.setattr(neighbours, "pairwise", never)
+    rng = np.random.default_rng(5)
+    a, b = ((rng.random((n, 30)) < 0.3).astype(float) for n in (300, 2500))
+    a[:, 0], b[:, 0] = rng.normal(size=300), rng.normal(size=2500)
+    for metric in ("euclidean", "manhattan"):
+        gaps = a[:, None] - b[None]
+        whole = np.abs(gaps).cumsum(axis=2)[..., -1] if metric == "manhattan" else np.sqrt((gaps * gaps).cumsum(axis=2)[..., -1])
+        take = np.argsort(whole, axis=1, kind="stable")[:, :6]
+        rows, columns, distance = neighbours.closest(a, b, 6, metric)
+        assert rows.tolist() == np.repeat(np.arange(300), 6).tolist() and columns.tolist() == take.reshape(-1).tolist()
+        assert distance.tolist() == np.take_along_axis(whole, take, axis=1).reshape(-1).tolist()
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_copies_are_compared_once(spark, monkeypatch, alone):
+    """Four vectors in 400 rows, keys that repeat: only as many copies as can count are kept, and the nearest are those of a full sort."""
+    staged = {}
+
+    def keep(df, label):
+        staged[label] = df.cache()
+        return staged[label]
+
+    monkeypatch.setattr(neighbours, "stage", keep)
+    rows = [(i if i > 6 else 3, [float(i % 2), float(i % 4 // 2)]) for i in range(400)]
+    points = spark.createDataFrame(rows, "id long, x array<double>").repartition(3)
+    found = neighbours.nearest_neighbours(points.where("id >= 350"), points, "id", "id", "x", 5, exclude_self=alone)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["id"], []).append((r["place"], r["distance"], r["neighbour_id"]))
+    assert sorted(got) == list(range(350, 400))
+    for q, near in got.items():
+        wanted = sorted((float(np.sqrt(((np.array(x) - rows[q][1]) ** 2).sum())), p) for p, x in rows if not alone or p != q)[:5]
+        assert [(d, p) for _, d, p in sorted(near)] == wanted
+    assert staged["points"].count() <= 4 * 8
