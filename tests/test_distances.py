@@ -106,3 +106,23 @@ def test_copies_are_compared_once(spark, monkeypatch, alone):
         wanted = sorted((float(np.sqrt(((np.array(x) - rows[q][1]) ** 2).sum())), p) for p, x in rows if not alone or p != q)[:5]
         assert [(d, p) for _, d, p in sorted(near)] == wanted
     assert staged["points"].count() <= 4 * 8
+
+
+def test_equal_queries_are_looked_up_once(spark, monkeypatch):
+    """Three vectors in 300 queries, a key that comes twice: three searches, and every query gets the nearest of its vector."""
+    staged = {}
+
+    def keep(df, label):
+        staged[label] = df.cache()
+        return staged[label]
+
+    monkeypatch.setattr(neighbours, "stage", keep)
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "id long, x array<double>")
+    queries = spark.createDataFrame([(max(i, 1), [float(i % 3) + 0.25]) for i in range(300)], "q long, x array<double>")
+    found = neighbours.nearest_neighbours(queries, points, "q", "id", "x", 2)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["q"], []).append((r["place"], r["id"]))
+    assert staged["asked"].count() == 3
+    assert sorted(got) == list(range(1, 300)) and all([p for _, p in sorted(got[q])] == [q % 3, q % 3 + 1] for q in range(2, 300))
+    assert [p for _, p in sorted(got[1])] == [0, 1]  # of the two queries of this key the nearest two together
