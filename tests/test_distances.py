@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from wayfarer.operators import clusters, neighbours
+from wayfarer.operators import clusters, neighbours, splits
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
@@ -126,3 +126,19 @@ def test_equal_queries_are_looked_up_once(spark, monkeypatch):
     assert staged["asked"].count() == 3
     assert sorted(got) == list(range(1, 300)) and all([p for _, p in sorted(got[q])] == [q % 3, q % 3 + 1] for q in range(2, 300))
     assert [p for _, p in sorted(got[1])] == [0, 1]  # of the two queries of this key the nearest two together
+
+
+def test_oversampling_keeps_few_copies(spark, monkeypatch):
+    """A class of 120 rows with one vector: as neighbours count those of the six smallest keys, for 180 rows that are made."""
+    staged = {}
+
+    def keep(df, label):
+        staged[label] = df.cache()
+        return staged[label]
+
+    monkeypatch.setattr(neighbours, "stage", keep)
+    rows = spark.createDataFrame([(i, int(i < 120), [1.0, 2.0] if i < 120 else [float(i), 0.0]) for i in range(420)], "id long, label int, x array<double>")
+    made = splits.smote(rows, "id", "label", "x", k=5).where("synthetic").collect()
+    assert len(made) == 180 and {tuple(r["x"]) for r in made} == {(1.0, 2.0)}
+    assert all(r["neighbour"] in set(range(6)) - {r["base"]} for r in made)
+    assert staged["points"].count() == 6
