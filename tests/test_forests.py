@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from wayfarer.operators import evaluation, folds, forests, models
+from wayfarer.session import stage
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +68,33 @@ def test_a_deep_search_equals_single_fits(noisy):
         params = models.grid(grid)[r["setting"]]
         single = [evaluation.accuracy(DecisionTreeClassifier(**params).fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f))) for f in range(3)]
         assert r["accuracy"] == pytest.approx(sum(single) / 3)
+
+
+def test_rows_travel_packed_and_some_trees_at_a_time(noisy, monkeypatch):
+    """Few bytes a row and tree are shuffled to grow a forest, none to ask it, and dealing tree by tree changes nothing."""
+    whole = models.make_model("random_forest", {"numTrees": 3}).fit(noisy)
+    monkeypatch.setattr(forests, "DEALT", 1)
+    single = models.make_model("random_forest", {"numTrees": 3}).fit(noisy)
+    assert (len(whole.files), len(single.files)) == (1, 3)
+    assert said(whole, noisy) == said(single, noisy)
+    asked = whole.votes(stage(noisy, "rows"), "id", [30], [3])
+    assert "Exchange" not in asked._jdf.queryExecution().executedPlan().toString()
+    assert asked.count() == noisy.count()
+
+
+def test_bins_and_nodes_are_packed_without_loss():
+    rng = np.random.default_rng(5)
+    sizes = (2, 1, 32, 7, *[2] * 20, 3)
+    b = np.stack([rng.integers(0, s, 900) for s in sizes], axis=1).astype(np.uint8)
+    packing = forests.Packing(sizes)
+    assert packing.width == 4 and (packing.unpack(packing.pack(b)) == b).all()
+    y, w = rng.integers(0, 3, 900), rng.integers(1, 4, 900).astype(float)
+    for keep in (5, len(sizes)):
+        nodes = forests._grown(b, y, w, 30, list(sizes), 3, "gini", 1, keep, [1])
+        again = forests.Nodes.unpacked(nodes.packed(), 3)
+        for name in ("feature", "left", "right", "stats"):
+            assert (getattr(again, name)[nodes.left >= 0] == getattr(nodes, name)[nodes.left >= 0]).all()
+        ends = nodes.down(b, np.zeros(900, int))
+        assert (again.down(b, np.zeros(900, int)) == ends).all() and (again.stats[ends] == nodes.stats[ends]).all()
+        # every row counts where it ends
+        assert sum(w[ends == e].sum() for e in np.unique(ends)) == nodes.stats[np.unique(ends)].sum() == w.sum()
