@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayfarer.operators import clusters, neighbours, splits
@@ -142,3 +143,38 @@ def test_oversampling_keeps_few_copies(spark, monkeypatch):
     assert len(made) == 180 and {tuple(r["x"]) for r in made} == {(1.0, 2.0)}
     assert all(r["neighbour"] in set(range(6)) - {r["base"]} for r in made)
     assert staged["points"].count() == 6
+
+
+def test_vectors_of_flags_travel_in_few_bytes():
+    """Rows of 0 and 1 and one other number; equal rows give equal bytes, and nothing is lost."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 105)) < 0.2).astype(float)
+    x[:, 7] = rng.normal(size=300)
+    x[1], x[2, 9], x[3, 4] = x[0], np.nan, -0.0
+    packed = neighbours._packed(x)
+    assert max(map(len, packed)) <= 2 * 14 + 2 * 8 and packed[0] == packed[1] != packed[2]
+    assert np.array_equal(neighbours._unpacked(pa.chunked_array([packed]), 300, 105), x, equal_nan=True)
+
+
+def test_oversampling_looks_up_only_the_neighbour_it_picks(spark, monkeypatch):
+    """The search carries a number, not the neighbours' vectors; each synthetic row lies between its base and the neighbour it names."""
+    carried = []
+    kept = splits.nearest_neighbours
+
+    def search(*args, carry=(), **more):
+        carried.append(list(carry))
+        return kept(*args, carry=carry, **more)
+
+    monkeypatch.setattr(splits, "nearest_neighbours", search)
+    rng = np.random.default_rng(4)
+    rows = [(i, float(i < 12), [float(v) for v in rng.normal(size=3)]) for i in range(60)]
+    found = splits.smote(spark.createDataFrame(rows, "id long, label double, x array<double>"), "id", "label", "x", 3).collect()
+    assert carried == [["__row"]] and len(found) == 96
+    at = {i: (c, np.array(x)) for i, c, x in rows}
+    for r in found:
+        if r["synthetic"]:
+            (c, a), (d, b) = at[r["base"]], at[r["neighbour"]]
+            share = (np.array(r["x"]) - a) / (b - a)
+            assert c == d == r["label"] and np.ptp(share) < 1e-9 and 0 <= share[0] <= 1
+            near = sorted((i for i in at if at[i][0] == c and i != r["base"]), key=lambda i: ((at[i][1] - a) ** 2).sum())[:3]
+            assert r["neighbour"] in near
